@@ -1,0 +1,236 @@
+"""Framed Avro records to columns and back, for clusters without the Avro package.
+
+A frame is one zero byte, a four-byte schema number and the record body. Records are flat, made of
+strings, doubles and longs, some nullable. Work is done on whole Arrow batches: one numpy step per
+field, never a Python step per row. Tasks are plain `mapInArrow` partitions.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tapewright.schemas import record_type
+
+# Executors need not have the package installed: these helpers travel with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+HEADER = 5
+VARINT_BYTES = 10
+
+_ARROW = {
+    "string": pa.string(),
+    "double": pa.float64(),
+    "long": pa.int64(),
+    "millis": pa.timestamp("us", tz="UTC"),
+}
+
+
+def _bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The flat bytes and the row offsets of a binary column (null rows are empty)."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    starts = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return flat, starts
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Copy the slices [start, start + length) next to each other; returns bytes and offsets."""
+    offsets = np.zeros(len(length) + 1, dtype=np.int64)
+    np.cumsum(length, out=offsets[1:])
+    shift = np.repeat(start - offsets[:-1], length)
+    return flat[np.arange(offsets[-1]) + shift], offsets
+
+
+class _Reader:
+    """Cursors into every row of a batch. A row that runs out of bytes is marked bad and stops."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray):
+        # Padding lets a cursor read past the last row; such rows are bad anyway.
+        self.flat = np.concatenate([flat, np.zeros(VARINT_BYTES + 8, np.uint8)])
+        self.pos = starts[:-1].copy()
+        self.end = starts[1:]
+        self.bad = np.zeros(len(self.pos), dtype=bool)
+
+    def skip(self, count: np.ndarray | int) -> None:
+        """Move the good cursors on; one that would pass its row's end turns bad."""
+        self.bad |= self.pos + count > self.end
+        self.pos = np.where(self.bad, self.pos, self.pos + count)
+
+    def byte(self) -> np.ndarray:
+        value = self.flat[self.pos]
+        self.skip(1)
+        return value
+
+    def long(self, wanted: np.ndarray) -> np.ndarray:
+        """Zigzag varints of the wanted rows; other rows keep their cursors and read 0."""
+        raw = np.zeros(len(self.pos), dtype=np.uint64)
+        open_ = wanted & ~self.bad
+        for i in range(VARINT_BYTES):
+            if not open_.any():
+                break
+            piece = self.flat[self.pos].astype(np.uint64)
+            raw = np.where(open_, raw | ((piece & np.uint64(127)) << np.uint64(7 * i)), raw)
+            self.skip(open_.astype(np.int64))
+            open_ = open_ & (piece >= 128) & ~self.bad
+        self.bad |= open_
+        half = (raw >> np.uint64(1)).astype(np.int64)
+        return half ^ -(raw & np.uint64(1)).astype(np.int64)
+
+    def double(self) -> np.ndarray:
+        at = np.minimum(self.pos, len(self.flat) - 8)
+        raw = self.flat[at[:, None] + np.arange(8)]
+        self.skip(8)
+        return np.ascontiguousarray(raw).view("<f8").reshape(-1)
+
+    def text(self, wanted: np.ndarray) -> pa.Array:
+        """Strings of the wanted rows, null elsewhere; bytes that are not UTF-8 make the row bad."""
+        length = self.long(wanted)
+        self.bad |= length < 0
+        start = self.pos
+        self.skip(np.where(wanted, length, 0))
+        length = np.where(wanted & ~self.bad, length, 0)
+        data, offsets = _gather(self.flat, start, length)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(length), buffers)
+        try:
+            strings = raw.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            valid = np.array([_is_utf8(v) for v in raw.to_pylist()])
+            self.bad |= ~valid
+            strings = pa.array([v if ok else b"" for v, ok in zip(raw.to_pylist(), valid)], pa.large_binary())
+            strings = strings.cast(pa.large_string())
+        return pa.compute.if_else(pa.array(wanted & ~self.bad), strings.cast(pa.string()), pa.scalar(None, pa.string()))
+
+
+def _is_utf8(value: bytes) -> bool:
+    try:
+        value.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def decode_column(column: pa.Array, wire) -> tuple[list[pa.Array], pa.Array]:
+    """Decode one batch of frames: the record columns and the reason column."""
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    flat, starts = _bytes_and_offsets(column)
+    reader = _Reader(flat, starts)
+    everyone = np.ones(len(missing), dtype=bool)
+    short = (reader.end - reader.pos) < HEADER
+    magic = np.where(short, 255, reader.flat[reader.pos])
+    reader.bad |= short | (magic != 0)
+    framing_failed = reader.bad.copy()
+    reader.skip(HEADER)
+
+    columns = []
+    for _, kind, nullable in wire:
+        present = everyone
+        if nullable:
+            branch = reader.long(everyone)
+            reader.bad |= (branch != 0) & (branch != 1)
+            present = branch == 1
+        if kind == "string":
+            columns.append(reader.text(present))
+        elif kind == "double":
+            columns.append(pa.array(reader.double()))
+        else:
+            columns.append(pa.array(reader.long(present)))
+
+    good = pa.array(~reader.bad)
+    typed = []
+    for (_, kind, _), values in zip(wire, columns):
+        if kind == "millis":
+            values = pa.array(values.to_numpy() * 1000).cast(_ARROW[kind])
+        typed.append(pa.compute.if_else(good, values, pa.scalar(None, _ARROW[kind])))
+    reason = np.where(missing, "null_value", np.where(framing_failed, "bad_frame", np.where(reader.bad, "bad_body", "")))
+    reasons = pa.array(reason, pa.string())
+    return typed, pa.compute.if_else(pa.compute.equal(reasons, ""), pa.scalar(None, pa.string()), reasons)
+
+
+def decode_frames(records: DataFrame, wire, value: str = "value") -> DataFrame:
+    """Replace the framed value by the record's columns and a `reason` (null for good rows)."""
+    kept = [f for f in records.schema.fields if f.name != value]
+    names = [f.name for f in kept] + [name for name, _, _ in wire] + ["reason"]
+    schema = StructType(kept + record_type(wire).fields + [StructField("reason", StringType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, reason = decode_column(batch.column(value), wire)
+            others = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays(others + columns + [reason], names)
+
+    return records.mapInArrow(decode, schema)
+
+
+def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zigzag varints as a byte matrix (one row per value) and their lengths."""
+    values = values.astype(np.int64)
+    zigzag = ((values << 1) ^ (values >> 63)).astype(np.uint64)
+    pieces = (zigzag[:, None] >> (np.arange(VARINT_BYTES, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)
+    used = np.where(pieces != 0, np.arange(1, VARINT_BYTES + 1), 1).max(axis=1)
+    more = np.arange(VARINT_BYTES) < (used - 1)[:, None]
+    return (pieces.astype(np.uint8) | (more * np.uint8(128))), used
+
+
+def encode_column(columns: list[pa.Array], wire, schema_number: int) -> pa.Array:
+    """Frames for one batch of records; a null in a field that must be there raises."""
+    rows = len(columns[0])
+    header = np.frombuffer(b"\x00" + schema_number.to_bytes(4, "big"), dtype=np.uint8)
+    # Every piece is (flat bytes, start per row, length per row).
+    pieces = [(header, np.zeros(rows, np.int64), np.full(rows, HEADER))]
+
+    def add_varints(values: np.ndarray, wanted: np.ndarray) -> None:
+        matrix, used = _varints(values)
+        pieces.append((matrix.reshape(-1), np.arange(rows) * VARINT_BYTES, np.where(wanted, used, 0)))
+
+    for (name, kind, nullable), column in zip(wire, columns):
+        present = column.is_valid().to_numpy(zero_copy_only=False)
+        if nullable:
+            add_varints(present.astype(np.int64), np.ones(rows, dtype=bool))
+        elif not present.all():
+            raise ValueError(f"field {name} must not be null")
+        if kind == "string":
+            flat, starts = _bytes_and_offsets(column)
+            length = np.diff(starts)
+            add_varints(length, present)
+            pieces.append((flat, starts[:-1], length))
+        elif kind == "double":
+            raw = np.ascontiguousarray(column.to_numpy(zero_copy_only=False), dtype="<f8").view(np.uint8)
+            pieces.append((raw, np.arange(rows) * 8, np.full(rows, 8)))
+        else:
+            longs = column.cast(pa.timestamp("ms", tz="UTC"), safe=False).cast(pa.int64()) if kind == "millis" else column
+            add_varints(longs.fill_null(0).to_numpy(zero_copy_only=False), present)
+
+    lengths = np.stack([length for _, _, length in pieces], axis=1)
+    offsets = np.zeros(rows + 1, dtype=np.int64)
+    np.cumsum(lengths.sum(axis=1), out=offsets[1:])
+    target = offsets[:-1, None] + np.cumsum(lengths, axis=1) - lengths
+    out = np.zeros(offsets[-1], dtype=np.uint8)
+    for i, (flat, start, length) in enumerate(pieces):
+        data, piece_offsets = _gather(flat, start, length)
+        out[np.arange(len(data)) + np.repeat(target[:, i] - piece_offsets[:-1], length)] = data
+    frames = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+    return frames.cast(pa.binary())
+
+
+def encode_frames(records: DataFrame, wire, key: str, schema_number: int = 1) -> DataFrame:
+    """Records to (key, value) rows. Columns are taken by wire name; `key` is a text column."""
+    names = [name for name, _, _ in wire]
+    ordered = records.select(F.col(key).cast("binary").alias("__key"), *names)
+    schema = "key binary, value binary"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frames = encode_column([batch.column(n) for n in names], wire, schema_number)
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), frames], ["key", "value"])
+
+    return ordered.mapInArrow(encode, schema)
