@@ -249,6 +249,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     minutes = (F.pmod(doc, F.lit(1000)) * 43).cast("int")
     return table(spark, folder, "documents").select(
         "doc_id",
+        "lang",
         F.concat(F.lit("Report "), doc.cast("string"), F.lit(" ("), "lang", F.lit(") from "), "source").alias("headline"),
         F.col("text").alias("summary"),
         "source",

@@ -179,8 +179,7 @@ def news_payloads(spark, folder):
         F.col("summary").alias("summary"),
         F.when(F.col("lang") == "fr", F.concat(F.lit("ftp://"), "source")).otherwise(F.col("url")).alias("url"),
     )
-    docs = base.articles(spark, folder).join(base.table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
-    return docs.select(
+    return base.articles(spark, folder).select(
         F.lit("general").alias("category"),
         F.to_json(F.array(item)).alias("payload"),
         F.lit(RECEIVED).cast("timestamp").alias("received_at"),
@@ -268,8 +267,7 @@ def decode_topic(spark, folder):
 )
 def decode_news_topic(spark, folder):
     """Documents as framed news and back: long texts, four languages, missing fields."""
-    docs = base.articles(spark, folder).join(base.table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
-    records = docs.select(
+    records = base.articles(spark, folder).select(
         F.col("lang").alias("category"), F.col("ts").cast("timestamp").alias("datetime"), "headline", F.col("doc_id").alias("id"),
         F.lit(None).cast("string").alias("image"), F.col("related_symbol").alias("related"), "source", "summary", "url",
     )

@@ -69,7 +69,7 @@ _BETA = f"""
 
 @check("beta", f" SELECT symbol, round(beta, 6) AS beta, common_days FROM ({_BETA})", "returns")
 def beta_(spark, folder):
-    return base.rounded(beta(_returns(spark, folder), BENCHMARK, AS_OF, LOOKBACK), "beta")
+    return base.rounded(beta(base.candles(spark, folder), BENCHMARK, AS_OF, LOOKBACK), "beta")
 
 
 _CUTS = "SELECT symbol, quantile_cont(ret, 0.05) AS q5, quantile_cont(ret, 0.01) AS q1, count(*) AS n FROM returns WHERE ret IS NOT NULL GROUP BY 1"
@@ -85,7 +85,7 @@ _TAIL = f"""
     "returns",
 )
 def value_at_risk(spark, folder):
-    rows = tail_risk(_returns(spark, folder), AS_OF, LOOKBACK)
+    rows = tail_risk(base.candles(spark, folder), AS_OF, LOOKBACK)
     return base.rounded(rows.select("symbol", "observations", "var_95", "var_99"), "var_95", "var_99")
 
 
@@ -95,7 +95,7 @@ def value_at_risk(spark, folder):
     "returns",
 )
 def conditional_var(spark, folder):
-    rows = tail_risk(_returns(spark, folder), AS_OF, LOOKBACK)
+    rows = tail_risk(base.candles(spark, folder), AS_OF, LOOKBACK)
     return base.rounded(rows.select("symbol", "cvar_95", "cvar_99"), "cvar_95", "cvar_99")
 
 

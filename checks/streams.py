@@ -1,0 +1,183 @@
+"""The streams, drained over topics that Spark writes from the supplied tables.
+
+Each query publishes the rows as framed records, runs the pipeline until nothing is left and reads
+the tables it wrote. The SQL is that of the batch query.
+"""
+
+from pyspark.sql import functions as F
+
+from checks import base, landing
+from checks.base import NEGATIVE, POSITIVE, check
+from tapewright import schemas
+from tapewright.session import shared_folder
+from tapewright.sources.store import MarketStore
+from tapewright.sources.topics import publish_files, topic_stream
+from tapewright.streaming import ingest, monitors, pipelines
+from tapewright.streaming.runner import Job, drain
+
+_NTZ = "timestamp_ntz"
+
+
+def _run(spark, name, rows, process=None, path=None, folder=None):
+    started = drain(spark, [Job(name, rows, "30 seconds", process, path)], f"{folder}/checkpoints")
+    if started.failures:
+        raise started.failures[name]
+    return started.queries[name]
+
+
+def candle_records(candles):
+    return candles.withColumn("timestamp", F.col("ts").cast("timestamp"))
+
+
+def stored_candles(spark, folder) -> MarketStore:
+    """The candle pipeline over all candles."""
+    work = shared_folder(spark, "candles")
+    topic = f"{work}/topic"
+    publish_files(candle_records(base.candles(spark, folder)), schemas.CANDLE_TOPIC, "symbol", topic)
+    store = MarketStore(spark, f"{work}/store")
+    rows = pipelines.classified_candles(topic_stream(spark, topic))
+    _run(spark, "candles", pipelines.counted(rows, "candle_rows"), pipelines.candle_batch(store), folder=work)
+    return store
+
+
+@check(
+    "stream_candles",
+    """ SELECT symbol, ts, open, high, low, close, CAST(volume AS DOUBLE) AS volume, volatility, risk AS risk_score,
+      change AS price_change, pct AS price_change_percent FROM measured""",
+    "measured",
+)
+def stream_candles(spark, folder):
+    store = stored_candles(spark, folder)
+    metrics = store.metrics().drop("arrival", "day", "trend_numeric")
+    joined = store.candles().drop("arrival", "day").join(metrics, ["symbol", "ts"], "full")
+    return joined.withColumn("ts", F.col("ts").cast(_NTZ))
+
+
+@check(
+    "stream_summaries",
+    """ SELECT symbol, last_timestamp, current_price, latest_volume, latest_volatility, latest_risk_score, latest_trend,
+      price_change_today, price_change_percent_today FROM summaries""",
+    "summaries",
+)
+def stream_summaries(spark, folder):
+    rows = stored_candles(spark, folder).stock_summaries().drop("arrival", "calculation_date")
+    return rows.withColumn("last_timestamp", F.col("last_timestamp").cast(_NTZ))
+
+
+@check(
+    "stream_news",
+    """ SELECT id, headline, sentiment, source, related_symbol, ts, date_bucket FROM news
+    WHERE regexp_matches(summary, '[^\t-\r\x1c-\x1f\\p{Z}]')""",
+    "news",
+)
+def stream_news(spark, folder):
+    work = shared_folder(spark, "news")
+    records = base.articles(spark, folder).select(
+        F.lit("general").alias("category"), F.col("ts").cast("timestamp").alias("datetime"), "headline",
+        F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("image"), F.col("related_symbol").alias("related"),
+        "source", "summary", "url",
+    )
+    publish_files(records, schemas.NEWS_TOPIC, "category", f"{work}/topic")
+    store = MarketStore(spark, f"{work}/store")
+    rows = pipelines.classified_news(topic_stream(spark, f"{work}/topic"))
+    _run(spark, "news", rows, pipelines.news_batch(store, positive=POSITIVE, negative=NEGATIVE), folder=work)
+    news = store.news().select("id", "headline", "sentiment", "source", "related_symbol", "ts", "date_bucket")
+    return news.withColumn("ts", F.col("ts").cast(_NTZ))
+
+
+def stored_observations(spark, folder) -> MarketStore:
+    """Good observations (one per series and date) and all bad ones through the economic pipeline."""
+    work = shared_folder(spark, "economic")
+    columns = ("series_id", "observation_date", "value")
+    good = base.observations(spark, folder).withColumn("value", F.col("value").cast("string")).select(*columns)
+    bad = base.economic(spark, folder).where(F.col("value").isin(".", "n/a")).select(*columns)
+    records = good.unionByName(bad).select(
+        F.col("series_id").alias("seriesId"), F.col("observation_date").alias("observationDate"), "value",
+        F.lit("").alias("realTimeStart"), F.lit("").alias("realTimeEnd"),
+    )
+    publish_files(records, schemas.OBSERVATION_TOPIC, "seriesId", f"{work}/topic")
+    store = MarketStore(spark, f"{work}/store")
+    rows = pipelines.classified_observations(topic_stream(spark, f"{work}/topic"))
+    _run(spark, "observations", rows, pipelines.observation_batch(store), folder=work)
+    return store
+
+
+@check("stream_economic", " SELECT series_id, ts, value FROM observations", "observations")
+def stream_economic(spark, folder):
+    rows = stored_observations(spark, folder).observations().select("series_id", "ts", "value")
+    return rows.withColumn("ts", F.col("ts").cast(_NTZ))
+
+
+@check(
+    "stream_dead_letters",
+    """ SELECT 'economic-observations' AS source, 'observation' AS record_type,
+      CASE raw_value WHEN '.' THEN 'no_observation' ELSE 'value_not_a_number' END AS reason, count(*) AS n
+    FROM economic WHERE raw_value IN ('.', 'n/a') GROUP BY 3""",
+    "economic",
+)
+def stream_dead_letters(spark, folder):
+    rejects = stored_observations(spark, folder).rejects()
+    return rejects.groupBy("source", "record_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLOSED = """
+      SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end,
+        round(avg((volatility + 1 - volatility) / volatility), 6) AS volatility
+      FROM ticks GROUP BY 1, 2"""
+
+
+@check(
+    "stream_volatility_15m",
+    f" SELECT * FROM ({_CLOSED}) WHERE window_end <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTES",
+    "ticks",
+)
+def stream_volatility_15m(spark, folder):
+    """Every event as a candle one unit high; windows the watermark has closed."""
+    work = shared_folder(spark, "volatility")
+    value = F.col("volatility")
+    candles = base.ticks(spark, folder).select(
+        "symbol", F.col("ts").cast("timestamp").alias("ts"), value.alias("open"), (value + 1).alias("high"),
+        value.alias("low"), value.alias("close"), F.lit(1).cast("bigint").alias("volume"), F.lit(None).cast("string").alias("reason"),
+    )
+    candles.write.parquet(f"{work}/candles")
+    stream = spark.readStream.schema(candles.schema).parquet(f"{work}/candles")
+    _run(spark, "volatility", monitors.volatility_windows(stream), path=f"{work}/windows", folder=work)
+    rows = base.rounded(spark.read.parquet(f"{work}/windows"), "volatility")
+    return rows.withColumn("window_end", F.col("window_end").cast(_NTZ))
+
+
+@check(
+    "stream_reject_rates",
+    """
+    SELECT service AS source, minute + to_minutes(k) AS window_end, sum(n)::BIGINT AS rejects, sum(n) / 300.0::DOUBLE AS rate
+    FROM (SELECT 'requests' AS service, date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS n FROM requests WHERE NOT ok GROUP BY 2),
+      (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+    GROUP BY 1, 2 HAVING minute + to_minutes(k) <= (SELECT max(ts) FROM requests WHERE NOT ok) - INTERVAL 10 MINUTES""",
+    "requests",
+)
+def stream_reject_rates(spark, folder):
+    work = shared_folder(spark, "rejects")
+    rows = base.requests(spark, folder).select(
+        F.col("ts").cast("timestamp").alias("ingest_time"), F.when(F.col("ok") == 0, "failed").alias("reason")
+    )
+    rows.write.parquet(f"{work}/requests")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/requests")
+    _run(spark, "rates", monitors.rejection_rates(stream, "requests"), path=f"{work}/rates", folder=work)
+    return spark.read.parquet(f"{work}/rates").withColumn("window_end", F.col("window_end").cast(_NTZ))
+
+
+@check(
+    "ingest_quotes",
+    f" SELECT symbol, ts, open, high, low, close FROM ({landing._QUOTE}) WHERE {landing._QUOTE_REASON} IS NULL",
+    "candles",
+)
+def ingest_quotes(spark, folder):
+    """Landed quotes to the candle topic, and the topic through the candle pipeline."""
+    work = shared_folder(spark, "quotes")
+    landing.quote_payloads(spark, folder).write.json(f"{work}/landed")
+    store = MarketStore(spark, f"{work}/store")
+    payloads = spark.readStream.schema("symbol string, payload string, received_at timestamp").json(f"{work}/landed")
+    _run(spark, "quotes", payloads, ingest.quote_ingest(ingest.to_folder(f"{work}/topics"), store), folder=work)
+    topic = topic_stream(spark, f"{work}/topics/{schemas.CANDLE_TOPIC}")
+    _run(spark, "candles", pipelines.classified_candles(topic), pipelines.candle_batch(store), folder=work)
+    return store.candles().select("symbol", F.col("ts").cast(_NTZ).alias("ts"), "open", "high", "low", "close")

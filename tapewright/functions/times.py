@@ -38,6 +38,19 @@ def days_before(as_of: datetime | str, days: float) -> datetime:
     return moment(as_of) - timedelta(days=days)
 
 
+def in_span(points: DataFrame, start: datetime, stop: datetime, ts: str = "ts") -> Column:
+    """start <= ts < stop. Where the table is partitioned by day, whole days are pruned as well."""
+    time = F.col(ts)
+    inside = (time >= like(start, points, ts)) & (time < like(stop, points, ts))
+    if "day" in points.columns:
+        inside &= F.col("day").between(day_literal(start), day_literal(stop))
+    return inside
+
+
+def day_literal(value: datetime) -> Column:
+    return F.lit(value.date().isoformat()).cast("date")
+
+
 def date_bucket(ts: Column) -> Column:
     """The UTC day as text."""
     return F.to_date(ts).cast("string")

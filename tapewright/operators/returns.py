@@ -9,12 +9,12 @@ when one symbol holds a third of all candles.
 from __future__ import annotations
 
 import re
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.times import literal, moment
+from tapewright.functions.times import moment
 from tapewright.operators.series import trailing_rows
 
 TRAILING = 20
@@ -46,49 +46,61 @@ def period_days(periods: str) -> int:
     return max(days, default=30)
 
 
-def daily_closes(candles: DataFrame) -> DataFrame:
-    """The last close of every symbol and day."""
-    return candles.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("close", "ts").alias("close"))
+def daily_closes(candles: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
+    """The last close of every symbol and day.
+
+    With a first day, everything older collapses into one row per symbol, stamped the day before:
+    the previous close of the first return, however far back it lies.
+    """
+    day = F.to_date("ts")
+    if last is not None:
+        candles = candles.where(day <= _date(last))
+        if "day" in candles.columns:
+            candles = candles.where(F.col("day") <= _date(last))
+    if first is not None:
+        day = F.greatest(day, _date(first - timedelta(days=1)))
+    return candles.select("symbol", "ts", "close", day.alias("day")).groupBy("symbol", "day").agg(
+        F.max_by("close", "ts").alias("close")
+    )
 
 
-def daily_returns(candles: DataFrame) -> DataFrame:
+def _date(value: date) -> Column:
+    return F.lit(value.isoformat()).cast("date")
+
+
+def daily_returns(candles: DataFrame, first: date | None = None, last: date | None = None) -> DataFrame:
     """close / previous close - 1 between a symbol's consecutive days with data; first day null."""
-    previous = F.lag("close").over(Window.partitionBy("symbol").orderBy("day"))
-    return daily_closes(candles).withColumn("ret", F.try_divide(F.col("close"), previous) - 1)
+    previous = F.lag("close").over(Window.partitionBy("symbol").orderBy(F.unix_date("day")))
+    returns = daily_closes(candles, first, last).withColumn("ret", F.try_divide(F.col("close"), previous) - 1)
+    return returns if first is None else returns.where(F.col("day") >= _date(first))
 
 
-def recent(returns: DataFrame, end: datetime | str, lookback: int) -> DataFrame:
+def recent_returns(candles: DataFrame, end: datetime | str, lookback: int) -> DataFrame:
     """Returns of the last `lookback` calendar days up to and including the end day."""
-    last = moment(end)
-    first = last - timedelta(days=lookback - 1)
-    day = F.col("day")
-    return returns.where(
-        (day >= literal(first, "timestamp_ntz").cast("date"))
-        & (day <= literal(last, "timestamp_ntz").cast("date"))
-        & F.col("ret").isNotNull()
-    )
+    last = moment(end).date()
+    returns = daily_returns(candles, last - timedelta(days=lookback - 1), last)
+    return returns.where(F.col("ret").isNotNull())
 
 
 def historical_volatility(returns: DataFrame, windows: tuple[int, ...] = VOLATILITY_DAYS) -> DataFrame:
     """Sample deviation of the returns in the trailing N calendar days, for each N; null below two."""
-    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
 
     def over(n: int):
-        return Window.partitionBy("symbol").orderBy("__day").rangeBetween(-(n - 1), 0)
+        return Window.partitionBy("symbol").orderBy(F.unix_date("day")).rangeBetween(-(n - 1), 0)
 
     added = {
         f"vol_{n}d": F.when(F.count("ret").over(over(n)) >= 2, F.stddev_samp("ret").over(over(n))) for n in windows
     }
-    return returns.withColumn("__day", number).withColumns(added).drop("__day")
+    return returns.withColumns(added)
 
 
-def benchmark_returns(returns: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
+def benchmark_returns(candles: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
     """(day, bench_ret) of one symbol: at most one row per calendar day of the lookback.
 
     That bound is known here, so the side is broadcast while it is small and joined by shuffle
     beyond.
     """
-    bench = recent(returns.where(F.col("symbol") == benchmark), end, lookback).select(
+    bench = recent_returns(candles.where(F.col("symbol") == benchmark), end, lookback).select(
         "day", F.col("ret").alias("bench_ret")
     )
     return F.broadcast(bench) if lookback <= BROADCAST_DAYS else bench
@@ -100,11 +112,11 @@ def _beta() -> Column:
     return F.when(variance > 0, F.covar_samp("ret", "bench_ret") / F.when(variance > 0, variance))
 
 
-def beta(returns: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
+def beta(candles: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
     """Covariance with the benchmark over its variance, on common days; null for a flat benchmark."""
-    bench = benchmark_returns(returns, benchmark, end, lookback)
+    bench = benchmark_returns(candles, benchmark, end, lookback)
     return (
-        recent(returns, end, lookback)
+        recent_returns(candles, end, lookback)
         .join(bench, "day")
         .groupBy("symbol")
         .agg(_beta().alias("beta"), F.count(F.lit(1)).alias("common_days"))
@@ -122,13 +134,13 @@ def _shortfall(rets: Column, cut: Column) -> Column:
     return -F.try_divide(F.aggregate(tail, F.lit(0.0), lambda a, r: a + r), F.size(tail))
 
 
-def tail_risk(returns: DataFrame, end: datetime | str, lookback: int) -> DataFrame:
+def tail_risk(candles: DataFrame, end: datetime | str, lookback: int) -> DataFrame:
     """Value at risk and its conditional form at 95 and 99 %, by historical simulation.
 
     One aggregation; the array it fills holds a symbol's returns in the lookback, one per day.
     """
     grouped = (
-        recent(returns, end, lookback)
+        recent_returns(candles, end, lookback)
         .groupBy("symbol")
         .agg(_cuts().alias("cuts"), F.collect_list("ret").alias("rets"), F.count(F.lit(1)).alias("observations"))
     )
@@ -143,16 +155,16 @@ def tail_risk(returns: DataFrame, end: datetime | str, lookback: int) -> DataFra
     )
 
 
-def risk_figures(returns: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
+def risk_figures(candles: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
     """All risk figures per symbol at the end day, in one aggregation over the returns.
 
     Volatilities use their own 30, 60 and 90 days, whatever the lookback of the other figures.
     """
     span = max(lookback, *VOLATILITY_DAYS)
-    day, last = F.col("day"), literal(moment(end), "timestamp_ntz").cast("date")
-    bench = benchmark_returns(returns, benchmark, end, lookback)
+    day, last = F.col("day"), _date(moment(end).date())
+    bench = benchmark_returns(candles, benchmark, end, lookback)
     inside = day > F.date_sub(last, lookback)
-    rows = recent(returns, end, span).join(bench, "day", "left").withColumn("all_ret", F.col("ret"))
+    rows = recent_returns(candles, end, span).join(bench, "day", "left").withColumn("all_ret", F.col("ret"))
     # Rows outside the lookback serve the volatilities only.
     rows = rows.withColumn("ret", F.when(inside, F.col("ret")))
     vols = {n: F.when(day > F.date_sub(last, n), F.col("all_ret")) for n in VOLATILITY_DAYS}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright import schemas
 from tapewright.functions.checks import observation_reason
 from tapewright.functions.text import is_blank
-from tapewright.functions.times import days_before, like, observation_date, observation_midnight
+from tapewright.functions.times import days_before, in_span, like, moment, observation_date, observation_midnight
 from tapewright.operators.latest import insert_if_absent, latest_per_key
 from tapewright.operators.ranking import page_of, top, top_per_key
 
@@ -102,9 +102,8 @@ def indicator_page(
 
 def indicator_timeseries(observations: DataFrame, series_id: str, as_of: datetime | str, days: float = 30) -> DataFrame:
     """Points of one series in [as_of - days, as_of), ordered by time."""
-    ts = F.col("ts")
-    start, stop = like(days_before(as_of, days), observations, "ts"), like(as_of, observations, "ts")
-    rows = observations.where((F.col("series_id") == series_id.upper()) & (ts >= start) & (ts < stop))
+    span = in_span(observations, days_before(as_of, days), moment(as_of))
+    rows = observations.where((F.col("series_id") == series_id.upper()) & span)
     return rows.where(F.col("value").isNotNull()).select("series_id", "value", "ts").orderBy("ts")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import above, is_finite, or_zero
-from tapewright.functions.times import hours_before, like
+from tapewright.functions.times import hours_before, in_span, like, moment
 from tapewright.operators.points import collapsed_mean, market_mean, windowed_mean
-from tapewright.operators.ranking import top
+from tapewright.operators.ranking import top, top_per_key
 from tapewright.plans.stocks import is_active, is_valid
 
 HIGH_RISK = 70.0
@@ -79,6 +79,20 @@ def high_risk_symbols(summaries: DataFrame, as_of: datetime | str) -> DataFrame:
     return active_summaries(summaries, as_of).where(risky).select("symbol", "latest_risk_score").orderBy("symbol")
 
 
+# name -> (which active symbols are in the list, what puts them first when small)
+_LISTS = {
+    "gainers": (
+        lambda: above(or_zero(F.col("price_change_percent_today")), 0),
+        lambda: -F.col("price_change_percent_today"),
+    ),
+    "losers": (
+        lambda: or_zero(F.col("price_change_percent_today")) < 0,
+        lambda: F.col("price_change_percent_today"),
+    ),
+    "most_volatile": (lambda: is_finite(F.col("latest_volatility")), lambda: -F.col("latest_volatility")),
+}
+
+
 def _mover(summaries: DataFrame, *keep: str) -> DataFrame:
     c = F.col
     return summaries.select(
@@ -91,26 +105,37 @@ def _mover(summaries: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def _movers(active: DataFrame, name: str, n: int) -> DataFrame:
+    member, rank = _LISTS[name]
+    return _mover(top(active.where(member()), [rank().asc(), F.asc("symbol")], n))
+
+
 def top_gainers(active: DataFrame, n: int = MOVERS) -> DataFrame:
-    gained = active.where(above(or_zero(F.col("price_change_percent_today")), 0))
-    return _mover(top(gained, [F.desc("price_change_percent_today"), F.asc("symbol")], n))
+    return _movers(active, "gainers", n)
 
 
 def top_losers(active: DataFrame, n: int = MOVERS) -> DataFrame:
-    lost = active.where(or_zero(F.col("price_change_percent_today")) < 0)
-    return _mover(top(lost, [F.asc("price_change_percent_today"), F.asc("symbol")], n))
+    return _movers(active, "losers", n)
 
 
 def most_volatile(active: DataFrame, n: int = MOVERS) -> DataFrame:
-    finite = active.where(is_finite(F.col("latest_volatility")))
-    return _mover(top(finite, [F.desc("latest_volatility"), F.asc("symbol")], n))
+    return _movers(active, "most_volatile", n)
 
 
 def top_movers(active: DataFrame, n: int = MOVERS) -> DataFrame:
-    """The three mover lists in one result; `list` names the list."""
-    lists = {"gainers": top_gainers, "losers": top_losers, "most_volatile": most_volatile}
-    named = [build(active, n).withColumn("list", F.lit(name)) for name, build in lists.items()]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    """The three mover lists in one result and one pass; `list` names the list.
+
+    A symbol is repeated for each list it belongs to, and every task keeps n rows per list.
+    """
+    entries = F.array(
+        *(
+            F.when(member(), F.struct(F.lit(name).alias("list"), rank().alias("rank")))
+            for name, (member, rank) in _LISTS.items()
+        )
+    )
+    listed = active.withColumn("__entry", F.explode(F.array_compact(entries)))
+    ranked = listed.withColumns({"list": F.col("__entry.list"), "__key": F.col("__entry.rank")})
+    return _mover(top_per_key(ranked, ["list"], [F.asc("__key"), F.asc("symbol")], n), "list")
 
 
 def market_volatility(
@@ -120,8 +145,7 @@ def market_volatility(
 
     `collapse=True` gives one mean of all window means instead.
     """
-    ts = F.col("ts")
-    recent = metrics.where((ts >= like(hours_before(as_of, hours), metrics, "ts")) & (ts < like(as_of, metrics, "ts")))
+    recent = metrics.where(in_span(metrics, hours_before(as_of, hours), moment(as_of)))
     means = windowed_mean(recent, "volatility")
     if collapse:
         return collapsed_mean(means, "volatility")

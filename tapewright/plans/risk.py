@@ -7,7 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.functions.times import days_before, like, moment
+from tapewright.functions.times import days_before, in_span, moment
 from tapewright.operators.returns import daily_returns, lookback_days, period_days, risk_figures
 
 METHOD = "Historical Simulation"
@@ -45,7 +45,7 @@ def stock_risk(
     end, days = _end(day, as_of), lookback_days(lookback)
     if symbol is not None:
         candles = candles.where(F.col("symbol").isin(symbol.upper(), benchmark))
-    figures = risk_figures(daily_returns(candles), benchmark, end, days)
+    figures = risk_figures(candles, benchmark, end, days)
     if symbol is not None:
         figures = figures.where(F.col("symbol") == symbol.upper())
     report = figures.withColumns(
@@ -63,45 +63,46 @@ def period_names(periods: str) -> list[str]:
     return list(dict.fromkeys(p.strip().lower() for p in periods.split(",")))
 
 
-def stock_volatility(
-    metrics: DataFrame,
-    instruments: DataFrame,
-    as_of: datetime | str,
-    symbol: str | None = None,
-    periods: str = "30d,60d,90d",
-    end_date: date | str | None = None,
+def _last_volatility(
+    metrics: DataFrame, as_of: datetime | str, symbol: str | None, periods: str, end_date: date | str | None
 ) -> DataFrame:
-    """The last stored volatility in the longest period, under every requested period's name."""
     stop = moment(as_of)
-    ts = F.col("ts")
-    rows = metrics.where(
-        (ts >= like(days_before(stop, period_days(periods)), metrics, "ts")) & (ts < like(stop, metrics, "ts"))
-    )
+    rows = metrics.where(in_span(metrics, days_before(stop, period_days(periods)), stop))
     if symbol is not None:
         rows = rows.where(F.col("symbol") == symbol.upper())
     last = rows.groupBy("symbol").agg(F.max_by("volatility", "ts").alias("last_volatility"))
     entries = [c for name in period_names(periods) for c in (F.lit(name), F.col("last_volatility"))]
-    report = last.select(
+    return last.select(
         "symbol",
         F.create_map(*entries).alias("periods"),
         F.lit(_end(end_date, as_of).date().isoformat()).alias("end_date"),
     )
-    return with_instrument(report, instruments)
+
+
+def stock_volatility(
+    metrics: DataFrame,
+    instruments: DataFrame,
+    as_of: datetime | str,
+    symbol: str | None = None,
+    periods: str = "30d,60d,90d",
+    end_date: date | str | None = None,
+) -> DataFrame:
+    """The last stored volatility in the longest period, under every requested period's name."""
+    return with_instrument(_last_volatility(metrics, as_of, symbol, periods, end_date), instruments)
 
 
 def period_volatility(
     candles: DataFrame, as_of: datetime | str, periods: str = "30d,60d,90d", end_date: date | str | None = None
 ) -> DataFrame:
     """Deviation of the daily returns in each requested period, one column per period."""
-    end = _end(end_date, as_of)
-    day = F.col("day")
-    last = F.lit(end.date().isoformat()).cast("date")
-    added = {}
-    for name in period_names(periods):
-        first = F.lit((end - timedelta(days=period_days(name) - 1)).date().isoformat()).cast("date")
-        ret = F.when((day >= first) & (day <= last), F.col("ret"))
-        added[name] = F.when(F.count(ret) >= 2, F.stddev_samp(ret))
-    return daily_returns(candles).groupBy("symbol").agg(*(c.alias(f"vol_{name}") for name, c in added.items()))
+    end = _end(end_date, as_of).date()
+    names = period_names(periods)
+    firsts = {name: end - timedelta(days=period_days(name) - 1) for name in names}
+    added = []
+    for name, first in firsts.items():
+        ret = F.when(F.col("day") >= F.lit(first.isoformat()).cast("date"), F.col("ret"))
+        added.append(F.when(F.count(ret) >= 2, F.stddev_samp(ret)).alias(f"vol_{name}"))
+    return daily_returns(candles, min(firsts.values()), end).groupBy("symbol").agg(*added)
 
 
 def market_index(
@@ -116,5 +117,4 @@ def market_index(
 ) -> DataFrame:
     """Risk and volatility blocks of the same index symbol; both must be there."""
     risk = stock_risk(candles, instruments, as_of, symbol, lookback=lookback, benchmark=benchmark)
-    volatility = stock_volatility(metrics, instruments, as_of, symbol, periods).select("symbol", "periods", "end_date")
-    return risk.join(volatility, "symbol")
+    return risk.join(_last_volatility(metrics, as_of, symbol, periods, None), "symbol")

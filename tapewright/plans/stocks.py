@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions.measures import direction, risk_tier, with_measures
 from tapewright.functions.numbers import is_finite, or_zero
 from tapewright.functions.text import contains_text, is_blank
-from tapewright.functions.times import hours_before, like
+from tapewright.functions.times import day_literal, hours_before, in_span, like, moment
 from tapewright.operators.latest import latest_by_unique
 from tapewright.operators.points import join_points, metric_point, resample, resample_measures
 from tapewright.operators.ranking import page_of, top
@@ -94,12 +94,8 @@ def stock_page(summaries: DataFrame, page: int = 0, size: int = 50) -> DataFrame
 
 def _in_range(points: DataFrame, symbol: str, as_of: datetime | str, hours: float) -> DataFrame:
     """Start inclusive, stop exclusive; both bounds and the symbol reach the scan."""
-    ts = F.col("ts")
-    return points.where(
-        (F.col("symbol") == symbol.upper())
-        & (ts >= like(hours_before(as_of, hours), points, "ts"))
-        & (ts < like(as_of, points, "ts"))
-    )
+    span = in_span(points, hours_before(as_of, hours), moment(as_of))
+    return points.where((F.col("symbol") == symbol.upper()) & span)
 
 
 def window_text(window: str) -> str:
@@ -130,8 +126,7 @@ def stock_timeseries(
 
 def top_performers(metrics: DataFrame, as_of: datetime | str, limit: int = 10, hours: float = 1) -> DataFrame:
     """Symbols by their last percent change in the hour before as_of; non-finite values are left out."""
-    ts = F.col("ts")
-    recent = metrics.where((ts >= like(hours_before(as_of, hours), metrics, "ts")) & (ts < like(as_of, metrics, "ts")))
+    recent = metrics.where(in_span(metrics, hours_before(as_of, hours), moment(as_of)))
     last = recent.groupBy("symbol").agg(F.max_by("price_change_percent", "ts").alias("change_percent"))
     return top(last.where(is_finite(F.col("change_percent"))), [F.desc("change_percent"), F.asc("symbol")], limit)
 
@@ -159,10 +154,13 @@ def stock_history(
 ) -> DataFrame:
     """One page of a symbol's measured candles, newest first; both bounds are inclusive."""
     rows = measured.where(F.col("symbol") == symbol.upper())
+    partitioned = "day" in measured.columns
     if start is not None:
         rows = rows.where(F.col("ts") >= like(start, measured, "ts"))
+        rows = rows.where(F.col("day") >= day_literal(moment(start))) if partitioned else rows
     if end is not None:
         rows = rows.where(F.col("ts") <= like(end, measured, "ts"))
+        rows = rows.where(F.col("day") <= day_literal(moment(end))) if partitioned else rows
     points = rows.select(
         "symbol", "ts", F.col("close").alias("price"), "open", "high", "low", "volume", "volatility", "risk_score", "trend"
     )

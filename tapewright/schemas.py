@@ -195,6 +195,7 @@ INSTRUMENTS = _struct(
 REQUEST_LOG = _struct(("service", _S), ("ts", _T), ("ok", IntegerType()))
 
 DAY = StructField("day", DateType(), True)
+WRITER = StructField("writer", StringType(), True)
 BATCH_ID = StructField("batch_id", LongType(), True)
 
 # The dimension rows known in advance, as (series_id, title, frequency, units, source).

@@ -36,14 +36,14 @@ def kafka_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 def topic_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Streaming source over a topic folder."""
-    reader = spark.readStream.schema(schemas.TOPIC)
+    reader = spark.readStream.schema(schemas.TOPIC).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
 
 
 def topic_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TOPIC).parquet(path)
+    return spark.read.schema(schemas.TOPIC).option("recursiveFileLookup", "true").parquet(path)
 
 
 def avro_schema(wire) -> str:
@@ -119,22 +119,24 @@ def encode_topic(records: DataFrame, topic: str, key: str, use_package: bool | N
     return records.select(F.col(key).cast("binary").alias("key"), frame.alias("value"))
 
 
-def publish_files(records: DataFrame, topic: str, key: str, path: str) -> None:
-    """Append keyed records to a topic folder.
+def publish_files(
+    records: DataFrame, topic: str, key: str, path: str, batch_id: int = 0, writer: str = "main"
+) -> None:
+    """Write keyed records to a topic folder; a writer's batch published again replaces the first.
 
-    Offsets rise within each written partition, as they do within a Kafka partition.
+    Offsets rise from batch to batch, and within a batch along each written partition, which may
+    hold up to 2^24 rows.
     """
-    rows = encode_topic(records, topic, key)
-    numbered = rows.withColumn("seq", F.monotonically_increasing_id())
-    partition = F.shiftrightunsigned("seq", 33).cast("int")
+    numbered = encode_topic(records, topic, key).withColumn("seq", F.monotonically_increasing_id())
+    in_partition = F.col("seq").bitwiseAND((1 << 33) - 1)
     numbered.select(
         "key",
         "value",
         F.lit(topic).alias("topic"),
-        partition.alias("partition"),
-        F.col("seq").bitwiseAND((1 << 33) - 1).alias("offset"),
+        F.shiftrightunsigned("seq", 33).cast("int").alias("partition"),
+        (F.lit(batch_id).cast("bigint") * (1 << 24) + in_partition).alias("offset"),
         F.current_timestamp().alias("timestamp"),
-    ).write.mode("append").parquet(path)
+    ).write.mode("overwrite").parquet(f"{path}/{writer}-{batch_id}")
 
 
 def publish_kafka(records: DataFrame, topic: str, key: str, servers: str) -> None:
