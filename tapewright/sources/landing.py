@@ -46,6 +46,7 @@ PAYLOADS = StructType(
 )
 
 OBSERVATIONS_PER_CALL = 10
+CANDLE_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume", "origin", "payload", "reason")
 DEFAULT_NEWS_SOURCE = "Finnhub"  # fixed value: the vendor the news feed comes from
 _ENTRY = StructType([StructField("key", StringType()), StructField("value", schemas.VENDOR_BAR)])
 
@@ -67,24 +68,26 @@ def quotes_to_candles(payloads: DataFrame, market_hours_only: bool = False) -> D
 
     Previous close and the vendor's own change figures are carried along unused.
     """
-    price = F.when(above(F.col("q.c"), 0), F.col("q.c"))
+    # inline() parses a payload once per row; filters on the fields stay above it.
+    quotes = payloads.select("symbol", "payload", "received_at", F.inline(F.array(F.from_json("payload", schemas.QUOTE))))
+    price = F.when(above(F.col("c"), 0), F.col("c"))
 
     def positive_or_price(field: str) -> Column:
-        return F.coalesce(F.when(above(F.col(f"q.{field}"), 0), F.col(f"q.{field}")), price)
+        return F.coalesce(F.when(above(F.col(field), 0), F.col(field)), price)
 
-    candles = payloads.withColumn("q", F.from_json("payload", schemas.QUOTE)).select(
+    candles = quotes.select(
         "symbol",
-        epoch_seconds_or(F.col("q.t"), F.col("received_at")).alias("ts"),
+        epoch_seconds_or(F.col("t"), F.col("received_at")).alias("ts"),
         positive_or_price("o").alias("open"),
         positive_or_price("h").alias("high"),
         positive_or_price("l").alias("low"),
         price.alias("close"),
         F.lit(0).cast("bigint").alias("volume"),
         F.lit("quote").alias("origin"),
-        F.col("q.t").alias("t"),
-        F.col("q.pc").alias("previous_close"),
-        F.col("q.d").alias("vendor_change"),
-        F.col("q.dp").alias("vendor_change_percent"),
+        "t",
+        F.col("pc").alias("previous_close"),
+        F.col("d").alias("vendor_change"),
+        F.col("dp").alias("vendor_change_percent"),
         "payload",
     )
     if market_hours_only:
@@ -190,24 +193,32 @@ def _bars(spark: SparkSession, responses: DataFrame, zone_field: str, pattern: s
     ).otherwise(F.map_entries("bars"))
     exploded = gated.select("symbol", "payload", "gate", "zone", "origin", F.explode(entries).alias("e"))
     bar = "e.value."
+    typed = {
+        "ts": local_to_utc(F.col("e.key"), pattern, F.col("zone")),
+        "open": to_double(F.col(bar + "`1. open`")),
+        "high": to_double(F.col(bar + "`2. high`")),
+        "low": to_double(F.col(bar + "`3. low`")),
+        "close": to_double(F.col(bar + "`4. close`")),
+        "volume": to_long(F.col(bar + "`5. volume`")),
+    }
+    shown = F.when(F.col("gate").isNotNull(), F.col("payload")).otherwise(F.to_json("e")).alias("payload")
     return (
-        exploded.select(
-            "symbol",
-            local_to_utc(F.col("e.key"), pattern, F.col("zone")).alias("ts"),
-            to_double(F.col(bar + "`1. open`")).alias("open"),
-            to_double(F.col(bar + "`2. high`")).alias("high"),
-            to_double(F.col(bar + "`3. low`")).alias("low"),
-            to_double(F.col(bar + "`4. close`")).alias("close"),
-            to_long(F.col(bar + "`5. volume`")).alias("volume"),
-            "origin",
-            F.when(F.col("gate").isNotNull(), F.col("payload")).otherwise(F.to_json("e")).alias("payload"),
-            "gate",
-        )
+        computed_once(exploded, typed, "symbol", "origin", shown, "gate")
         .withColumn("reason", F.coalesce("gate", vendor_candle_reason()))
-        .drop("gate")
+        .select(*CANDLE_COLUMNS)
     )
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column], *keep: Column | str) -> DataFrame:
+    """Add columns that later filters read many times, each computed once per row.
+
+    Spark moves a filter below a projection by repeating the projected expressions in it. It does
+    not move one below a generator.
+    """
+    row = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def daily_bars(payloads: DataFrame) -> DataFrame:
     """Daily bar maps keyed by date text, placed at midnight of the vendor's zone."""
     responses = payloads.withColumn("r", F.from_json("payload", schemas.DAILY_SERIES)).withColumn(
@@ -231,9 +242,6 @@ def intraday_bars(payloads: DataFrame) -> DataFrame:
     )
 
 
-CANDLE_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume", "origin", "payload", "reason")
-
-
 def merge_candles(first: DataFrame, *others: DataFrame) -> DataFrame:
     """Bag union of candle frames; `origin` tells where each came from."""
     merged = first.select(*CANDLE_COLUMNS)
