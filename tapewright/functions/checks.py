@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.numbers import above
 from tapewright.functions.text import is_blank
+from tapewright.schemas import CORRUPT
 
 PRICES = ("open", "high", "low", "close")
 HEADLINE_LIMIT = 1000
@@ -60,6 +61,7 @@ def quote_reason() -> Column:
     high, low, close = F.col("high"), F.col("low"), F.col("close")
     return first_reason(
         (is_blank(F.col("symbol")), "blank_symbol"),
+        (F.col(CORRUPT).isNotNull(), "unreadable"),
         (close.isNull(), "no_price"),
         (F.col("t") >= SECONDS_LIMIT, "time_not_in_seconds"),
         (high < low, "high_below_low"),

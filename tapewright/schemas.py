@@ -75,8 +75,10 @@ def record_type(wire) -> StructType:
 
 
 # ---- vendor payloads --------------------------------------------------------------------------
+# CORRUPT is filled by the JSON reader with a body it could not take apart.
+CORRUPT = "_corrupt_record"
 QUOTE = _struct(
-    ("c", _D), ("h", _D), ("l", _D), ("o", _D), ("pc", _D), ("t", _L), ("d", _D), ("dp", _D)
+    ("c", _D), ("h", _D), ("l", _D), ("o", _D), ("pc", _D), ("t", _L), ("d", _D), ("dp", _D), (CORRUPT, _S)
 )
 NEWS_ITEM = _struct(
     ("category", _S),
@@ -94,7 +96,8 @@ SERIES = _struct(
     (
         "observations",
         ArrayType(_struct(("date", _S), ("value", _S), ("realtime_start", _S), ("realtime_end", _S))),
-    )
+    ),
+    (CORRUPT, _S),
 )
 VENDOR_BAR = _struct(
     ("1. open", _S), ("2. high", _S), ("3. low", _S), ("4. close", _S), ("5. volume", _S)
@@ -111,7 +114,7 @@ VENDOR_META = _struct(
 )
 _BARS = MapType(_S, VENDOR_BAR)
 INTERVALS = ("1min", "5min", "15min", "30min", "60min")
-_NOTES = (("Note", _S), ("Information", _S), ("Error Message", _S))
+_NOTES = (("Note", _S), ("Information", _S), ("Error Message", _S), (CORRUPT, _S))
 DAILY_SERIES = _struct(("Meta Data", VENDOR_META), ("Time Series (Daily)", _BARS), *_NOTES)
 INTRADAY_SERIES = _struct(
     ("Meta Data", VENDOR_META), *((f"Time Series ({i})", _BARS) for i in INTERVALS), *_NOTES

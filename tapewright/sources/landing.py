@@ -85,6 +85,7 @@ def quotes_to_candles(payloads: DataFrame, market_hours_only: bool = False) -> D
         F.lit(0).cast("bigint").alias("volume"),
         F.lit("quote").alias("origin"),
         "t",
+        schemas.CORRUPT,
         F.col("pc").alias("previous_close"),
         F.col("d").alias("vendor_change"),
         F.col("dp").alias("vendor_change_percent"),
@@ -92,7 +93,7 @@ def quotes_to_candles(payloads: DataFrame, market_hours_only: bool = False) -> D
     )
     if market_hours_only:
         candles = candles.where(in_market_hours(F.col("ts")))
-    return candles.withColumn("reason", quote_reason()).drop("t")
+    return candles.withColumn("reason", quote_reason()).drop("t", schemas.CORRUPT)
 
 
 def news_items(payloads: DataFrame) -> DataFrame:
@@ -147,7 +148,7 @@ def series_observations(payloads: DataFrame, per_series: int | None = OBSERVATIO
     `per_series=None` keeps all of them.
     """
     exploded = payloads.withColumn("r", F.from_json("payload", schemas.SERIES)).select(
-        "series_id", "payload", F.explode_outer("r.observations").alias("o"), F.col("r").isNull().alias("broken")
+        "series_id", "payload", F.explode_outer("r.observations").alias("o"), _broken("r").alias("broken")
     )
     rows = exploded.select(
         F.col("series_id").alias("seriesId"),
@@ -168,12 +169,16 @@ def series_observations(payloads: DataFrame, per_series: int | None = OBSERVATIO
     return top_per_key(rows, ["seriesId"], [F.desc("observationDate"), F.asc("value"), F.asc("realTimeStart")], per_series)
 
 
+def _broken(envelope: str) -> Column:
+    return F.col(envelope).isNull() | F.col(f"{envelope}.{schemas.CORRUPT}").isNotNull()
+
+
 def _gate(envelope: str) -> Column:
     """Why a bar response carries no data: a call-limit note, a demo notice or any error."""
     note, info = F.col(f"`{envelope}`.`Note`"), F.col(f"`{envelope}`.`Information`")
     error = F.col(f"`{envelope}`.`Error Message`")
     return first_reason(
-        (F.col(envelope).isNull(), "unreadable"),
+        (_broken(envelope), "unreadable"),
         (error.isNotNull(), "vendor_error"),
         (note.contains("API call frequency") | note.contains("Premium"), "call_limit_note"),
         (info.contains("demo API key") | info.contains("Thank you"), "vendor_notice"),

@@ -1,0 +1,152 @@
+import struct
+
+import pytest
+from helpers import at, times
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import numpy as np
+import pyarrow as pa
+
+from tapewright import schemas
+from tapewright.sources import topics
+from tapewright.sources.frames import decode_column, decode_frames, encode_column, encode_frames
+
+
+def zigzag(n):
+    n = (n << 1) ^ (n >> 63)
+    out = bytearray()
+    while n >= 128:
+        out.append((n & 127) | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def text(s):
+    raw = s.encode()
+    return zigzag(len(raw)) + raw
+
+
+def frame(*parts, number=7):
+    return b"\x00" + number.to_bytes(4, "big") + b"".join(parts)
+
+
+def candle(symbol="AAPL", o=1.0, h=2.0, lo=0.5, c=1.5, v=10, t=1704171600000):
+    return frame(text(symbol), *(struct.pack("<d", x) for x in (o, h, lo, c)), zigzag(v), zigzag(t))
+
+
+def news(image=None, related=None, headline="H"):
+    def optional(s):
+        return zigzag(0) if s is None else zigzag(1) + text(s)
+
+    return frame(
+        text("general"), zigzag(1704171600000), text(headline), zigzag(-5), optional(image), optional(related),
+        text("Reuters"), text("S"), text("http://x"),
+    )
+
+
+def decode(spark, wire, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, value binary")
+    return df, decode_frames(df, wire).orderBy("i")
+
+
+def test_candles(spark):
+    good = candle()
+    bad_text = frame(zigzag(2) + b"\xff\xfe", *(struct.pack("<d", 1.0) for _ in range(4)), zigzag(1), zigzag(1))
+    negative = frame(zigzag(-3), good[9:])
+    endless = frame(b"\xff" * 12)
+    values = [good, None, b"\x00\x00\x00", good[:-3], b"\x01" + good[1:], candle("Ü株", v=-(2**62), t=-1), bad_text, negative,
+              frame(), good + b"tail", endless, b""]
+    _, out = decode(spark, schemas.CANDLE_WIRE, values)
+    rows = times(out, "timestamp").collect()
+    assert [r.reason for r in rows] == [
+        None, "null_value", "bad_frame", "bad_body", "bad_frame", None, "bad_body", "bad_body", "bad_body", None, "bad_body", "bad_frame",
+    ]
+    one = rows[0]
+    assert (one.symbol, one.open, one.high, one.low, one.close, one.volume) == ("AAPL", 1.0, 2.0, 0.5, 1.5, 10)
+    assert one.timestamp == "2024-01-02 05:00:00"
+    assert (rows[5].symbol, rows[5].volume, rows[5].timestamp) == ("Ü株", -(2**62), "1969-12-31 23:59:59")
+    assert rows[3].symbol is None and rows[3].open is None
+
+
+def test_news_with_missing_fields(spark):
+    values = [news(), news("img", "AAPL"), news(None, "MSFT"), news(headline="long " * 5000), frame(text("general"), zigzag(1), text("H"), zigzag(1), zigzag(4))]
+    _, out = decode(spark, schemas.NEWS_WIRE, values)
+    rows = out.collect()
+    assert [(r.image, r.related, r.id, r.reason) for r in rows] == [
+        (None, None, -5, None), ("img", "AAPL", -5, None), (None, "MSFT", -5, None), (None, None, -5, None), (None, None, None, "bad_body"),
+    ]
+    assert rows[3].headline == "long " * 5000
+
+
+def test_encoder_writes_what_the_format_says(spark):
+    df = spark.createDataFrame(
+        [("AAPL", 1.0, 2.0, 0.5, 1.5, 10, at("2024-01-02 05:00:00")), ("", 0.0, -1.0, float("inf"), 3.5, -(2**63), at("1970-01-01"))],
+        "symbol string, open double, high double, low double, close double, volume long, ts string"
+        .replace("ts string", "ts timestamp"),
+    )
+    df = df.withColumnRenamed("ts", "timestamp")
+    out = {bytes(r.key).decode(): bytes(r.value) for r in encode_frames(df, schemas.CANDLE_WIRE, "symbol", 7).collect()}
+    millis = int(df.where("symbol = 'AAPL'").selectExpr("unix_millis(timestamp)").first()[0])
+    assert out["AAPL"] == candle(t=millis)
+    assert out[""].startswith(frame(text(""), struct.pack("<d", 0.0)))
+
+
+_text = st.text(max_size=40)
+_long = st.integers(-(2**63), 2**63 - 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(_text, _text, st.none() | _text, _long, st.floats(allow_nan=False)), min_size=1, max_size=30))
+def test_round_trip(records):
+    wire = (("a", "string", False), ("b", "string", False), ("c", "string", True), ("n", "long", False), ("x", "double", False))
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+    columns = [pa.array([r[i] for r in records], k) for i, k in enumerate(kinds)]
+    frames = encode_column(columns, wire, 1)
+    expected = [
+        frame(text(a), text(b), zigzag(0) if c is None else zigzag(1) + text(c), zigzag(n), struct.pack("<d", x), number=1)
+        for a, b, c, n, x in records
+    ]
+    assert frames.to_pylist() == expected
+    decoded, reasons = decode_column(frames, wire)
+    assert reasons.null_count == len(records)
+    assert list(zip(*(d.to_pylist() for d in decoded))) == records
+    # A sliced batch starts inside the buffers of another.
+    half = len(records) // 2
+    tail, _ = decode_column(frames.slice(half), wire)
+    assert list(zip(*(d.to_pylist() for d in tail))) == records[half:]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=60), min_size=1, max_size=20))
+def test_noise_never_raises(noise):
+    column = pa.array([b"\x00\x00\x00\x00\x01" + n if i % 2 else n for i, n in enumerate(noise)], pa.binary())
+    columns, reasons = decode_column(column, schemas.NEWS_WIRE)
+    bad = np.array([r is not None for r in reasons.to_pylist()])
+    for values in columns:
+        assert all(v is None for v, b in zip(values.cast(pa.string() if pa.types.is_string(values.type) else pa.int64()).to_pylist(), bad) if b)
+
+
+def test_a_null_in_a_required_field_is_refused():
+    with pytest.raises(ValueError, match="must not be null"):
+        encode_column([pa.array(["a", None])], (("s", "string", False),), 1)
+
+
+def test_empty_batches():
+    assert encode_column([pa.array([], pa.string())], (("s", "string", False),), 1).to_pylist() == []
+    columns, reasons = decode_column(pa.array([], pa.binary()), schemas.CANDLE_WIRE)
+    assert len(columns[0]) == 0 and len(reasons) == 0
+
+
+def test_avro_schema_text():
+    assert '"timestamp-millis"' in topics.avro_schema(schemas.CANDLE_WIRE)
+    assert '["null", "string"]' in topics.avro_schema(schemas.NEWS_WIRE)
+
+
+def test_topic_folder(spark, work):
+    df = spark.createDataFrame([("VIXCLS", "2024-01-15", "18.75", "", "")], "seriesId string, observationDate string, value string, realTimeStart string, realTimeEnd string")
+    topics.publish_files(df, schemas.OBSERVATION_TOPIC, "seriesId", work, 3)
+    topics.publish_files(df, schemas.OBSERVATION_TOPIC, "seriesId", work, 3)
+    (row,) = topics.decode_topic(topics.topic_table(spark, work), schemas.OBSERVATION_TOPIC).collect()
+    assert (row.seriesId, row.value, row.reason, row.source_offset >> 24) == ("VIXCLS", "18.75", None, 3)
