@@ -168,11 +168,11 @@ def candle_union(spark, folder):
 
 
 def news_payloads(spark, folder):
-    """Each document as a one-item array; the headline is the first line, the summary the whole text."""
+    """Each document as a one-item array; the summary is the whole text."""
     item = F.struct(
         F.when(F.col("lang") != "de", F.col("lang")).alias("category"),
         F.unix_timestamp("ts").alias("datetime"),
-        F.substring_index("summary", "\n", 1).alias("headline"),
+        "headline",
         F.col("doc_id").alias("id"),
         F.col("related_symbol").alias("related"),
         F.col("source").alias("source"),
@@ -186,12 +186,11 @@ def news_payloads(spark, folder):
     )
 
 
-_BLANK = r"NOT regexp_matches({0}, '[^\t-\r\x1c-\x1f\p{{Z}}]')"
-_NEWS_REASON = f"""
-    SELECT coalesce(nullif(lang, 'de'), 'general') AS category, doc_id, CASE WHEN {_BLANK.format("headline")} THEN 'blank_headline'
-        WHEN {_BLANK.format("text")} THEN 'blank_summary' WHEN length(headline) > 1000 THEN 'headline_too_long'
+_NEWS_REASON = r"""
+    SELECT coalesce(nullif(lang, 'de'), 'general') AS category, doc_id,
+      CASE WHEN NOT regexp_matches(text, '[^\t-\r\x1c-\x1f\p{Z}]') THEN 'blank_summary'
         WHEN length(text) > 5000 THEN 'summary_too_long' WHEN lang = 'fr' THEN 'url_not_http' END AS reason
-    FROM (SELECT *, split_part(text, chr(10), 1) AS headline FROM documents)"""
+    FROM documents"""
 
 
 @check("vendor_news_validity", f"SELECT category, reason, count(*) AS n FROM ({_NEWS_REASON}) GROUP BY 1, 2")

@@ -14,7 +14,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewright.functions.times import moment
+from tapewright.functions.times import literal, moment
 from tapewright.operators.series import trailing_rows
 
 TRAILING = 20
@@ -54,7 +54,8 @@ def daily_closes(candles: DataFrame, first: date | None = None, last: date | Non
     """
     day = F.to_date("ts")
     if last is not None:
-        candles = candles.where(day <= _date(last))
+        stop = moment(last) + timedelta(days=1)
+        candles = candles.where(F.col("ts") < literal(stop, candles.schema["ts"].dataType))
         if "day" in candles.columns:
             candles = candles.where(F.col("day") <= _date(last))
     if first is not None:

@@ -22,11 +22,16 @@ def _bucket(ts: str, grain: str) -> Column:
 
 
 def bucket_starts(df: DataFrame, key: str, ts: str, grain: str, descending: bool = False) -> DataFrame:
-    """(key, bucket, rows in it, rows before it), from a map-side combined count."""
+    """(key, bucket, rows in it, rows before it, rows of the key), from a map-side combined count."""
     counts = df.groupBy(key, _bucket(ts, grain).alias("__bucket")).agg(F.count(F.lit(1)).alias("__rows"))
     order = F.desc("__bucket") if descending else F.asc("__bucket")
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    return counts.withColumns(
+        {
+            "__before": F.coalesce(F.sum("__rows").over(before), F.lit(0)),
+            "__total": F.sum("__rows").over(Window.partitionBy(key)),
+        }
+    )
 
 
 def with_position(
@@ -81,12 +86,12 @@ def page_of_series(df: DataFrame, key: str, ts: str, page: int, size: int, grain
     starts = bucket_starts(df, key, ts, grain, descending=True)
     wanted = starts.where((F.col("__before") < last) & (F.col("__before") + F.col("__rows") > first))
     inside = Window.partitionBy(key, "__bucket").orderBy(F.desc(ts))
-    total = df.agg(F.count(F.lit(1))).scalar()
     return (
         df.withColumn("__bucket", _bucket(ts, grain))
-        .join(wanted.select(key, "__bucket", "__before"), [key, "__bucket"])
+        .join(wanted.select(key, "__bucket", "__before", "__total"), [key, "__bucket"])
         .withColumn("__pos", F.col("__before") + F.row_number().over(inside) - 1)
         .where((F.col("__pos") >= first) & (F.col("__pos") < last))
-        .select(*df.columns)
-        .withColumns(with_page_info(total, page, size))
+        .select(*df.columns, "__total")
+        .withColumns(with_page_info(F.col("__total"), page, size))
+        .drop("__total")
     )

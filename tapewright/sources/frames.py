@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,12 +43,16 @@ def _bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, starts
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Copy the slices [start, start + length) next to each other; returns bytes and offsets."""
-    offsets = np.zeros(len(length) + 1, dtype=np.int64)
-    np.cumsum(length, out=offsets[1:])
-    shift = np.repeat(start - offsets[:-1], length)
-    return flat[np.arange(offsets[-1]) + shift], offsets
+def _slices(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The slices [start, start + length) of the flat bytes as a binary column.
+
+    Slices come in rising order and do not overlap, so their ends and the gaps between them are the
+    offsets of one longer column over the same bytes; every second value of it is a slice.
+    """
+    bounds = np.stack([start, start + length], axis=1).reshape(-1).astype(np.int64)
+    buffers = [None, pa.py_buffer(bounds), pa.py_buffer(flat)]
+    alternating = pa.Array.from_buffers(pa.large_binary(), max(len(bounds) - 1, 0), buffers)
+    return alternating.take(pa.array(np.arange(0, len(bounds), 2)))
 
 
 class _Reader:
@@ -97,10 +102,7 @@ class _Reader:
         self.bad |= length < 0
         start = self.pos
         self.skip(np.where(wanted, length, 0))
-        length = np.where(wanted & ~self.bad, length, 0)
-        data, offsets = _gather(self.flat, start, length)
-        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
-        raw = pa.Array.from_buffers(pa.large_binary(), len(length), buffers)
+        raw = _slices(self.flat, start, np.where(wanted & ~self.bad, length, 0))
         try:
             strings = raw.cast(pa.large_string())
         except pa.ArrowInvalid:
@@ -108,7 +110,7 @@ class _Reader:
             self.bad |= ~valid
             strings = pa.array([v if ok else b"" for v, ok in zip(raw.to_pylist(), valid)], pa.large_binary())
             strings = strings.cast(pa.large_string())
-        return pa.compute.if_else(pa.array(wanted & ~self.bad), strings.cast(pa.string()), pa.scalar(None, pa.string()))
+        return pc.if_else(pa.array(wanted & ~self.bad), strings.cast(pa.string()), pa.scalar(None, pa.string()))
 
 
 def _is_utf8(value: bytes) -> bool:
@@ -150,10 +152,10 @@ def decode_column(column: pa.Array, wire) -> tuple[list[pa.Array], pa.Array]:
     for (_, kind, _), values in zip(wire, columns):
         if kind == "millis":
             values = pa.array(values.to_numpy() * 1000).cast(_ARROW[kind])
-        typed.append(pa.compute.if_else(good, values, pa.scalar(None, _ARROW[kind])))
+        typed.append(pc.if_else(good, values, pa.scalar(None, _ARROW[kind])))
     reason = np.where(missing, "null_value", np.where(framing_failed, "bad_frame", np.where(reader.bad, "bad_body", "")))
     reasons = pa.array(reason, pa.string())
-    return typed, pa.compute.if_else(pa.compute.equal(reasons, ""), pa.scalar(None, pa.string()), reasons)
+    return typed, pc.if_else(pc.equal(reasons, ""), pa.scalar(None, pa.string()), reasons)
 
 
 def decode_frames(records: DataFrame, wire, value: str = "value") -> DataFrame:
@@ -171,55 +173,46 @@ def decode_frames(records: DataFrame, wire, value: str = "value") -> DataFrame:
     return records.mapInArrow(decode, schema)
 
 
-def _varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zigzag varints as a byte matrix (one row per value) and their lengths."""
+def _varints(values: np.ndarray) -> pa.Array:
+    """Zigzag varints as a binary column."""
     values = values.astype(np.int64)
     zigzag = ((values << 1) ^ (values >> 63)).astype(np.uint64)
     pieces = (zigzag[:, None] >> (np.arange(VARINT_BYTES, dtype=np.uint64) * np.uint64(7))) & np.uint64(127)
     used = np.where(pieces != 0, np.arange(1, VARINT_BYTES + 1), 1).max(axis=1)
     more = np.arange(VARINT_BYTES) < (used - 1)[:, None]
-    return (pieces.astype(np.uint8) | (more * np.uint8(128))), used
+    matrix = pieces.astype(np.uint8) | (more * np.uint8(128))
+    return _slices(matrix.reshape(-1), np.arange(len(values)) * VARINT_BYTES, used)
 
 
-def encode_column(columns: list[pa.Array], wire, schema_number: int) -> pa.Array:
-    """Frames for one batch of records; a null in a field that must be there raises."""
-    rows = len(columns[0])
-    header = np.frombuffer(b"\x00" + schema_number.to_bytes(4, "big"), dtype=np.uint8)
-    # Every piece is (flat bytes, start per row, length per row).
-    pieces = [(header, np.zeros(rows, np.int64), np.full(rows, HEADER))]
+def _doubles(values: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(values, dtype="<f8").view(np.uint8)
+    return _slices(raw, np.arange(len(values)) * 8, np.full(len(values), 8))
 
-    def add_varints(values: np.ndarray, wanted: np.ndarray) -> None:
-        matrix, used = _varints(values)
-        pieces.append((matrix.reshape(-1), np.arange(rows) * VARINT_BYTES, np.where(wanted, used, 0)))
 
+def encode_column(columns: list[pa.Array], wire, schema_number: int) -> pa.Array:
+    """Frames for one batch of records; a null in a field that must be there raises."""
+    header = pa.scalar(b"\x00" + schema_number.to_bytes(4, "big"), pa.large_binary())
+    # A null piece adds no bytes: what a missing field has after its branch number.
+    pieces: list[pa.Array | pa.Scalar] = [header]
     for (name, kind, nullable), column in zip(wire, columns):
-        present = column.is_valid().to_numpy(zero_copy_only=False)
+        present = column.is_valid()
         if nullable:
-            add_varints(present.astype(np.int64), np.ones(rows, dtype=bool))
-        elif not present.all():
+            pieces.append(_varints(present.to_numpy(zero_copy_only=False)))
+        elif column.null_count:
             raise ValueError(f"field {name} must not be null")
         if kind == "string":
-            flat, starts = _bytes_and_offsets(column)
-            length = np.diff(starts)
-            add_varints(length, present)
-            pieces.append((flat, starts[:-1], length))
+            text = column.cast(pa.large_binary())
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+            pieces += [pc.if_else(present, _varints(sizes), None), text]
         elif kind == "double":
-            raw = np.ascontiguousarray(column.to_numpy(zero_copy_only=False), dtype="<f8").view(np.uint8)
-            pieces.append((raw, np.arange(rows) * 8, np.full(rows, 8)))
+            pieces.append(_doubles(column.to_numpy(zero_copy_only=False)))
         else:
             longs = column.cast(pa.timestamp("ms", tz="UTC"), safe=False).cast(pa.int64()) if kind == "millis" else column
-            add_varints(longs.fill_null(0).to_numpy(zero_copy_only=False), present)
-
-    lengths = np.stack([length for _, _, length in pieces], axis=1)
-    offsets = np.zeros(rows + 1, dtype=np.int64)
-    np.cumsum(lengths.sum(axis=1), out=offsets[1:])
-    target = offsets[:-1, None] + np.cumsum(lengths, axis=1) - lengths
-    out = np.zeros(offsets[-1], dtype=np.uint8)
-    for i, (flat, start, length) in enumerate(pieces):
-        data, piece_offsets = _gather(flat, start, length)
-        out[np.arange(len(data)) + np.repeat(target[:, i] - piece_offsets[:-1], length)] = data
-    frames = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-    return frames.cast(pa.binary())
+            pieces.append(pc.if_else(present, _varints(longs.fill_null(0).to_numpy(zero_copy_only=False)), None))
+    joined = pc.binary_join_element_wise(
+        *pieces, pa.scalar(b"", pa.large_binary()), null_handling="replace", null_replacement=b""
+    )
+    return joined.cast(pa.binary())
 
 
 def encode_frames(records: DataFrame, wire, key: str, schema_number: int = 1) -> DataFrame:

@@ -1,15 +1,16 @@
 """Stored tables: append logs written batch by batch, and versioned latest-value tables.
 
-    <root>/<log>/writer=W/batch_id=N/<day>=.../   one folder per batch, replaced when it is replayed
-    <root>/<table>/version=N/                     a whole latest-value table as of batch N
+    <root>/<log>/<day>=D/writer=W/batch_id=N/   a batch's rows of a day, replaced when it is replayed
+    <root>/<table>/version=N/                   a whole latest-value table as of batch N
 
 Logs are the truth and hold every accepted row. Several rows may share a key (corrections); readers
-keep the last arrival.
+keep the last arrival. Days come first, so that a reader of a few days lists only their folders.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,36 +66,53 @@ class MarketStore:
         larger than the rest.
         """
         log = LOGS[table]
-        prepared = rows.withColumn(log.day.name, day).select(*log.schema.fieldNames(), log.day.name)
+        keys = {log.day.name: day, "writer": F.lit(writer), "batch_id": F.lit(batch_id).cast("bigint")}
+        prepared = rows.withColumns(keys).select(*log.schema.fieldNames(), *keys)
         (
             prepared.hint("rebalance", log.day.name)
             .sortWithinPartitions(log.day.name, *log.sort)
             .write.mode("overwrite")
-            .partitionBy(log.day.name)
-            .parquet(f"{self.root}/{table}/writer={writer}/batch_id={batch_id}")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*keys)
+            .parquet(f"{self.root}/{table}")
         )
 
-    def log(self, table: str) -> DataFrame:
-        """All rows ever written, with batch and day; empty before the first batch."""
+    def log(self, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
+        """All rows ever written, or those of a span of days, with their day, writer and batch."""
         log = LOGS[table]
-        schema = StructType([*log.schema.fields, schemas.WRITER, schemas.BATCH_ID, log.day])
-        path = f"{self.root}/{table}"
-        if not self._exists(path):
+        schema = StructType([*log.schema.fields, log.day, schemas.WRITER, schemas.BATCH_ID])
+        root = f"{self.root}/{table}"
+        reader = self.spark.read.schema(schema).option("basePath", root)
+        prefix = f"{log.day.name}="
+        days = [n for n in self._names(root) if n.startswith(prefix)]
+        if first is not None:
+            days = [n for n in days if n.removeprefix(prefix) >= first.isoformat()]
+        if last is not None:
+            days = [n for n in days if n.removeprefix(prefix) <= last.isoformat()]
+        if not days:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        if first is None and last is None:
+            return reader.parquet(root)
+        return reader.parquet(*(f"{root}/{n}" for n in days))
 
-    def candles(self) -> DataFrame:
+    def candles(self, first: date | None = None, last: date | None = None) -> DataFrame:
         """Last write per (symbol, ts)."""
-        return latest_by_unique(self.log("candles").drop("writer", "batch_id"), ["symbol", "ts", "day"], "arrival")
+        return self._last_writes("candles", ["symbol", "ts"], first, last)
 
-    def metrics(self) -> DataFrame:
-        return latest_by_unique(self.log("metrics").drop("writer", "batch_id"), ["symbol", "ts", "day"], "arrival")
+    def metrics(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        return self._last_writes("metrics", ["symbol", "ts"], first, last)
 
-    def observations(self) -> DataFrame:
-        return latest_by_unique(self.log("observations").drop("writer", "batch_id"), ["series_id", "ts", "day"], "arrival")
+    def observations(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        return self._last_writes("observations", ["series_id", "ts"], first, last)
 
-    def news(self) -> DataFrame:
-        return latest_per_key(self.log("news").drop("writer", "batch_id"), ["date_bucket", "ts", "id"], ["arrival"])
+    def news(self, first: date | None = None, last: date | None = None) -> DataFrame:
+        rows = self.log("news", first, last).drop("writer", "batch_id")
+        return latest_per_key(rows, ["date_bucket", "ts", "id"], ["arrival"])
+
+    def _last_writes(self, table: str, key: list[str], first: date | None, last: date | None) -> DataFrame:
+        """The day is part of the grouping, so filters on it still prune folders."""
+        rows = self.log(table, first, last).drop("writer", "batch_id")
+        return latest_by_unique(rows, [*key, LOGS[table].day.name], "arrival")
 
     def rejects(self) -> DataFrame:
         return self.log("rejects")
@@ -153,13 +171,16 @@ class MarketStore:
         files, path = self._path(name)
         return files.exists(path)
 
-    def _complete_versions(self, table: str) -> list[int]:
-        files, path = self._path(f"{self.root}/{table}")
+    def _names(self, folder: str) -> list[str]:
+        files, path = self._path(folder)
         if not files.exists(path):
             return []
-        names = [status.getPath().getName() for status in files.listStatus(path)]
-        numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-        return [n for n in numbers if self._exists(f"{self.root}/{table}/version={n}/_SUCCESS")]
+        return [status.getPath().getName() for status in files.listStatus(path)]
+
+    def _complete_versions(self, table: str) -> list[int]:
+        names = self._names(f"{self.root}/{table}")
+        numbered = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+        return [n for n in numbered if self._exists(f"{self.root}/{table}/version={n}/_SUCCESS")]
 
 
 def utc_day(ts: str) -> Column:

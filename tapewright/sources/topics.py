@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tapewright import schemas
 from tapewright.sources.frames import HEADER, decode_frames, encode_frames
 
-# topic -> (wire record, name of the record's time column or None)
+MAX_OFFSETS = 50_000_000
+
+# topic -> wire record
 WIRES = {
     schemas.CANDLE_TOPIC: schemas.CANDLE_WIRE,
     schemas.NEWS_TOPIC: schemas.NEWS_WIRE,
@@ -22,16 +24,29 @@ WIRES = {
 }
 
 
-def kafka_topic(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Streaming Kafka source from the earliest offset; lost offsets do not end the query."""
-    return (
+def kafka_topic(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    max_offsets: int = MAX_OFFSETS,
+    min_partitions: int | None = None,
+) -> DataFrame:
+    """Streaming Kafka source from the earliest offset; lost offsets do not end the query.
+
+    `max_offsets` paces the backlog: a first batch over a full topic would otherwise be the topic.
+    `min_partitions` splits topic partitions over more tasks than the topic has partitions.
+    """
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
         .option("failOnDataLoss", "false")
-        .load()
+        .option("maxOffsetsPerTrigger", max_offsets)
     )
+    if min_partitions:
+        reader = reader.option("minPartitions", min_partitions)
+    return reader.load()
 
 
 def topic_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:

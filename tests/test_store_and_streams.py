@@ -135,7 +135,11 @@ def test_stored_days_are_pruned(spark, work):
     assert rows(found, "close") == [(10.0,)]
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in text and "EqualTo(symbol,A)" in text
-    assert len(found.inputFiles()) <= 30
+    from datetime import date
+
+    span = store.candles(date(2024, 1, 9), date(2024, 1, 10))
+    assert rows(span, "close") == [(10.0,), (9.0,)] and len(span.inputFiles()) == 2
+    assert store.candles(date(2025, 1, 1)).count() == 0
 
 
 def test_news_pipeline(spark, work):
