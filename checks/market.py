@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from checks import base
 from checks.base import AS_OF, NOON, check
+from tapewright.functions.times import in_market_hours
 from tapewright.operators.points import join_points, metric_point
 from tapewright.operators.ranking import page_info
 from tapewright.plans import market, stocks
+from tapewright.plans.dashboard import dashboard
 
 
 @check(
@@ -216,3 +218,52 @@ def stock_history(spark, folder):
 )
 def risk_tiers(spark, folder):
     return stocks.risk_distribution(base.summaries(spark, folder))
+
+
+@check(
+    "market_hours_ticks",
+    """ SELECT symbol, ts, volatility FROM (SELECT *, ts - INTERVAL 5 HOURS AS clock FROM ticks)
+    WHERE dayofweek(clock) BETWEEN 1 AND 5 AND hour(clock) * 60 + minute(clock) >= 570 AND hour(clock) < 16""",
+    "ticks",
+)
+def market_hours_ticks(spark, folder):
+    """The tables' January lies in standard time, five hours behind UTC."""
+    return base.ticks(spark, folder).where(in_market_hours(F.col("ts").cast("timestamp")))
+
+
+@check(
+    "active_summaries",
+    " SELECT symbol, last_timestamp, latest_risk_score FROM active",
+    "active",
+)
+def active_summaries(spark, folder):
+    return _active(spark, folder).select("symbol", "last_timestamp", "latest_risk_score")
+
+
+def _boards(spark, folder):
+    return dashboard(
+        base.summaries(spark, folder),
+        base.indicators(spark, folder),
+        base.metadata(spark, folder),
+        base.news(spark, folder),
+        AS_OF,
+    )
+
+
+@check("dashboard_stocks", " SELECT symbol, current_price, latest_trend AS trend FROM summaries ORDER BY symbol LIMIT 12", "summaries")
+def dashboard_stocks(spark, folder):
+    return _boards(spark, folder)["stocks"].select("symbol", "current_price", "trend")
+
+
+@check("dashboard_indicators", " SELECT indicator AS series_id, latest_value AS value FROM indicators ORDER BY 1 LIMIT 6", "indicators")
+def dashboard_indicators(spark, folder):
+    return _boards(spark, folder)["indicators"].select("series_id", "value")
+
+
+@check(
+    "dashboard_news",
+    f" SELECT id, ts, sentiment FROM news WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOURS ORDER BY ts DESC, id LIMIT 9",
+    "news",
+)
+def dashboard_news(spark, folder):
+    return _boards(spark, folder)["news"].select("id", "ts", "sentiment")

@@ -146,6 +146,20 @@ def stream_volatility_15m(spark, folder):
     return rows.withColumn("window_end", F.col("window_end").cast(_NTZ))
 
 
+@check("stream_unique_candles", " SELECT symbol, ts, close FROM candles", "candles")
+def stream_unique_candles(spark, folder):
+    """Every candle delivered twice, passed on once."""
+    work = shared_folder(spark, "unique")
+    candles = base.candles(spark, folder).select(
+        "symbol", F.col("ts").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume",
+        F.lit(None).cast("string").alias("reason"),
+    )
+    candles.unionByName(candles).write.parquet(f"{work}/candles")
+    stream = spark.readStream.schema(candles.schema).parquet(f"{work}/candles")
+    _run(spark, "unique", monitors.unique_candles(stream), path=f"{work}/out", folder=work)
+    return spark.read.parquet(f"{work}/out").select("symbol", F.col("ts").cast(_NTZ).alias("ts"), "close")
+
+
 @check(
     "stream_reject_rates",
     """
@@ -181,3 +195,26 @@ def ingest_quotes(spark, folder):
     topic = topic_stream(spark, f"{work}/topics/{schemas.CANDLE_TOPIC}")
     _run(spark, "candles", pipelines.classified_candles(topic), pipelines.candle_batch(store), folder=work)
     return store.candles().select("symbol", F.col("ts").cast(_NTZ).alias("ts"), "open", "high", "low", "close")
+
+
+@check(
+    "ingest_series",
+    """ SELECT series_id, ts, value FROM observations
+    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) <= 10""",
+    "observations",
+)
+def ingest_series(spark, folder):
+    """Landed series responses to the observation topic, and the topic through the economic pipeline.
+
+    The newest ten observations of each series are taken over.
+    """
+    work = shared_folder(spark, "series")
+    row = F.struct(F.col("observation_date").alias("date"), F.col("value").cast("string").alias("value"))
+    body = F.to_json(F.struct(F.array(row).alias("observations"))).alias("payload")
+    base.observations(spark, folder).select("series_id", body).write.json(f"{work}/landed")
+    store = MarketStore(spark, f"{work}/store")
+    payloads = spark.readStream.schema("series_id string, payload string").json(f"{work}/landed")
+    _run(spark, "series", payloads, ingest.series_ingest(ingest.to_folder(f"{work}/topics"), store), folder=work)
+    topic = topic_stream(spark, f"{work}/topics/{schemas.OBSERVATION_TOPIC}")
+    _run(spark, "observations", pipelines.classified_observations(topic), pipelines.observation_batch(store), folder=work)
+    return store.observations().select("series_id", F.col("ts").cast(_NTZ).alias("ts"), "value")
