@@ -157,25 +157,25 @@ _MEANS = """
 _MONTH = _MEANS.format(start="2024-01-01")
 
 
-@check("market_volatility_15m", f" SELECT window_end, round(avg(v), 6) AS volatility FROM ({_MONTH}) GROUP BY 1", "ticks")
+@check("market_volatility_15m", f" SELECT window_end, round(avg(v), 9) AS volatility FROM ({_MONTH}) GROUP BY 1", "ticks")
 def market_volatility_15m(spark, folder):
-    return base.rounded(market.market_volatility(base.ticks(spark, folder), AS_OF, hours=720), "volatility")
+    return base.rounded(market.market_volatility(base.ticks(spark, folder), AS_OF, hours=720), "volatility", digits=9)
 
 
-@check("market_volatility_collapsed", f" SELECT round(avg(v), 6) AS volatility FROM ({_MONTH})", "ticks")
+@check("market_volatility_collapsed", f" SELECT round(avg(v), 9) AS volatility FROM ({_MONTH})", "ticks")
 def market_volatility_collapsed(spark, folder):
-    return base.rounded(market.market_volatility(base.ticks(spark, folder), AS_OF, hours=720, collapse=True), "volatility")
+    return base.rounded(market.market_volatility(base.ticks(spark, folder), AS_OF, hours=720, collapse=True), "volatility", digits=9)
 
 
 @check(
     "symbol_volatility_15m",
-    f" SELECT symbol, window_end, round(v, 6) AS volatility FROM ({_MEANS.format(start='1970-01-01')})",
+    f" SELECT symbol, window_end, round(v, 9) AS volatility FROM ({_MEANS.format(start='1970-01-01')})",
     "ticks",
 )
 def symbol_volatility_15m(spark, folder):
     from tapewright.operators.points import windowed_mean
 
-    return base.rounded(windowed_mean(base.ticks(spark, folder), "volatility"), "volatility")
+    return base.rounded(windowed_mean(base.ticks(spark, folder), "volatility"), "volatility", digits=9)
 
 
 @check(

@@ -122,7 +122,7 @@ def stream_dead_letters(spark, folder):
 
 _CLOSED = """
       SELECT symbol, time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end,
-        round(avg((volatility + 1 - volatility) / volatility), 6) AS volatility
+        round(avg(CASE WHEN volatility > 0 THEN (volatility + 1 - volatility) / volatility ELSE 0 END), 9) AS volatility
       FROM ticks GROUP BY 1, 2"""
 
 
@@ -142,7 +142,7 @@ def stream_volatility_15m(spark, folder):
     candles.write.parquet(f"{work}/candles")
     stream = spark.readStream.schema(candles.schema).parquet(f"{work}/candles")
     _run(spark, "volatility", monitors.volatility_windows(stream), path=f"{work}/windows", folder=work)
-    rows = base.rounded(spark.read.parquet(f"{work}/windows"), "volatility")
+    rows = base.rounded(spark.read.parquet(f"{work}/windows"), "volatility", digits=9)
     return rows.withColumn("window_end", F.col("window_end").cast(_NTZ))
 
 

@@ -1,8 +1,8 @@
 """Ordered work on long series without putting a series into one task.
 
-A plain window over a symbol hands that symbol's whole history to one task. Here the history is
-first counted per time bucket; the counts (one row per symbol and bucket, bounded by the calendar)
-give every bucket its starting position; rows are then numbered inside their bucket only.
+A plain window over a symbol hands that symbol's whole history to one task. Here rows are worked on
+inside time buckets, and only a few rows per symbol and bucket, bounded by the calendar, are carried
+from bucket to bucket.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tapewright.operators.ranking import check_page, with_page_info
 
-CHUNK_ROWS = 8192
-
 
 def _bucket(ts: str, grain: str) -> Column:
     return F.date_trunc(grain, F.col(ts))
@@ -49,30 +48,32 @@ def with_position(
 
 
 def trailing_rows(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    rows: int,
-    aggregates: Mapping[str, Column],
-    grain: str = "hour",
-    chunk_rows: int = CHUNK_ROWS,
+    df: DataFrame, key: str, ts: str, rows: int, aggregates: Mapping[str, Column], grain: str = "hour"
 ) -> DataFrame:
-    """Aggregates over each row and the rows-1 rows before it in its key.
+    """Aggregates over each row and the rows-1 rows before it in its key. (key, ts) is unique.
 
-    Series are cut into chunks of chunk_rows positions; the last rows-1 rows of a chunk are also
-    handed to the next one as lead-in. No task sorts more than chunk_rows + rows - 1 rows of a key.
+    Windows run inside time buckets. That is final for all rows but the first rows-1 of a bucket,
+    the heads. The rows before a head are other heads and the last rows-1 rows of earlier buckets,
+    so a second window over heads and tails alone settles them. It sees at most 2 * (rows-1) rows of
+    a key per bucket. Both branches read the same shuffle of the rows.
     """
-    if not 1 <= rows <= chunk_rows:
-        raise ValueError(f"rows must be between 1 and {chunk_rows}")
-    placed = with_position(df, key, ts, "__pos", grain)
-    chunk = F.floor(F.col("__pos") / chunk_rows)
-    late = F.pmod(F.col("__pos"), F.lit(chunk_rows)) >= chunk_rows - (rows - 1)
-    spread = placed.withColumn("__own", chunk).withColumn(
-        "__chunk", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own")))
+    if rows < 1:
+        raise ValueError("rows must be positive")
+    lead = rows - 1
+    bucket = Window.partitionBy(key, "__bucket")
+    inside, across = bucket.orderBy(ts), Window.partitionBy(key).orderBy(ts)
+    placed = df.withColumn("__bucket", _bucket(ts, grain)).withColumns(
+        {"__rank": F.row_number().over(inside), "__size": F.count(F.lit(1)).over(bucket)}
     )
-    window = Window.partitionBy(key, "__chunk").orderBy("__pos").rowsBetween(-(rows - 1), 0)
-    added = {name: aggregate.over(window) for name, aggregate in aggregates.items()}
-    return spread.withColumns(added).where(F.col("__chunk") == F.col("__own")).select(*df.columns, *added)
+    head = F.col("__rank") <= lead
+    tail = F.col("__rank") > F.col("__size") - lead
+
+    def added(window: WindowSpec) -> dict[str, Column]:
+        return {name: aggregate.over(window.rowsBetween(-lead, 0)) for name, aggregate in aggregates.items()}
+
+    inner = placed.withColumns(added(inside)).where(~head)
+    edges = placed.where(head | tail).withColumns(added(across)).where(head)
+    return inner.select(*df.columns, *aggregates).unionByName(edges.select(*df.columns, *aggregates))
 
 
 def page_of_series(df: DataFrame, key: str, ts: str, page: int, size: int, grain: str = "hour") -> DataFrame:

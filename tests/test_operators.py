@@ -86,20 +86,21 @@ def test_positions_across_buckets(ticks):
     assert rows(series.with_position(df, "symbol", "ts"), "symbol", "s", "position") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("chunk", [5, 16, 8192])
-def test_trailing_rows_across_chunks(ticks, chunk):
+@pytest.mark.parametrize("grain", ["minute", "hour", "day", "year"])
+@pytest.mark.parametrize("n", [1, 5, 30])
+def test_trailing_rows_across_buckets(ticks, grain, n):
     data, df = ticks
     got = series.trailing_rows(
-        df, "symbol", "ts", 5, {"total": F.sum("x"), "low": F.min("x"), "n": F.count("x")}, chunk_rows=chunk
+        df, "symbol", "ts", n, {"total": F.sum("x"), "low": F.min("x"), "n": F.count("x")}, grain=grain
     )
     want = []
     for symbol, points_ in by_symbol(data).items():
         for i, (s, _) in enumerate(points_):
-            window = [x for _, x in points_[max(0, i - 4) : i + 1]]
+            window = [x for _, x in points_[max(0, i - n + 1) : i + 1]]
             want.append((symbol, s, sum(window), min(window), len(window)))
     assert rows(got, "symbol", "s", "total", "low", "n") == sorted(want, key=repr)
     with pytest.raises(ValueError):
-        series.trailing_rows(df, "symbol", "ts", 6, {}, chunk_rows=5)
+        series.trailing_rows(df, "symbol", "ts", 0, {})
 
 
 def test_pages_of_a_long_series(ticks):
