@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright import schemas
@@ -184,7 +184,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def symbol_of(number: str) -> F.Column:
+def symbol_of(number: str) -> Column:
     return F.concat(F.lit("SYM"), F.lpad(F.col(number).cast("string"), 4, "0"))
 
 

@@ -16,6 +16,7 @@ REQUIRED = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
+TASK_BYTES = 128 * 1024 * 1024
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
@@ -29,6 +30,21 @@ def build_session(app_name: str = "tapewright", master: str | None = None, **con
     return builder.getOrCreate()
 
 
+def sizing(shuffled_bytes: int, cores: int) -> dict[str, str]:
+    """Settings for a job of a known size: about 128 MB per shuffle task, and no fewer than two tasks per core.
+
+    AQE merges what turns out smaller and splits what is skewed, but does not raise the number. The
+    default of 200 would give a 100 TB shuffle tasks of half a terabyte.
+    """
+    tasks = max(2 * cores, -(-shuffled_bytes // TASK_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.files.maxPartitionBytes": str(2 * TASK_BYTES),
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the required settings to an existing session. Day buckets and zone maths are in UTC."""
     for key, value in REQUIRED.items():

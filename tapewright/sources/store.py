@@ -95,6 +95,11 @@ class MarketStore:
             return reader.parquet(root)
         return reader.parquet(*(f"{root}/{n}" for n in days))
 
+    def next_batch(self, *tables: str) -> int:
+        """The first batch number not in use in any of the logs (all logs when none is named)."""
+        numbers = [self.log(t).agg(F.max("batch_id")).first()[0] for t in tables or LOGS]
+        return max((n for n in numbers if n is not None), default=-1) + 1
+
     def candles(self, first: date | None = None, last: date | None = None) -> DataFrame:
         """Last write per (symbol, ts)."""
         return self._last_writes("candles", ["symbol", "ts"], first, last)

@@ -12,7 +12,7 @@ from tapewright.operators.rejects import accepted, rejected
 from tapewright.sources import landing
 from tapewright.sources.store import MarketStore, utc_day
 from tapewright.sources.topics import publish_files, publish_kafka
-from tapewright.streaming.pipelines import BatchFunction, _cached, write_all
+from tapewright.streaming.pipelines import BatchFunction, cached_batches, write_all
 
 Publish = Callable[[DataFrame, str, str, str, int], None]  # records, topic, key column, writer, batch
 
@@ -33,9 +33,9 @@ def to_kafka(servers: str) -> Publish:
 
 def _ingest(
     name: str, topic: str, key: str, classify: Callable[[DataFrame], DataFrame], rename: dict[str, str],
-    publish: Publish, store: MarketStore,
+    publish: Publish, store: MarketStore, first_batch: int,
 ) -> BatchFunction:
-    @_cached
+    @cached_batches(first_batch)
     def process(payloads: DataFrame, batch_id: int) -> None:
         classified = classify(payloads)
         records = accepted(classified).withColumnsRenamed(rename)
@@ -52,7 +52,9 @@ def _ingest(
     return process
 
 
-def quote_ingest(publish: Publish, store: MarketStore, market_hours_only: bool = False) -> BatchFunction:
+def quote_ingest(
+    publish: Publish, store: MarketStore, market_hours_only: bool = False, first_batch: int = 0
+) -> BatchFunction:
     """Quotes to keyed candles."""
     return _ingest(
         "quotes",
@@ -62,10 +64,11 @@ def quote_ingest(publish: Publish, store: MarketStore, market_hours_only: bool =
         {"ts": "timestamp"},
         publish,
         store,
+        first_batch,
     )
 
 
-def bar_ingest(publish: Publish, store: MarketStore) -> BatchFunction:
+def bar_ingest(publish: Publish, store: MarketStore, first_batch: int = 0) -> BatchFunction:
     """Daily (interval null) and intraday bars to keyed candles, merged into one topic."""
 
     def classify(payloads: DataFrame) -> DataFrame:
@@ -73,14 +76,14 @@ def bar_ingest(publish: Publish, store: MarketStore) -> BatchFunction:
         intraday = landing.intraday_bars(payloads.where(F.col("interval").isNotNull()))
         return landing.merge_candles(daily, intraday)
 
-    return _ingest("bars", schemas.CANDLE_TOPIC, "symbol", classify, {"ts": "timestamp"}, publish, store)
+    return _ingest("bars", schemas.CANDLE_TOPIC, "symbol", classify, {"ts": "timestamp"}, publish, store, first_batch)
 
 
-def news_ingest(publish: Publish, store: MarketStore) -> BatchFunction:
+def news_ingest(publish: Publish, store: MarketStore, first_batch: int = 0) -> BatchFunction:
     """News items keyed by related symbol, else by category."""
-    return _ingest("news", schemas.NEWS_TOPIC, "topic_key", landing.news_items, {}, publish, store)
+    return _ingest("news", schemas.NEWS_TOPIC, "topic_key", landing.news_items, {}, publish, store, first_batch)
 
 
-def series_ingest(publish: Publish, store: MarketStore) -> BatchFunction:
+def series_ingest(publish: Publish, store: MarketStore, first_batch: int = 0) -> BatchFunction:
     """Economic observations keyed by series."""
-    return _ingest("series", schemas.OBSERVATION_TOPIC, "seriesId", landing.series_observations, {}, publish, store)
+    return _ingest("series", schemas.OBSERVATION_TOPIC, "seriesId", landing.series_observations, {}, publish, store, first_batch)

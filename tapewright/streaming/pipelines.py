@@ -62,18 +62,25 @@ def counted(classified: DataFrame, name: str) -> DataFrame:
     )
 
 
-def _cached(process: BatchFunction) -> BatchFunction:
-    """Keep a batch while several sinks read it; skip it when empty."""
+def cached_batches(first_batch: int = 0) -> Callable[[BatchFunction], BatchFunction]:
+    """Keep a batch while several sinks read it; skip it when empty.
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if not batch.isEmpty():
-                process(batch, batch_id)
-        finally:
-            batch.unpersist()
+    Batches are numbered from `first_batch`. A stream that starts over with a new checkpoint counts
+    from zero again, so it is given `store.next_batch(...)`, lest it replace the batches stored before.
+    """
+
+    def wrap(process: BatchFunction) -> BatchFunction:
+        def run(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                if not batch.isEmpty():
+                    process(batch, first_batch + batch_id)
+            finally:
+                batch.unpersist()
+
+        return run
 
-    return run
+    return wrap
 
 
 def _good(batch: DataFrame) -> DataFrame:
@@ -96,10 +103,10 @@ def classified_candles(records: DataFrame) -> DataFrame:
     return decoded.withColumn("reason", F.coalesce("reason", candle_reason()))
 
 
-def candle_batch(store: MarketStore, as_of: datetime | None = None) -> BatchFunction:
+def candle_batch(store: MarketStore, as_of: datetime | None = None, first_batch: int = 0) -> BatchFunction:
     """Writes one batch of classified candles: log, measures, summaries, dead letters."""
 
-    @_cached
+    @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
         good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset")))
         measured = with_measures(good, as_of or datetime.now(UTC).replace(tzinfo=None))
@@ -150,8 +157,8 @@ def news_rows(
     )
 
 
-def news_batch(store: MarketStore, **lexicon: Sequence[str]) -> BatchFunction:
-    @_cached
+def news_batch(store: MarketStore, first_batch: int = 0, **lexicon: Sequence[str]) -> BatchFunction:
+    @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
         good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset")))
         rows = news_rows(good, "arrival", **lexicon)
@@ -176,8 +183,8 @@ def classified_observations(records: DataFrame) -> DataFrame:
     return parse_observations(named).withColumn("reason", F.coalesce("decode_reason", "reason")).drop("decode_reason")
 
 
-def observation_batch(store: MarketStore, as_of: datetime | None = None) -> BatchFunction:
-    @_cached
+def observation_batch(store: MarketStore, as_of: datetime | None = None, first_batch: int = 0) -> BatchFunction:
+    @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(UTC).replace(tzinfo=None)
         good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset")))

@@ -40,26 +40,29 @@ class Started:
     failures: dict[str, Exception] = field(default_factory=dict)
 
 
-def market_jobs(store: MarketStore, sources: dict[str, DataFrame]) -> list[Job]:
-    """The three pipelines over raw topic streams, keyed by topic name."""
+def market_jobs(store: MarketStore, sources: dict[str, DataFrame], first_batch: int = 0) -> list[Job]:
+    """The three pipelines over raw topic streams, keyed by topic name.
+
+    `first_batch` is kept with the checkpoints: it changes only when they are thrown away.
+    """
     return [
         Job(
             "candles",
             counted(pipelines.classified_candles(sources[schemas.CANDLE_TOPIC]), "candle_rows"),
             CANDLE_PACE,
-            pipelines.candle_batch(store),
+            pipelines.candle_batch(store, first_batch=first_batch),
         ),
         Job(
             "news",
             counted(pipelines.classified_news(sources[schemas.NEWS_TOPIC]), "news_rows"),
             NEWS_PACE,
-            pipelines.news_batch(store),
+            pipelines.news_batch(store, first_batch=first_batch),
         ),
         Job(
             "observations",
             counted(pipelines.classified_observations(sources[schemas.OBSERVATION_TOPIC]), "observation_rows"),
             ECONOMIC_PACE,
-            pipelines.observation_batch(store),
+            pipelines.observation_batch(store, first_batch=first_batch),
         ),
     ]
 

@@ -107,6 +107,26 @@ def test_replaying_a_batch_changes_nothing(spark, work):
     assert store.log("candles").count() == 2
 
 
+def test_a_new_checkpoint_continues_the_batch_numbers(spark, work):
+    publish(spark, f"{work}/topic", 0, ("A", "2024-01-30 10:00:00", 10.0))
+    batch = pipelines.classified_candles(topics.topic_table(spark, f"{work}/topic"))
+    store = MarketStore(spark, f"{work}/store")
+    assert store.next_batch() == 0
+    pipelines.candle_batch(store, AS_OF)(batch, 4)
+    assert store.next_batch("candles", "metrics") == 5
+    corrected = batch.withColumn("close", F.lit(10.5))
+    pipelines.candle_batch(store, AS_OF, first_batch=5)(corrected, 0)
+    assert stored(store) == [("A", "2024-01-30 10:00:00", 10.5)] and store.log("candles").count() == 2
+    assert rows(store.stock_summaries(), "current_price") == [(10.5,)]
+
+
+def test_sizing():
+    from tapewright.session import sizing
+
+    assert sizing(0, 8)["spark.sql.shuffle.partitions"] == "16"
+    assert sizing(100 * 2**40, 4000)["spark.sql.shuffle.partitions"] == str(100 * 2**40 // 2**27)
+
+
 def test_summary_versions(spark, work):
     store = MarketStore(spark, work)
     assert store.stock_summaries().count() == 0 and store.candles().count() == 0
