@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks import base
-from checks.base import check
+from sql_checks import base
+from sql_checks.base import check
 from tapewright.functions.checks import candle_reason
 from tapewright.operators.points import pivot_points, price_domain, resample, to_long, METRIC_FIELDS
 from tapewright.operators.returns import support_resistance, volume_average

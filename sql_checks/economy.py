@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks import base
-from checks.base import AS_OF, check
+from sql_checks import base
+from sql_checks.base import AS_OF, check
 from tapewright.operators.ranking import page_info
 from tapewright.plans import economy
 

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks import base
-from checks.base import check
+from sql_checks import base
+from sql_checks.base import check
 from tapewright import schemas
 from tapewright.operators.quality import quality_rate, valid_counts
 from tapewright.operators.rejects import accepted, rejected

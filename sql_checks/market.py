@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks import base
-from checks.base import AS_OF, NOON, check
+from sql_checks import base
+from sql_checks.base import AS_OF, NOON, check
 from tapewright.functions.times import in_market_hours
 from tapewright.operators.points import join_points, metric_point
 from tapewright.operators.ranking import page_info

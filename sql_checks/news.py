@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks import base
-from checks.base import AS_OF, NEGATIVE, POSITIVE, check
+from sql_checks import base
+from sql_checks.base import AS_OF, NEGATIVE, POSITIVE, check
 from tapewright.functions.text import NEGATIVE_TERMS, POSITIVE_TERMS, distinct_term_hits
 from tapewright.plans import news
 

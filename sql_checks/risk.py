@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from checks import base
-from checks.base import AS_OF, BENCHMARK, check
+from sql_checks import base
+from sql_checks.base import AS_OF, BENCHMARK, check
 from tapewright.operators.returns import beta, daily_returns, historical_volatility, tail_risk
 from tapewright.plans import risk
 

@@ -6,8 +6,8 @@ the tables it wrote. The SQL is that of the batch query.
 
 from pyspark.sql import functions as F
 
-from checks import base, landing
-from checks.base import NEGATIVE, POSITIVE, check
+from sql_checks import base, landing
+from sql_checks.base import NEGATIVE, POSITIVE, check
 from tapewright import schemas
 from tapewright.session import shared_folder
 from tapewright.sources.store import MarketStore
