@@ -17,8 +17,12 @@ def to_long(points: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def pivot_points(long_points: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """One row per (symbol, ts) with a column per field. The field list is given, so no extra job."""
-    return long_points.groupBy("symbol", "ts").pivot("field", list(fields)).agg(F.first("value", ignorenulls=True))
+    """One row per (symbol, ts) with a column per field.
+
+    Conditional aggregates need one shuffle; pivot() would group by the field first and need two.
+    """
+    picks = [F.first(F.when(F.col("field") == f, F.col("value")), ignorenulls=True).alias(f) for f in fields]
+    return long_points.groupBy("symbol", "ts").agg(*picks)
 
 
 def join_points(prices: DataFrame, metrics: DataFrame) -> DataFrame:

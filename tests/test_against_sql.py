@@ -32,9 +32,20 @@ def plain(value):
     return repr(float(value)) if type(value).__name__ == "Decimal" else str(value)
 
 
+def stays_in_the_engine(name, text):
+    """No row-at-a-time Python, no cross join, no aggregation over a sorted copy of the events."""
+    for word in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert word not in text
+    if not name.startswith("decode"):
+        assert "MapInArrow" not in text
+    if "indicator" not in name and not name.startswith("stream_"):
+        assert "SortAggregate" not in text
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
     found = QUERIES[name](spark, FOLDER)
+    stays_in_the_engine(name, plan(found))
     result = duck.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
     assert sorted(found.columns) == sorted(columns)
@@ -52,21 +63,6 @@ def test_entry(spark):
     assert len(rows) == 1 and rows[0].total_stocks > 0
 
 
-BATCH = [n for n in QUERIES if not n.startswith(("stream_", "ingest_"))]
-
-
-@pytest.mark.parametrize("name", BATCH)
-def test_plans_stay_in_the_engine(spark, name):
-    """No row-at-a-time Python, no cross join, no aggregation over a sorted copy of the events."""
-    text = plan(QUERIES[name](spark, FOLDER))
-    for word in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
-        assert word not in text
-    if not name.startswith("decode"):
-        assert "MapInArrow" not in text
-    if not name.startswith("indicator"):
-        assert "SortAggregate" not in text
-
-
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(QUERIES["latest_stock"](spark, FOLDER))
     assert "SYM0007" in text.split("Exchange")[-1]  # below every shuffle
