@@ -117,6 +117,18 @@ def stock_risk_report(spark, folder):
     return base.rounded(rows.select("symbol", *_FIGURES, "name", "exchange", "sector"), *_FIGURES)
 
 
+@check(
+    "stock_risk_from_summary",
+    """ SELECT s.symbol, latest_volatility AS vol_30d, latest_volatility AS vol_90d, CAST(NULL AS DOUBLE) AS beta, i.name
+    FROM summaries s LEFT JOIN instruments i ON s.symbol = i.symbol""",
+    "summaries",
+    "instruments",
+)
+def stock_risk_from_summary(spark, folder):
+    rows = risk.stock_risk_from_summary(base.summaries(spark, folder), base.instruments(spark, folder), AS_OF)
+    return rows.select("symbol", "vol_30d", "vol_90d", "beta", "name")
+
+
 @check(
     "market_index_report",
     f""" SELECT r.*, m.v AS last_volatility FROM ({_REPORT}) r

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.times import days_before, in_span, moment
-from tapewright.operators.returns import daily_returns, lookback_days, period_days, risk_figures
+from tapewright.operators.returns import (
+    VOLATILITY_DAYS,
+    daily_returns,
+    lookback_days,
+    period_days,
+    risk_figures,
+)
 
 METHOD = "Historical Simulation"
 _INSTRUMENT = ("name", "exchange", "currency", "sector", "industry", "description")
@@ -59,6 +65,32 @@ def stock_risk(
     return with_instrument(report, instruments)
 
 
+def stock_risk_from_summary(
+    summaries: DataFrame,
+    instruments: DataFrame,
+    as_of: datetime | str,
+    symbol: str | None = None,
+    day: date | str | None = None,
+    lookback: str = "252d",
+    benchmark: str = "SPY",
+) -> DataFrame:
+    """The report without a history: the latest candle's volatility for every period, the rest null."""
+    lookback_days(lookback)
+    if symbol is not None:
+        summaries = summaries.where(F.col("symbol") == symbol.upper())
+    latest, nothing = F.col("latest_volatility"), F.lit(None).cast("double")
+    report = summaries.select(
+        "symbol",
+        *(latest.alias(f"vol_{n}d") for n in VOLATILITY_DAYS),
+        *(nothing.alias(name) for name in ("beta", "var_95", "var_99", "cvar_95", "cvar_99")),
+        F.lit(_end(day, as_of).date().isoformat()).alias("date"),
+        F.lit(benchmark).alias("benchmark"),
+        F.lit(lookback).alias("lookback_period"),
+        F.lit(f"{METHOD} (Placeholder)").alias("method"),
+    )
+    return with_instrument(report, instruments)
+
+
 def period_names(periods: str) -> list[str]:
     return list(dict.fromkeys(p.strip().lower() for p in periods.split(",")))
 

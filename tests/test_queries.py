@@ -281,6 +281,12 @@ def test_stock_risk(spark, daily):
         risk.stock_risk(daily, instruments(spark), AS_OF, lookback="5h")
 
 
+def test_risk_from_the_summary_alone(spark):
+    df = summaries(spark, ("A", {"latest_volatility": 0.25}), ("B", {}))
+    (row,) = risk.stock_risk_from_summary(df, instruments(spark), AS_OF, "a", day="2024-01-15").collect()
+    assert (row.vol_30d, row.vol_60d, row.vol_90d, row.beta, row.var_95, row.name, row.date) == (0.25, 0.25, 0.25, None, None, "Alpha", "2024-01-15")
+
+
 def test_volatility_reports(spark, daily):
     metrics = spark.createDataFrame(
         [("A", at("2024-01-29"), 0.2), ("A", at("2024-01-30"), 0.3), ("A", at("2023-01-01"), 9.0), ("B", at("2023-01-01"), 9.0)],
