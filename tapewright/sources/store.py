@@ -21,6 +21,7 @@ from tapewright.functions.times import date_bucket
 from tapewright.operators.latest import latest_by_unique, latest_per_key
 
 OFFSET_BITS = 40
+KEEP_VERSIONS = 100
 
 
 @dataclass(frozen=True)
@@ -70,7 +71,7 @@ class MarketStore:
         prepared = rows.withColumns(keys).select(*log.schema.fieldNames(), *keys)
         (
             prepared.hint("rebalance", log.day.name)
-            .sortWithinPartitions(log.day.name, *log.sort)
+            .sortWithinPartitions(*keys, *log.sort)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)
@@ -134,13 +135,15 @@ class MarketStore:
         """Merge a batch into the table as a new version; a late row does not replace a newer one.
 
         The new version is built from the one before this batch, so a replay gives the same table.
-        Its cost follows the number of keys, not the length of the log.
+        Its cost follows the number of keys, not the length of the log. Readers that started on an
+        older version can finish on it for the next KEEP_VERSIONS batches.
         """
         _, key, order = LATEST[table]
         merged = self._version(table, before=batch_id).unionByName(rows)
         latest_per_key(merged, [key], list(order)).write.mode("overwrite").parquet(
             f"{self.root}/{table}/version={batch_id}"
         )
+        self.drop_old_versions(table, KEEP_VERSIONS)
 
     def latest(self, table: str) -> DataFrame:
         """The newest complete version."""
@@ -154,14 +157,16 @@ class MarketStore:
 
     def _version(self, table: str, before: int | None) -> DataFrame:
         schema = LATEST[table][0]
-        versions = [v for v in self._complete_versions(table) if before is None or v < before]
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/version={max(versions)}")
+        for version in sorted(self._versions(table), reverse=True):
+            path = f"{self.root}/{table}/version={version}"
+            # A version without the marker was never finished.
+            if (before is None or version < before) and self._exists(f"{path}/_SUCCESS"):
+                return self.spark.read.schema(schema).parquet(path)
+        return self.spark.createDataFrame([], schema)
 
     def drop_old_versions(self, table: str, keep: int) -> None:
-        """Remove all but the newest `keep` complete versions."""
-        for version in sorted(self._complete_versions(table))[:-keep] if keep > 0 else []:
+        """Remove all but the newest `keep` versions."""
+        for version in sorted(self._versions(table), reverse=True)[max(keep, 1) :]:
             files, path = self._path(f"{self.root}/{table}/version={version}")
             files.delete(path, True)
 
@@ -182,10 +187,9 @@ class MarketStore:
             return []
         return [status.getPath().getName() for status in files.listStatus(path)]
 
-    def _complete_versions(self, table: str) -> list[int]:
+    def _versions(self, table: str) -> list[int]:
         names = self._names(f"{self.root}/{table}")
-        numbered = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
-        return [n for n in numbered if self._exists(f"{self.root}/{table}/version={n}/_SUCCESS")]
+        return [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
 
 
 def utc_day(ts: str) -> Column:

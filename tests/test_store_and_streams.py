@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from helpers import at, rows, times
 from pyspark.sql import functions as F
@@ -141,8 +143,12 @@ def test_summary_versions(spark, work):
     store.upsert_latest("stock_summaries", row("B", 9.0, 1), 1)  # a replay of batch 1 does not undo batch 2
     assert rows(store.stock_summaries(), "symbol", "current_price") == [("A", 3.0), ("B", 2.0)]
     store.drop_old_versions("stock_summaries", 1)
-    assert store._complete_versions("stock_summaries") == [2]
+    assert store._versions("stock_summaries") == [2]
     assert store.stock_summaries().count() == 2
+    # A version that was never finished is passed over.
+    row("A", 99.0, 9).write.parquet(f"{work}/stock_summaries/version=3")
+    os.remove(f"{work}/stock_summaries/version=3/_SUCCESS")
+    assert rows(store.stock_summaries(), "symbol", "current_price") == [("A", 3.0), ("B", 2.0)]
 
 
 def test_stored_days_are_pruned(spark, work):
@@ -162,6 +168,41 @@ def test_stored_days_are_pruned(spark, work):
     assert store.candles(date(2025, 1, 1)).count() == 0
 
 
+def test_files_are_sorted_by_symbol_and_time(spark, work):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    df = spark.range(3000).select(
+        F.concat(F.lit("S"), (F.xxhash64("id") % 9).cast("string")).alias("symbol"),
+        F.timestamp_seconds(1706572800 + F.xxhash64(F.col("id") + 1) % 80000).alias("ts"),
+        *(F.lit(1.0).alias(c) for c in ("open", "high", "low", "close", "volume")),
+        F.col("id").alias("arrival"),
+    )
+    MarketStore(spark, work).append("candles", df, 0, utc_day("ts"))
+    files = glob.glob(f"{work}/candles/**/*.parquet", recursive=True)
+    for name in files:
+        columns = pq.ParquetFile(name).read(columns=["symbol", "ts"]).to_pydict()
+        keys = list(zip(columns["symbol"], columns["ts"]))
+        assert keys == sorted(keys)
+    assert files
+
+
+def test_pipelines_write_dead_letters_side_by_side(spark, work):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = MarketStore(spark, work)
+    letters = spark.createDataFrame([("s", "t", "r", at("2024-01-30 10:00:00"), "d")] * 20, schemas.REJECTS)
+
+    def write(writer):
+        for batch in range(4):
+            store.append("rejects", letters, batch, utc_day("rejected_at"), writer=writer)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, "abcd"))
+    assert store.rejects().count() == 4 * 4 * 20
+
+
 def test_news_pipeline(spark, work):
     news = spark.createDataFrame(
         [("general", at("2024-01-30 10:00:00"), "Stocks rally", 1, None, "AAPL", "Reuters", "on strong growth", "http://a"),
