@@ -218,34 +218,35 @@ def quality_rate_(spark, folder):
 
 
 def series_payloads(spark, folder):
-    """One response per event, holding one observation."""
-    row = F.struct(
-        F.col("observation_date").alias("date"), "value", F.lit("2024-01-01").alias("realtime_start")
-    )
-    return base.economic(spark, folder).select(
-        "series_id", F.to_json(F.struct(F.array(row).alias("observations"))).alias("payload")
+    """One response per event, going back a day at a time for fifteen days, oldest first."""
+    day, back = F.to_date("observation_date"), F.sequence(F.lit(14), F.lit(0), F.lit(-1))
+    rows = F.transform(
+        back,
+        lambda i: F.struct(
+            F.date_sub(day, i).cast("string").alias("date"),
+            F.when(i < 14, (F.col("arrival") + i).cast("string")).alias("value"),
+            F.lit("2024-01-01").alias("realtime_start"),
+        ),
     )
+    return base.economic(spark, folder).select("series_id", F.to_json(F.struct(rows.alias("observations"))).alias("payload"))
 
 
-@check(
-    "series_explode",
-    """ SELECT series_id AS "seriesId", observation_date AS "observationDate", raw_value AS value,
-      '2024-01-01' AS "realTimeStart", '' AS "realTimeEnd" FROM economic""",
-    "economic",
-)
+def _back(days: int) -> str:
+    return f"""
+    SELECT series_id AS "seriesId", CAST(CAST(observation_date AS DATE) - i AS VARCHAR) AS "observationDate",
+      CAST(seq + i AS VARCHAR) AS value, '2024-01-01' AS "realTimeStart", '' AS "realTimeEnd"
+    FROM economic, (SELECT unnest(range({days}))::INT AS i)"""
+
+
+@check("series_explode", _back(14), "economic")
 def series_explode(spark, folder):
-    return accepted(landing.series_observations(series_payloads(spark, folder), per_series=None))
+    """All observations; the oldest of each response has no value and is refused."""
+    return accepted(landing.series_observations(series_payloads(spark, folder), per_response=None))
 
 
-@check(
-    "series_newest",
-    """ SELECT series_id AS "seriesId", observation_date AS "observationDate", raw_value AS value FROM economic
-    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY observation_date DESC, raw_value) <= 10""",
-    "economic",
-)
+@check("series_newest", _back(10), "economic")
 def series_newest(spark, folder):
-    rows = accepted(landing.series_observations(series_payloads(spark, folder)))
-    return rows.select("seriesId", "observationDate", "value")
+    return accepted(landing.series_observations(series_payloads(spark, folder)))
 
 
 @check("decode_topic", " SELECT symbol, open, high, low, close, volume, ts FROM candles", "candles")

@@ -197,17 +197,9 @@ def ingest_quotes(spark, folder):
     return store.candles().select("symbol", F.col("ts").cast(_NTZ).alias("ts"), "open", "high", "low", "close")
 
 
-@check(
-    "ingest_series",
-    """ SELECT series_id, ts, value FROM observations
-    QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) <= 10""",
-    "observations",
-)
+@check("ingest_series", " SELECT series_id, ts, value FROM observations", "observations")
 def ingest_series(spark, folder):
-    """Landed series responses to the observation topic, and the topic through the economic pipeline.
-
-    The newest ten observations of each series are taken over.
-    """
+    """Landed series responses to the observation topic, and the topic through the economic pipeline."""
     work = shared_folder(spark, "series")
     row = F.struct(F.col("observation_date").alias("date"), F.col("value").cast("string").alias("value"))
     body = F.to_json(F.struct(F.array(row).alias("observations"))).alias("payload")

@@ -20,7 +20,7 @@ from tapewright.operators.series import trailing_rows
 TRAILING = 20
 VOLATILITY_DAYS = (30, 60, 90)
 BROADCAST_DAYS = 100_000
-DAY_DAYS = {"d": 1, "m": 30, "y": 365}
+UNIT_DAYS = {"d": 1, "m": 30, "y": 365}
 
 
 def lookback_days(text: str) -> int:
@@ -30,7 +30,7 @@ def lookback_days(text: str) -> int:
         raise ValueError(f"lookback must look like 252d or 1y, not {text!r}")
     if match[2] == "h":
         raise ValueError("a lookback in hours has no daily returns")
-    return int(match[1]) * DAY_DAYS[match[2]]
+    return int(match[1]) * UNIT_DAYS[match[2]]
 
 
 def period_days(periods: str) -> int:
@@ -42,7 +42,7 @@ def period_days(periods: str) -> int:
         if unit == "d" and whole is not None:
             days.append(whole)
         elif unit in ("m", "y"):
-            days.append((1 if whole is None else whole) * DAY_DAYS[unit])
+            days.append((1 if whole is None else whole) * UNIT_DAYS[unit])
     return max(days, default=30)
 
 

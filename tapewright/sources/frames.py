@@ -67,14 +67,9 @@ class _Reader:
 
     def skip(self, count: np.ndarray | int) -> None:
         """Move the good cursors on; one that would pass its row's end turns bad."""
-        self.bad |= self.pos + count > self.end
+        self.bad |= count > self.end - self.pos
         self.pos = np.where(self.bad, self.pos, self.pos + count)
 
-    def byte(self) -> np.ndarray:
-        value = self.flat[self.pos]
-        self.skip(1)
-        return value
-
     def long(self, wanted: np.ndarray) -> np.ndarray:
         """Zigzag varints of the wanted rows; other rows keep their cursors and read 0."""
         raw = np.zeros(len(self.pos), dtype=np.uint64)

@@ -32,7 +32,6 @@ from tapewright.functions.times import (
     local_to_utc,
     zone_or_default,
 )
-from tapewright.operators.ranking import top_per_key
 
 PAYLOADS = StructType(
     [
@@ -142,15 +141,18 @@ def news_items(payloads: DataFrame) -> DataFrame:
     )
 
 
-def series_observations(payloads: DataFrame, per_series: int | None = OBSERVATIONS_PER_CALL) -> DataFrame:
-    """Series responses to observation records, the newest `per_series` of each response's series.
+def series_observations(payloads: DataFrame, per_response: int | None = OBSERVATIONS_PER_CALL) -> DataFrame:
+    """Series responses to observation records, the newest `per_response` of each (None: all).
 
-    `per_series=None` keeps all of them.
+    The cut is made inside the response's array, where the date is the first field.
     """
+    observations = F.col("r.observations")
+    if per_response is not None:
+        observations = F.slice(F.sort_array(observations, asc=False), 1, per_response)
     exploded = payloads.withColumn("r", F.from_json("payload", schemas.SERIES)).select(
-        "series_id", "payload", F.explode_outer("r.observations").alias("o"), _broken("r").alias("broken")
+        "series_id", "payload", F.explode_outer(observations).alias("o"), _broken("r").alias("broken")
     )
-    rows = exploded.select(
+    return exploded.select(
         F.col("series_id").alias("seriesId"),
         F.col("o.date").alias("observationDate"),
         F.col("o.value").alias("value"),
@@ -164,9 +166,6 @@ def series_observations(payloads: DataFrame, per_series: int | None = OBSERVATIO
             (F.col("o.value").isNull(), "missing_value"),
         ).alias("reason"),
     )
-    if per_series is None:
-        return rows
-    return top_per_key(rows, ["seriesId"], [F.desc("observationDate"), F.asc("value"), F.asc("realTimeStart")], per_series)
 
 
 def _broken(envelope: str) -> Column:

@@ -56,12 +56,14 @@ def test_candles(spark):
     bad_text = frame(zigzag(2) + b"\xff\xfe", *(struct.pack("<d", 1.0) for _ in range(4)), zigzag(1), zigzag(1))
     negative = frame(zigzag(-3), good[9:])
     endless = frame(b"\xff" * 12)
+    vast = frame(zigzag(2**62 - 1), good[9:])
     values = [good, None, b"\x00\x00\x00", good[:-3], b"\x01" + good[1:], candle("Ü株", v=-(2**62), t=-1), bad_text, negative,
-              frame(), good + b"tail", endless, b""]
+              frame(), good + b"tail", endless, b"", vast]
     _, out = decode(spark, schemas.CANDLE_WIRE, values)
     rows = times(out, "timestamp").collect()
     assert [r.reason for r in rows] == [
         None, "null_value", "bad_frame", "bad_body", "bad_frame", None, "bad_body", "bad_body", "bad_body", None, "bad_body", "bad_frame",
+        "bad_body",
     ]
     one = rows[0]
     assert (one.symbol, one.open, one.high, one.low, one.close, one.volume) == ("AAPL", 1.0, 2.0, 0.5, 1.5, 10)

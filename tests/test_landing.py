@@ -80,7 +80,7 @@ def test_series_newest_ten(spark):
     assert rows(out.where("reason is not null"), "seriesId", "reason") == [
         ("BAD", "unreadable"), ("GAPS", "missing_date"), ("GAPS", "missing_value"), ("NONE", "no_observations"),
     ]
-    assert accepted(landing.series_observations(df, per_series=None)).count() == 14
+    assert accepted(landing.series_observations(df, per_response=None)).count() == 14
 
 
 def bar(o, h, lo, c, v="100"):
