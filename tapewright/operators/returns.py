@@ -187,13 +187,12 @@ def risk_figures(candles: DataFrame, benchmark: str, end: datetime | str, lookba
     )
 
 
-def volume_average(candles: DataFrame, rows: int = TRAILING) -> DataFrame:
+def volume_average(candles: DataFrame, rows: int = TRAILING, grain: str = "day") -> DataFrame:
     """Mean volume of the trailing rows of each symbol, the current one included."""
-    return trailing_rows(candles, "symbol", "ts", rows, {"volume_average": F.avg("volume")})
+    return trailing_rows(candles, "symbol", "ts", rows, {"volume_average": F.avg("volume")}, grain)
 
 
-def support_resistance(candles: DataFrame, rows: int = TRAILING) -> DataFrame:
+def support_resistance(candles: DataFrame, rows: int = TRAILING, grain: str = "day") -> DataFrame:
     """Lowest low and highest high of the trailing rows."""
-    return trailing_rows(
-        candles, "symbol", "ts", rows, {"support": F.min("low"), "resistance": F.max("high")}
-    )
+    levels = {"support": F.min("low"), "resistance": F.max("high")}
+    return trailing_rows(candles, "symbol", "ts", rows, levels, grain)

@@ -48,7 +48,7 @@ def with_position(
 
 
 def trailing_rows(
-    df: DataFrame, key: str, ts: str, rows: int, aggregates: Mapping[str, Column], grain: str = "hour"
+    df: DataFrame, key: str, ts: str, rows: int, aggregates: Mapping[str, Column], grain: str = "day"
 ) -> DataFrame:
     """Aggregates over each row and the rows-1 rows before it in its key. (key, ts) is unique.
 
@@ -56,6 +56,9 @@ def trailing_rows(
     the heads. The rows before a head are other heads and the last rows-1 rows of earlier buckets,
     so a second window over heads and tails alone settles them. It sees at most 2 * (rows-1) rows of
     a key per bucket. Both branches read the same shuffle of the rows.
+
+    A bucket should hold many more rows than the window and still fit a task: days suit candles of a
+    minute, hours suit ticks.
     """
     if rows < 1:
         raise ValueError("rows must be positive")

@@ -55,6 +55,26 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAYLOADS).json(path)
 
 
+def read_bodies(spark: SparkSession, path: str) -> DataFrame:
+    """Landed raw bodies: one file per response, below folders that name the request.
+
+    For example `<path>/symbol=AAPL/interval=5min/0001.json`. The file's time is when it landed.
+    """
+    # The folder names are read as text; partition discovery would turn symbols like 0700 into numbers.
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    folder = F.col("_metadata.file_path")
+
+    def requested(name: str) -> Column:
+        value = F.regexp_extract(folder, f"/{name}=([^/]+)/", 1)
+        return F.when(value != "", F.url_decode(value)).alias(name)
+
+    return files.select(
+        *(requested(name) for name in ("symbol", "series_id", "category", "interval")),
+        F.col("value").alias("payload"),
+        F.col("_metadata.file_modification_time").alias("received_at"),
+    )
+
+
 def stream_payloads(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(PAYLOADS)
     if max_files:

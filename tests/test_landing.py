@@ -1,4 +1,5 @@
 import json
+import os
 
 from helpers import at, rows, times
 from pyspark.sql import functions as F
@@ -161,3 +162,20 @@ def test_payload_files(spark, work):
     with open(f"{work}/a.json", "w") as file:
         file.write(json.dumps(line) + "\n")
     assert rows(accepted(landing.quotes_to_candles(landing.read_payloads(spark, work))), "symbol", "close") == [("A", 1.0)]
+
+
+def test_raw_body_files(spark, work):
+    for symbol, body in {"AAPL": {"c": 1.5, "t": 1640995200}, "007": {"c": 2.5}}.items():
+        os.makedirs(f"{work}/symbol={symbol}")
+        with open(f"{work}/symbol={symbol}/1.json", "w") as file:
+            json.dump(body, file, indent=1)
+    bodies = landing.read_bodies(spark, work)
+    assert bodies.dtypes == [(f.name, f.dataType.simpleString()) for f in landing.PAYLOADS.fields]
+    assert bodies.where("received_at is null").count() == 0
+    got = accepted(landing.quotes_to_candles(bodies))
+    assert rows(got, "symbol", "close") == [("007", 2.5), ("AAPL", 1.5)]
+    os.makedirs(f"{work}/news/category=forex")
+    with open(f"{work}/news/category=forex/1.json", "w") as file:
+        json.dump([{"headline": "H", "summary": "S", "url": "http://x"}] * 2, file, indent=1)
+    items = accepted(landing.news_items(landing.read_bodies(spark, f"{work}/news")))
+    assert rows(items, "category", "headline") == [("forex", "H"), ("forex", "H")]
