@@ -61,7 +61,7 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     For example `<path>/symbol=AAPL/interval=5min/0001.json`. The file's time is when it landed.
     """
     # The folder names are read as text; partition discovery would turn symbols like 0700 into numbers.
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     folder = F.col("_metadata.file_path")
 
     def requested(name: str) -> Column:
