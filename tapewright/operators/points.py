@@ -26,11 +26,17 @@ def pivot_points(long_points: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def join_points(prices: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Full outer join on (symbol, ts); a point may have prices, measures or both."""
-    return (
-        prices.select("symbol", "ts", *PRICE_FIELDS)
-        .join(metrics.select("symbol", "ts", *METRIC_FIELDS), ["symbol", "ts"], "full")
-        .withColumn("volume", F.col("volume").cast("bigint"))
+    """Full outer join on (symbol, ts); a point may have prices, measures or both.
+
+    Stored sides are grouped by (symbol, ts, day) to settle rewrites. Joining on the day as well,
+    which follows from ts, lets the join reuse that partitioning.
+    """
+    keys = ["symbol", "ts"]
+    if "day" in prices.columns and "day" in metrics.columns:
+        keys.append("day")
+    joined = prices.select(*keys, *PRICE_FIELDS).join(metrics.select(*keys, *METRIC_FIELDS), keys, "full")
+    return joined.select("symbol", "ts", *PRICE_FIELDS, *METRIC_FIELDS).withColumn(
+        "volume", F.col("volume").cast("bigint")
     )
 
 

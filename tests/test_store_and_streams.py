@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from helpers import at, rows, times
+from helpers import at, plan, rows, times
 from pyspark.sql import functions as F
 from test_frames import candle
 
@@ -168,6 +168,20 @@ def test_stored_days_are_pruned(spark, work):
     assert store.candles(date(2025, 1, 1)).count() == 0
 
 
+def test_stored_sides_join_without_another_shuffle(spark, work):
+    from tapewright.functions.measures import stored_metrics, with_measures
+    from tapewright.operators.points import join_points
+
+    store = MarketStore(spark, work)
+    df = records(spark, *(("A", f"2024-01-{d:02d} 10:00:00", d) for d in range(1, 11))).withColumnRenamed("timestamp", "ts")
+    df = df.withColumn("arrival", arrival(0, F.lit(0)))
+    store.append("candles", df, 0, utc_day("ts"))
+    store.append("metrics", stored_metrics(with_measures(df.where("day(ts) > 2"), AS_OF), "arrival"), 0, utc_day("ts"))
+    joined = join_points(store.candles(), store.metrics())
+    assert joined.count() == 10 and joined.where("volatility is null").count() == 2
+    assert plan(joined).count("Exchange hashpartitioning") == 2
+
+
 def test_files_are_sorted_by_symbol_and_time(spark, work):
     import glob
 
@@ -257,6 +271,22 @@ def test_three_pipelines_and_a_query_that_cannot_start(spark, work):
     assert store.candles().count() == 1
 
 
+def test_paced_queries_run_until_stopped(spark, work):
+    publish(spark, f"{work}/topic", 0, ("A", "2024-01-30 10:00:00", 10.0))
+    store = MarketStore(spark, f"{work}/store")
+    rows_ = pipelines.classified_candles(topics.topic_stream(spark, f"{work}/topic"))
+    started = runner.start_all(spark, [Job("paced", rows_, "1 second", pipelines.candle_batch(store, AS_OF))], f"{work}/cp")
+    query = started.queries["paced"]
+    query.processAllAvailable()
+    publish(spark, f"{work}/topic", 1, ("B", "2024-01-30 10:00:00", 11.0))
+    query.processAllAvailable()
+    assert query.isActive and query.name == "paced"
+    query.stop()
+    assert store.stock_summaries().count() == 2
+    with pytest.raises(RuntimeError):
+        runner.run(spark, [Job("none", spark.range(1), "1 second")], f"{work}/cp2")
+
+
 CANDLES = "symbol string, ts timestamp, open double, high double, low double, close double, volume long, reason string, ingest_time timestamp"
 
 
