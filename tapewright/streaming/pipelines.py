@@ -108,12 +108,13 @@ def candle_batch(store: MarketStore, as_of: datetime | None = None, first_batch:
 
     @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
-        good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset")))
-        measured = with_measures(good, as_of or datetime.now(UTC).replace(tzinfo=None))
-        # Only the newest candle of each symbol goes on to the summary table.
-        newest = latest_per_key(
-            measured.drop("ingest_time", "source_offset", "raw", "reason"), ["symbol"], ["ts", "arrival"]
+        now = as_of or datetime.now(UTC).replace(tzinfo=None)
+        good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset"))).select(
+            "symbol", "ts", "open", "high", "low", "close", "volume", "arrival"
         )
+        measured = with_measures(good, now)
+        # Only the newest candle of each symbol goes on to the summary table, and only it is measured for it.
+        newest = with_measures(latest_per_key(good, ["symbol"], ["ts", "arrival"]), now)
         candles = good.withColumn("volume", F.col("volume").cast("double"))
         write_all(
             "candles",
