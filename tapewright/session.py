@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,14 +53,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Where a local session keeps its scratch tables when it names no folder.
+_LOCAL_SCRATCH: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the cluster's shared checkpoint folder, as the session names it.
 
-    Only when the session names none (unit tests, a laptop) is a temporary folder made and named.
+    A single-process session (unit tests, a laptop) may leave it unset and gets a temporary folder. On a
+    cluster that would be one machine's disk, so there it is an error.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        base = context_dir or tempfile.mkdtemp(prefix="tapewright-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+        if not _LOCAL_SCRATCH:
+            _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="tapewright-"))
+        base = _LOCAL_SCRATCH[0]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="supplied tables not there")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = entry.QUERIES, entry.ORACLE
 
 
 @pytest.fixture(scope="module")
