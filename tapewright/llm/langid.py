@@ -32,8 +32,9 @@ BLOCK = 1 << 20
 PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 12
+LEAST_SHARE = 0.02
 #: A text is rejected below this share of the similarity that nearly all of a centroid's own texts reach.
-MARGIN = 0.4
+MARGIN = 0.12
 UNKNOWN = "und"
 
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
@@ -98,17 +99,19 @@ class Centroids:
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from seeds chosen farthest first: centroids, and each vector's own."""
-    seeds = [int(np.argmax(vectors @ vectors.mean(axis=0)))]
-    while len(seeds) < min(k, len(vectors)):
-        seeds.append(int(np.argmin((vectors @ vectors[seeds].T).max(axis=1))))
-    centres = vectors[seeds]
-    own = np.zeros(len(vectors), int)
-    for _ in range(rounds):
+    """Spherical k-means: centroids, and each vector's own. Seeds lie evenly in the order of similarity to the mean.
+
+    A centroid that keeps less than LEAST_SHARE of the vectors is a stray text rather than a register, and is given up.
+    """
+    order = np.argsort(vectors @ vectors.mean(axis=0), kind="stable")
+    places = (np.arange(min(k, len(vectors))) + 0.5) * len(vectors) / min(k, len(vectors))
+    centres = vectors[order[places.astype(int)]]
+    for step in range(rounds):
         own = np.argmax(vectors @ centres.T, axis=1)
-        sums = np.stack([vectors[own == j].sum(axis=0) for j in range(len(centres))])
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1), centres).astype(np.float32)
+        sizes = np.bincount(own, minlength=len(centres))
+        kept = [j for j in range(len(centres)) if sizes[j] and (step < rounds - 1 or sizes[j] >= LEAST_SHARE * len(vectors))]
+        sums = np.stack([vectors[own == j].sum(axis=0) for j in kept])
+        centres = (sums / np.linalg.norm(sums, axis=1, keepdims=True)).astype(np.float32)
     return centres, np.argmax(vectors @ centres.T, axis=1)
 
 
