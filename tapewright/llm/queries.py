@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, toxicity
+from tapewright.llm import langid, linequality, toxicity
 from tapewright.llm.tables import fold, table
 
 QUERIES: dict = {}
@@ -28,6 +28,13 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "accepted")
 
 
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = linequality.score_quality(docs, linequality.fit(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", _held_out(5, 0), "score", "predicted", "quality")
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
