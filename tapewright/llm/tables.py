@@ -54,8 +54,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, f
     known = known.groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = small_sample(known, F.col("doc_id"), rows)
     texts = whole_texts(docs).join(F.broadcast(chosen), "doc_id")
-    # A repeated id brings all its rows; the sample stays bounded.
-    return texts.limit(rows)
+    # A repeated id would bring all its rows; one of them is enough.
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def scored(docs: DataFrame, function: Callable[..., Column], *columns: Column) -> DataFrame:

@@ -6,8 +6,8 @@ no noise. The counterfactual term looks at sentences of the labelled documents t
 swapped for another of its kind, and the squared change of the sentence's score is penalised. A group's name thus cannot carry
 toxicity of its own, and a neutral mention of it is not one.
 
-The fit reads a bounded sample of labelled rows (`rows`, chosen by a hash of the id) and is solved on the driver over
-its sparse features; scoring reads every whole text.
+The fit reads a bounded sample of labelled rows (`rows`, chosen by a hash of the id). Features are counted and screened in Spark; what
+is left of the sample is solved on the driver. Scoring reads every whole text.
 
 Defined results: null and empty texts get the score of a text without features. Without labelled rows, or with one label only,
 every score is that label's share (0 if there is none). Repeated rows get equal scores.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.tables import ADDED, labelled_sample, scored
+from tapewright.llm.tables import ADDED, labelled_sample, scored, stored
 
 ROWS = 12_000
 SPACE = (1 << 40) - 1
@@ -167,24 +167,31 @@ def fit(
             )
 
     sample = labelled_sample(docs, labels, "toxic", rows, folds)
-    found = sample.mapInPandas(featured, "label int, features array<long>, names array<string>").toPandas()
-    label = found["label"].to_numpy(float) if len(found) else np.zeros(0)
-    if not len(label) or label.min() == label.max():
-        share = float(label.mean()) if len(label) else 0.0
+    found = stored(sample.mapInPandas(featured, "label int, features array<long>, names array<string>"), "toxicity")
+    total, toxic = found.agg(F.count(F.lit(1)), F.sum("label")).first()
+    if not total or toxic in (0, total):
+        share = toxic / total if total else 0.0
         return Classifier(float(np.log((share + 1e-9) / (1 - share + 1e-9))), {})
-    sizes = found["features"].map(len).to_numpy()
-    flat = np.concatenate(found["features"].to_list())
+    # Features whose share of toxic rows is what chance would give can't matter; without them the rest converge fast.
+    mean = toxic / total
+    seen = found.select("label", F.explode("features").alias("feature")).groupBy("feature")
+    seen = seen.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_toxic")).where(F.col("n") >= LEAST_DOCS)
+    excess = F.abs(F.col("n_toxic") - F.col("n") * mean)
+    telling = seen.where(excess >= LEAST_Z * F.sqrt(F.col("n") * mean * (1 - mean))).select("feature").toPandas()
+    kept = np.sort(telling["feature"].to_numpy(np.int64))
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [np.searchsorted(kept, np.intersect1d(f, kept)) for f in batch["features"]]
+            yield pd.DataFrame({"label": batch["label"], "columns": own, "names": batch["names"]})
+
+    marks = found.mapInPandas(reduced, "label int, columns array<int>, names array<string>").toPandas()
+    label = marks["label"].to_numpy(float)
+    sizes = marks["columns"].map(len).to_numpy()
+    flat = np.concatenate(marks["columns"].map(np.asarray).to_list()).astype(np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    kept, place, count = np.unique(flat, return_inverse=True, return_counts=True)
-    # Columns whose share of toxic rows is what chance would give can't matter; without them the rest converge fast.
-    mean = label.mean()
-    excess = np.bincount(place, weights=label[row]) - count * mean
-    often = (count >= LEAST_DOCS) & (np.abs(excess) >= LEAST_Z * np.sqrt(count * mean * (1 - mean)))
-    column = np.where(often, np.cumsum(often) - 1, -1)
-    place = column[place]
-    flat, row, kept = place[place >= 0], row[place >= 0], kept[often]
     at = {int(f): i for i, f in enumerate(kept)}
-    names, times = np.unique(np.concatenate(found["names"].map(np.asarray).to_list()).astype(str), return_counts=True)
+    names, times = np.unique(np.concatenate(marks["names"].map(np.asarray).to_list()).astype(str), return_counts=True)
     changes = []
     for name, n in zip(names, times):
         own, other = set(features_of(name)), set(features_of(swaps[name]))
@@ -194,8 +201,7 @@ def fit(
         changes += [(-1, at[f], n) for f in own - other if f in at and f != whole[0]]
         changes += [(at[f], -1, n) for f in other - own if f in at and f != whole[1]]
     pairs = np.array(changes, np.int64).reshape(-1, 3).T
-    order = np.lexsort((flat, row))
-    b, w = solve(flat[order], row[order], label, len(kept), pairs, l1, counterfactual, STEPS)
+    b, w = solve(flat, row, label, len(kept), pairs, l1, counterfactual, STEPS)
     return Classifier(b, {int(f): float(x) for f, x in zip(kept, w) if x})
 
 
