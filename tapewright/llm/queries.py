@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, linequality, toxicity
+from tapewright.llm import langid, linequality, packing, pieces, tokencounts, toxicity
 from tapewright.llm.tables import fold, table
+from tapewright.session import shared_folder
+
+#: Vocabulary files of public tokenizers, outside the repository.
+TOKENIZERS = "/opt/tokenizers"
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +25,19 @@ def _held_out(folds: int, own: int) -> Column:
     return F.coalesce(fold(F.col("doc_id"), folds) == own, F.lit(False)).alias("held_out")
 
 
+@query
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Starts from an empty cache, so that every distinct text is encoded in this run."""
+    docs = table(spark, folder, "documents")
+    found = tokencounts.count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json", shared_folder(spark, "token-counts"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=False)
+
+
 @query
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -28,6 +45,11 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "accepted")
 
 
+@query
+def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @query
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
