@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, linequality, packing, pieces, tokencounts, toxicity
+from tapewright.llm import langid, linequality, packing, pieces, qualityrules, search, tokencounts, toxicity
 from tapewright.llm.tables import fold, table
 from tapewright.session import shared_folder
 
-#: Vocabulary files of public tokenizers, outside the repository.
-TOKENIZERS = "/opt/tokenizers"
-
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -29,13 +27,13 @@ def _held_out(folds: int, own: int) -> Column:
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded in this run."""
     docs = table(spark, folder, "documents")
-    found = tokencounts.count_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json", shared_folder(spark, "token-counts"))
+    found = tokencounts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark, "token-counts"))
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 @query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", with_ids=False)
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 @query
@@ -47,7 +45,31 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op1_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return pieces.piece_digests(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.piece_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = qualityrules.judge(table(spark, folder, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return found.select("doc_id", *counts, "base_failed", "kept")
+
+
+@query
+def op3_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", search.weights(F.col("embedding"), 1024).alias("weights"))
+    return search.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op3_top_k"] = """
+    WITH w AS (
+      SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score,
+      CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+    FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    QUALIFY rank <= 10"""
 
 
 @query
