@@ -28,7 +28,7 @@ RELATIVE = 0.01
 LEAST_ROWS = 200
 REACH = 3.0
 #: Measure: (least distance of the upper fence from the median, the same of the lower fence or None).
-GAPS = {"symbol_share": (0.05, None), "dup_share": (0.3, None), "repeat_share": (0.3, None), "word_length": (3.0, 3.0)}
+GAPS = {"symbol_share": (0.05, None), "dup_share": (0.5, None), "repeat_share": (0.3, None), "word_length": (3.0, 3.0)}
 ZERO = -(1 << 30)
 
 

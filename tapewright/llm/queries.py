@@ -63,9 +63,9 @@ def op3_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE["op3_top_k"] = """
     WITH w AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score,
       CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
     FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
