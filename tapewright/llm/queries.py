@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import langid, linequality, packing, pieces, qualityrules, search, tokencounts, toxicity
+from tapewright.llm import disclosure, langid, linequality, packing, pieces, qualityrules, search, tokencounts, toxicity
 from tapewright.llm.tables import fold, table
 from tapewright.session import shared_folder
 
@@ -36,6 +36,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+@query
+def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.find_personal_data(table(spark, folder, "documents"))
+
+
 @query
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
