@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import disclosure, langid, linequality, packing, pieces, qualityrules, search, tokencounts, toxicity
+from tapewright.llm import disclosure, langid, linequality, neardup, packing, pieces, qualityrules, search, tokencounts, toxicity
 from tapewright.llm.tables import fold, table
 from tapewright.session import shared_folder
 
@@ -84,6 +84,11 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0), "score", "predicted", "quality")
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
