@@ -30,6 +30,7 @@ REACH = 3.0
 #: Measure: (least distance of the upper fence from the median, the same of the lower fence or None).
 GAPS = {"symbol_share": (0.05, None), "dup_share": (0.5, None), "repeat_share": (0.3, None), "word_length": (3.0, 3.0)}
 ZERO = -(1 << 30)
+_FENCE = {"rows": "long"} | {f"{side}_{m}": "double" for m in GAPS for side in ("low", "high")}
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -137,18 +138,17 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 def group_fences(sketches: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The fences that hold for each language and source: its own, its language's or the corpus's."""
-    names = [f"{side}_{m}" for m in GAPS for side in ("low", "high")]
-
     def named(level: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
-        return level.select(*keys, F.struct("rows", *names).alias(prefix))
+        return level.select(*keys, F.struct(*_FENCE).alias(prefix))
 
     by_source = named(fences(sketches, ["lang", "source"]), "own", ["lang", "source"])
     by_lang = named(fences(merge(sketches, ["lang"]), ["lang"]), "language", ["lang"])
-    corpus = merge(sketches.withColumn("everything", F.lit(1)), ["everything"])
-    overall = named(fences(corpus, ["everything"]), "corpus", ["everything"])
-    found = by_source.join(by_lang, "lang").withColumn("everything", F.lit(1)).join(overall, "everything")
+    # The corpus has one row, whose numbers become constants; no row if nothing was sound.
+    corpus = fences(merge(sketches.withColumn("corpus", F.lit(1)), ["corpus"]), ["corpus"]).first()
+    overall = F.struct(*(F.lit(corpus[n] if corpus else None).cast(t).alias(n) for n, t in _FENCE.items()))
+    found = by_source.join(by_lang, "lang")
     chosen = F.when(F.col("own.rows") >= least_rows, F.col("own")).when(F.col("language.rows") >= least_rows, F.col("language"))
-    return found.select("lang", "source", chosen.otherwise(F.col("corpus")).alias("fence")).select("lang", "source", "fence.*")
+    return found.select("lang", "source", chosen.otherwise(overall).alias("fence")).select("lang", "source", "fence.*")
 
 
 def judge(docs: DataFrame) -> DataFrame:
