@@ -3,8 +3,8 @@
 Letters are lowered; runs of anything else become one separator; n-grams of one to three characters that lie
 within a word (with its edges) are hashed into a fixed number of dimensions. Counts are dampened, weighted by inverse document
 frequency and normalised. Each language's sample vectors are clustered (spherical k-means), so that a language written in
-several registers keeps one centroid for each. A text goes to the nearest centroid; one that is farther
-from it than that centroid's own texts ever are, by a margin, is rejected.
+several registers keeps one centroid for each. A text goes to the nearest centroid; one that is much farther
+from it than the language's own texts are is rejected.
 
 The fit reads a bounded sample of labelled rows (`per_language` of each language, chosen by a hash of the id);
 prediction reads every whole text.
@@ -33,8 +33,8 @@ PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 12
 LEAST_SHARE = 0.02
-#: A text is rejected below this share of the similarity that nearly all of a centroid's own texts reach.
-MARGIN = 0.12
+#: A text is rejected below this share of the similarity that half of the language's own texts reach; one common word reaches more.
+MARGIN = 0.07
 UNKNOWN = "und"
 
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, h
             {
                 "lang": [pages["lang"].iloc[0]] * len(kept),
                 "centre": [centres[j].tolist() for j in kept],
-                "floor": [float(MARGIN * np.quantile(near[own == j], 0.01)) for j in kept],
+                "floor": [float(MARGIN * np.median(near))] * len(kept),
             }
         )
 
@@ -160,9 +160,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, h
     learned = sample.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, floor double").collect()
     learned.sort(key=lambda row: row.lang)
     matrix = np.array([row.centre for row in learned], np.float32).reshape(len(learned), DIMS)
-    # Short texts lie far from every centroid; the loosest floor of a language holds for all of it.
-    loosest = {row.lang: min(r.floor for r in learned if r.lang == row.lang) for row in learned}
-    floors = np.array([loosest[row.lang] for row in learned])
+    floors = np.array([row.floor for row in learned])
     return Centroids(np.array([row.lang for row in learned]), matrix, floors, idf)
 
 

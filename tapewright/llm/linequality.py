@@ -81,10 +81,12 @@ def chain_marginals(score: np.ndarray, moves: np.ndarray) -> np.ndarray:
     Forward-backward over the odds, in logs so that any number of lines is safe.
     """
     n = len(score)
+    if not n:
+        return np.zeros(0)
     ahead, back = [0.0] * n, [0.0] * n
     bb, bg, gb, gg = (float(x) for x in moves.reshape(-1))
     values = score.tolist()
-    x = ahead[0] = values[0] if n else 0.0
+    x = ahead[0] = values[0]
     for t in range(1, n):
         x = ahead[t] = values[t] + _log_ratio(x, bg, gg, bb, gb)
     y = 0.0
