@@ -59,7 +59,7 @@ def uuid_sql(name: str) -> str:
 
 def candles_sql(where: str = "value > 0") -> str:
     return f"""
-      SELECT concat('SYM', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS symbol,
+      SELECT printf('SYM%04d', user_id) AS symbol,
         CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts,
         min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close,
         CAST(count(*) * 100 AS BIGINT) AS volume
@@ -95,7 +95,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "metric_candles": ((), candles_sql("value > 0 AND event_type <> 'signup'")),
     "ticks": (
         (),
-        "SELECT concat('SYM', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS symbol, ts, value AS volatility FROM events",
+        "SELECT printf('SYM%04d', user_id) AS symbol, ts, value AS volatility FROM events",
     ),
     "news": (
         (),
@@ -108,7 +108,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           FROM (SELECT concat('Report ', CAST(doc_id AS VARCHAR), ' (', lang, ') from ', source) AS headline,
               text AS summary, source, concat('http://news.example/', CAST(doc_id AS VARCHAR)) AS url,
               CASE WHEN doc_id % 4 = 0 THEN NULL
-                ELSE concat('SYM', lpad(CAST(doc_id % 150 AS VARCHAR), 4, '0')) END AS related_symbol,
+                ELSE printf('SYM%04d', doc_id % 150) END AS related_symbol,
               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * CAST((doc_id % 1000) * 43 AS INT) AS ts
             FROM documents)))""",
     ),
@@ -144,7 +144,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "instruments": (
         (),
         """
-      SELECT concat('SYM', lpad(CAST(c_custkey AS VARCHAR), 4, '0')) AS symbol, c_name AS name, 'XTST' AS exchange,
+      SELECT printf('SYM%04d', c_custkey) AS symbol, c_name AS name, 'XTST' AS exchange,
         'USD' AS currency, c_mktsegment AS sector
       FROM customer WHERE c_acctbal > 0""",
     ),
@@ -185,7 +185,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def symbol_of(number: str) -> Column:
-    return F.concat(F.lit("SYM"), F.lpad(F.col(number).cast("string"), 4, "0"))
+    return F.format_string("SYM%04d", F.col(number))
 
 
 def candles_from(events: DataFrame) -> DataFrame:
@@ -254,7 +254,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         F.col("text").alias("summary"),
         "source",
         F.concat(F.lit("http://news.example/"), doc.cast("string")).alias("url"),
-        F.when(doc % 4 != 0, F.concat(F.lit("SYM"), F.lpad((doc % 150).cast("string"), 4, "0"))).alias("related_symbol"),
+        F.when(doc % 4 != 0, F.format_string("SYM%04d", doc % 150)).alias("related_symbol"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=minutes)).alias("ts"),
     )
 

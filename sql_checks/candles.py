@@ -147,7 +147,7 @@ def price_domain_(spark, folder):
     "price_positions",
     """
     SELECT symbol, ts, value, position FROM (
-      SELECT concat('SYM', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS symbol, ts,
+      SELECT printf('SYM%04d', user_id) AS symbol, ts,
         CASE WHEN event_type <> 'error' THEN value END AS value,
         row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS position
       FROM events) WHERE value IS NOT NULL""",

@@ -8,7 +8,6 @@ from tapewright import schemas
 from tapewright.operators.quality import quality_rate, valid_counts
 from tapewright.operators.rejects import accepted, rejected
 from tapewright.sources import landing
-from tapewright.sources.frames import decode_frames, encode_frames
 
 RECEIVED = "2024-01-31 00:00:00"
 
@@ -133,7 +132,7 @@ def intraday_payloads(spark, folder):
     zone = F.struct(F.lit("UTC").alias("6. Time Zone")).alias("Meta Data")
     return base.table(spark, folder, "events").select(
         base.symbol_of("user_id").alias("symbol"),
-        # Purchases are asked for at an interval that does not exist and so yield nothing.
+        # Purchases are asked for at an interval that does not exist and so are refused.
         F.when(kind == "purchase", "2min").otherwise(interval).alias("interval"),
         F.to_json(F.struct(zone, *series)).alias("payload"),
         F.lit(RECEIVED).cast("timestamp").alias("received_at"),
@@ -143,7 +142,7 @@ def intraday_payloads(spark, folder):
 @check(
     "vendor_intraday_explode",
     """
-    SELECT concat('SYM', lpad(CAST(user_id AS VARCHAR), 4, '0')) AS symbol, date_trunc('second', ts) AS ts, value AS open,
+    SELECT printf('SYM%04d', user_id) AS symbol, date_trunc('second', ts) AS ts, value AS open,
       value AS high, value AS low, value AS close, event_id AS volume,
       concat('intraday_', CASE event_type WHEN 'view' THEN '1min' WHEN 'click' THEN '15min' WHEN 'error' THEN '60min' ELSE '5min' END) AS origin
     FROM events WHERE event_type <> 'purchase' AND value > 0""",
@@ -153,6 +152,26 @@ def vendor_intraday_explode(spark, folder):
     return good.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume", "origin")
 
 
+_BAR_JSON = """'{"1. open":"' || v || '","2. high":"' || v || '","3. low":"' || v || '","4. close":"' || v || '","5. volume":"' || event_id || '"}'"""
+
+
+@check(
+    "intraday_rejects",
+    f"""
+    SELECT symbol, reason, CASE WHEN reason = 'unknown_interval'
+        THEN '{{"Meta Data":{{"6. Time Zone":"UTC"}},"Time Series (5min)":{{"' || clock || '":' || bar || '}}}}'
+        ELSE '{{"key":"' || clock || '","value":' || bar || '}}' END AS payload
+    FROM (SELECT *, {_BAR_JSON} AS bar FROM (SELECT printf('SYM%04d', user_id) AS symbol, CAST(value AS VARCHAR) AS v, event_id,
+        strftime(ts, '%Y-%m-%d %H:%M:%S') AS clock,
+        CASE WHEN event_type = 'purchase' THEN 'unknown_interval' WHEN value <= 0 THEN 'price_not_positive' END AS reason FROM events))
+    WHERE reason IS NOT NULL""",
+)
+def intraday_rejects(spark, folder):
+    """Whole bodies of refused requests, and refused bars."""
+    bars = landing.intraday_bars(intraday_payloads(spark, folder))
+    return bars.where(F.col("reason").isNotNull()).select("symbol", "reason", "payload")
+
+
 @check(
     "candle_union",
     f"""
@@ -189,7 +208,7 @@ def news_payloads(spark, folder):
 _NEWS_REASON = r"""
     SELECT coalesce(nullif(lang, 'de'), 'general') AS category, doc_id,
       CASE WHEN NOT regexp_matches(text, '[^\t-\r\x1c-\x1f\p{Z}]') THEN 'blank_summary'
-        WHEN length(text) > 5000 THEN 'summary_too_long' WHEN lang = 'fr' THEN 'url_not_http' END AS reason
+        WHEN lang = 'fr' THEN 'url_not_http' END AS reason
     FROM documents"""
 
 
@@ -241,35 +260,4 @@ def _back(days: int) -> str:
 @check("series_explode", _back(14), "economic")
 def series_explode(spark, folder):
     """All observations; the oldest of each response has no value and is refused."""
-    return accepted(landing.series_observations(series_payloads(spark, folder), per_response=None))
-
-
-@check("series_newest", _back(10), "economic")
-def series_newest(spark, folder):
     return accepted(landing.series_observations(series_payloads(spark, folder)))
-
-
-@check("decode_topic", " SELECT symbol, open, high, low, close, volume, ts FROM candles", "candles")
-def decode_topic(spark, folder):
-    """Candles to framed bytes and back."""
-    records = base.candles(spark, folder).withColumn("timestamp", F.col("ts").cast("timestamp"))
-    frames = encode_frames(records, schemas.CANDLE_WIRE, "symbol")
-    decoded = decode_frames(frames, schemas.CANDLE_WIRE).where(F.col("reason").isNull())
-    return decoded.select(
-        "symbol", "open", "high", "low", "close", "volume", F.col("timestamp").cast("timestamp_ntz").alias("ts")
-    )
-
-
-@check(
-    "decode_news_topic",
-    """SELECT lang AS category, concat('http://news.example/', CAST(doc_id AS VARCHAR)) AS url, text AS summary, doc_id AS id,
-      CASE WHEN doc_id % 4 <> 0 THEN concat('SYM', lpad(CAST(doc_id % 150 AS VARCHAR), 4, '0')) END AS related FROM documents""",
-)
-def decode_news_topic(spark, folder):
-    """Documents as framed news and back: long texts, four languages, missing fields."""
-    records = base.articles(spark, folder).select(
-        F.col("lang").alias("category"), F.col("ts").cast("timestamp").alias("datetime"), "headline", F.col("doc_id").alias("id"),
-        F.lit(None).cast("string").alias("image"), F.col("related_symbol").alias("related"), "source", "summary", "url",
-    )
-    decoded = decode_frames(encode_frames(records, schemas.NEWS_WIRE, "category"), schemas.NEWS_WIRE)
-    return decoded.where(F.col("reason").isNull()).select("category", "url", "summary", "id", "related")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sql_checks import base
 from sql_checks.base import AS_OF, NEGATIVE, POSITIVE, check
-from tapewright.functions.text import NEGATIVE_TERMS, POSITIVE_TERMS, distinct_term_hits
+from tapewright.functions.text import NEGATIVE_TERMS, POSITIVE_TERMS, distinct_term_hits, sentiment
 from tapewright.plans import news
 
 _ITEM = "id, headline, summary, sentiment, ts, source, related_symbol"
@@ -20,6 +20,11 @@ def news_ids(spark, folder):
     return base.news(spark, folder).select("id", "headline", "date_bucket", "related_symbol")
 
 
+_MARKET = """
+    SELECT doc_id, CASE WHEN lead >= 2 THEN 'POSITIVE' WHEN lead <= -2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS sentiment
+    FROM (SELECT doc_id, ({}) - ({}) AS lead FROM documents)"""
+
+
 def _hits(terms) -> str:
     return " + ".join(f"CAST(contains(lower(text), '{t}') AS INT)" for t in terms)
 
@@ -37,10 +42,16 @@ def term_hits(spark, folder):
     return base.table(spark, folder, "documents").select("doc_id", *hits)
 
 
-def _recent(hours: int, limit: int, depth: int = 7) -> str:
+@check("news_sentiment_market", _MARKET.format(_hits(POSITIVE_TERMS), _hits(NEGATIVE_TERMS)))
+def news_sentiment_market(spark, folder):
+    """Labels of whole texts with the market lexicon."""
+    label = sentiment(F.lit(""), F.col("text"), POSITIVE_TERMS, NEGATIVE_TERMS)
+    return base.table(spark, folder, "documents").select("doc_id", label.alias("sentiment"))
+
+
+def _recent(hours: int, limit: int, where: str = "true") -> str:
     return f"""(SELECT {_ITEM} FROM news
-      WHERE date_bucket BETWEEN CAST(DATE '2024-01-31' - {depth - 1} AS VARCHAR) AND '2024-01-31'
-        AND ts > TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOURS
+      WHERE date_bucket <= '2024-01-31' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOURS AND {where}
       ORDER BY ts DESC, id LIMIT {limit})"""
 
 
@@ -54,31 +65,24 @@ def recent_news_week(spark, folder):
     return news.recent_news(base.news(spark, folder), AS_OF, hours=150, limit=120)
 
 
-@check(
-    "news_by_sentiment",
-    f" SELECT * FROM {_recent(120, 60)} WHERE lower(sentiment) = 'negative' ORDER BY ts DESC, id LIMIT 20",
-    "news",
-)
+@check("news_month", f" SELECT * FROM {_recent(720, 1000)}", "news")
+def news_month(spark, folder):
+    return news.recent_news(base.news(spark, folder), AS_OF, hours=720, limit=1000)
+
+
+@check("news_by_sentiment", f" SELECT * FROM {_recent(120, 20, "lower(sentiment) = 'negative'")}", "news")
 def news_by_sentiment(spark, folder):
     return news.news_by_sentiment(base.news(spark, folder), "negative", AS_OF, hours=120)
 
 
-@check(
-    "news_for_symbol",
-    f" SELECT * FROM {_recent(168, 500)} WHERE lower(related_symbol) = 'sym0021' ORDER BY ts DESC, id LIMIT 100",
-    "news",
-)
+@check("news_for_symbol", f" SELECT * FROM {_recent(168, 100, "lower(related_symbol) = 'sym0021'")}", "news")
 def news_for_symbol(spark, folder):
     return news.news_for_symbol(base.news(spark, folder), "sym0021", AS_OF, hours=168, limit=100)
 
 
-@check(
-    "news_for_symbol_exhaustive",
-    f" SELECT * FROM {_recent(168, 1000000000)} WHERE lower(related_symbol) = 'sym0021' ORDER BY ts DESC, id LIMIT 100",
-    "news",
-)
-def news_for_symbol_exhaustive(spark, folder):
-    return news.news_for_symbol(base.news(spark, folder), "sym0021", AS_OF, hours=168, limit=100, exhaustive=True)
+@check("news_for_symbol_month", f" SELECT * FROM {_recent(720, 100, "lower(related_symbol) = 'sym0021'")}", "news")
+def news_for_symbol_month(spark, folder):
+    return news.news_for_symbol(base.news(spark, folder), "sym0021", AS_OF, hours=720, limit=100)
 
 
 @check(

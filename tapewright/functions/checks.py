@@ -13,8 +13,6 @@ from tapewright.functions.text import is_blank
 from tapewright.schemas import CORRUPT
 
 PRICES = ("open", "high", "low", "close")
-HEADLINE_LIMIT = 1000
-SUMMARY_LIMIT = 5000
 # Epoch values from here on are milliseconds where seconds are due.
 SECONDS_LIMIT = 100_000_000_000
 
@@ -70,14 +68,15 @@ def quote_reason() -> Column:
     )
 
 
-def vendor_news_reason() -> Column:
+def vendor_news_reason(headline_limit: int | None = None, summary_limit: int | None = None) -> Column:
+    """Vendor news items; texts of any length pass unless a limit is given."""
     c = F.col
+    limits = (("headline", headline_limit), ("summary", summary_limit))
     return first_reason(
         (is_blank(c("headline")), "blank_headline"),
         (is_blank(c("summary")), "blank_summary"),
         (is_blank(c("url")), "blank_url"),
-        (F.length(c("headline")) > HEADLINE_LIMIT, "headline_too_long"),
-        (F.length(c("summary")) > SUMMARY_LIMIT, "summary_too_long"),
+        *((F.length(c(name)) > limit, f"{name}_too_long") for name, limit in limits if limit is not None),
         (~c("url").startswith("http"), "url_not_http"),
         (c("datetime") >= SECONDS_LIMIT, "time_not_in_seconds"),
     )

@@ -91,9 +91,13 @@ def rejection_windows(rejects: DataFrame) -> DataFrame:
 
     Counting per minute first means a row is not multiplied by the five windows it falls into.
     """
+    return windows_of_minutes(per_minute(rejects))
+
+
+def windows_of_minutes(minutes: DataFrame) -> DataFrame:
+    """The same from counts n per source and minute."""
     return (
-        per_minute(rejects)
-        .groupBy("source", F.window("minute", "5 minutes", "1 minute").alias("w"))
+        minutes.groupBy("source", F.window("minute", "5 minutes", "1 minute").alias("w"))
         .agg(F.sum("n").alias("rejects"))
         .select("source", F.col("w.end").alias("window_end"), "rejects", (F.col("rejects") / 300.0).alias("rate"))
     )

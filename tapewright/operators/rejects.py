@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.text import truncate
 
-DATA_LIMIT = 500
 
 
 def accepted(classified: DataFrame) -> DataFrame:
@@ -15,11 +14,16 @@ def accepted(classified: DataFrame) -> DataFrame:
 
 
 def rejected(classified: DataFrame, source: str, record_type: str, rejected_at: Column, data: str = "payload") -> DataFrame:
-    """Refused rows as dead letters; only the first 500 characters of the data are kept."""
+    """Refused rows as dead letters with their whole data, so that they can be mended and replayed."""
     return classified.where(F.col("reason").isNotNull()).select(
         F.lit(source).alias("source"),
         F.lit(record_type).alias("record_type"),
         "reason",
         rejected_at.cast("timestamp").alias("rejected_at"),
-        truncate(F.col(data).cast("string"), DATA_LIMIT).alias("data"),
+        F.col(data).cast("string").alias("data"),
     )
+
+
+def shown(letters: DataFrame, length: int = 500) -> DataFrame:
+    """Dead letters for people: the first characters of their data."""
+    return letters.withColumn("data", truncate(F.col("data"), length))

@@ -19,7 +19,6 @@ from tapewright.operators.series import trailing_rows
 
 TRAILING = 20
 VOLATILITY_DAYS = (30, 60, 90)
-BROADCAST_DAYS = 100_000
 UNIT_DAYS = {"d": 1, "m": 30, "y": 365}
 
 
@@ -96,15 +95,10 @@ def historical_volatility(returns: DataFrame, windows: tuple[int, ...] = VOLATIL
 
 
 def benchmark_returns(candles: DataFrame, benchmark: str, end: datetime | str, lookback: int) -> DataFrame:
-    """(day, bench_ret) of one symbol: at most one row per calendar day of the lookback.
-
-    That bound is known here, so the side is broadcast while it is small and joined by shuffle
-    beyond.
-    """
-    bench = recent_returns(candles.where(F.col("symbol") == benchmark), end, lookback).select(
+    """(day, bench_ret) of one symbol: at most one row per calendar day of the lookback; how it is joined is left to Spark."""
+    return recent_returns(candles.where(F.col("symbol") == benchmark), end, lookback).select(
         "day", F.col("ret").alias("bench_ret")
     )
-    return F.broadcast(bench) if lookback <= BROADCAST_DAYS else bench
 
 
 def _beta() -> Column:

@@ -83,13 +83,13 @@ def page_of_series(df: DataFrame, key: str, ts: str, page: int, size: int, grain
     """One page of one key's history, newest first, with the page envelope.
 
     Only the buckets that overlap the page are read for rows; skipped rows are counted, not sorted.
-    `df` holds a single key.
+    `df` holds a single key. Rows of equal time come in the order of their other columns, so that pages neither repeat nor lose one.
     """
     check_page(page, size)
     first, last = page * size, (page + 1) * size
     starts = bucket_starts(df, key, ts, grain, descending=True)
     wanted = starts.where((F.col("__before") < last) & (F.col("__before") + F.col("__rows") > first))
-    inside = Window.partitionBy(key, "__bucket").orderBy(F.desc(ts))
+    inside = Window.partitionBy(key, "__bucket").orderBy(F.desc(ts), *(c for c in df.columns if c not in (key, ts)))
     return (
         df.withColumn("__bucket", _bucket(ts, grain))
         .join(wanted.select(key, "__bucket", "__before", "__total"), [key, "__bucket"])

@@ -59,7 +59,7 @@ def missing_metadata(series: DataFrame, known: DataFrame, existing: DataFrame) -
     `known` is a fixed map of a few rows and is the broadcast side; unknown series drop out here.
     """
     seen = series.select(F.upper("series_id").alias("series_id")).distinct()
-    return insert_if_absent(existing, seen.join(F.broadcast(known), "series_id"), "series_id")
+    return insert_if_absent(existing, seen.join(known, "series_id"), "series_id")
 
 
 def _with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -11,9 +11,6 @@ from tapewright.functions.text import same_text
 from tapewright.functions.times import hours_before, like, moment
 from tapewright.operators.ranking import top, top_per_key
 
-SENTIMENT_OVERFETCH = 3
-SYMBOL_OVERFETCH = 5
-
 
 def _newest_first() -> list[Column]:
     return [F.desc("ts"), F.asc("id")]
@@ -29,12 +26,14 @@ def bucket_top(news: DataFrame, n: int) -> DataFrame:
     return top_per_key(news, ["date_bucket"], _newest_first(), n)
 
 
-def _window(news: DataFrame, as_of: datetime | str, hours: float, depth: int) -> DataFrame:
-    """Items after the cutoff in the last `depth` UTC days, the as-of day included."""
-    today = moment(as_of).date()
+def _window(news: DataFrame, as_of: datetime | str, hours: float, depth: int | None) -> DataFrame:
+    """Items after the cutoff, in the UTC days from the cutoff's to the as-of day; at most the last `depth` days if given."""
+    last = moment(as_of).date()
+    first = hours_before(as_of, hours).date()
+    if depth is not None:
+        first = max(first, last - timedelta(days=depth - 1))
     bucket = F.col("date_bucket")
-    first, last = ((today - timedelta(days=d)).isoformat() for d in (depth - 1, 0))
-    in_days = (bucket >= F.lit(first)) & (bucket <= F.lit(last))
+    in_days = (bucket >= F.lit(first.isoformat())) & (bucket <= F.lit(last.isoformat()))
     return news.where(in_days & (F.col("ts") > like(hours_before(as_of, hours), news, "ts")))
 
 
@@ -43,7 +42,7 @@ def _item(news: DataFrame) -> DataFrame:
 
 
 def recent_news(
-    news: DataFrame, as_of: datetime | str, hours: float = 24, limit: int = 50, depth: int = 7
+    news: DataFrame, as_of: datetime | str, hours: float = 24, limit: int = 50, depth: int | None = None
 ) -> DataFrame:
     """The newest items, newest first.
 
@@ -53,36 +52,17 @@ def recent_news(
     return _item(top(_window(news, as_of, hours, depth), _newest_first(), limit))
 
 
-def _picked(
-    news: DataFrame, as_of: datetime | str, hours: float, limit: int, overfetch: int, match: Column, exhaustive: bool
-) -> DataFrame:
-    if exhaustive:
-        return _item(top(_window(news, as_of, hours, 7).where(match), _newest_first(), limit))
-    fetched = recent_news(news, as_of, hours, limit * overfetch)
-    return top(fetched.where(match), _newest_first(), limit)
-
-
 def news_by_sentiment(
-    news: DataFrame,
-    sentiment: str,
-    as_of: datetime | str,
-    hours: float = 24,
-    limit: int = 20,
-    exhaustive: bool = False,
+    news: DataFrame, sentiment: str, as_of: datetime | str, hours: float = 24, limit: int = 20, depth: int | None = None
 ) -> DataFrame:
-    """Matches among the newest limit * 3 items; `exhaustive=True` looks at all of them."""
+    """The newest items of a sentiment; items are picked before they are cut to the limit."""
     match = same_text(F.col("sentiment"), sentiment)
-    return _picked(news, as_of, hours, limit, SENTIMENT_OVERFETCH, match, exhaustive)
+    return _item(top(_window(news, as_of, hours, depth).where(match), _newest_first(), limit))
 
 
 def news_for_symbol(
-    news: DataFrame,
-    symbol: str,
-    as_of: datetime | str,
-    hours: float = 24,
-    limit: int = 20,
-    exhaustive: bool = False,
+    news: DataFrame, symbol: str, as_of: datetime | str, hours: float = 24, limit: int = 20, depth: int | None = None
 ) -> DataFrame:
-    """Matches among the newest limit * 5 items; `exhaustive=True` looks at all of them."""
+    """The newest items related to a symbol; items are picked before they are cut to the limit."""
     match = same_text(F.col("related_symbol"), symbol)
-    return _picked(news, as_of, hours, limit, SYMBOL_OVERFETCH, match, exhaustive)
+    return _item(top(_window(news, as_of, hours, depth).where(match), _newest_first(), limit))

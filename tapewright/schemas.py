@@ -23,15 +23,6 @@ _S, _D, _L, _T = StringType(), DoubleType(), LongType(), TimestampType()
 
 # ---- topics -----------------------------------------------------------------------------------
 # The columns a Kafka source yields; topic folders written as Parquet carry the same ones.
-TOPIC = _struct(
-    ("key", BinaryType()),
-    ("value", BinaryType()),
-    ("topic", _S),
-    ("partition", IntegerType()),
-    ("offset", _L),
-    ("timestamp", _T),
-)
-
 CANDLE_TOPIC = "candles"
 NEWS_TOPIC = "market-news"
 OBSERVATION_TOPIC = "economic-observations"
@@ -74,6 +65,16 @@ def record_type(wire) -> StructType:
     return _struct(*((name, _WIRE_TYPES[kind]) for name, kind, _ in wire))
 
 
+def topic_rows(wire) -> StructType:
+    """Rows of a topic folder."""
+    return StructType(
+        [
+            StructField("key", _S), StructField("record", record_type(wire)), StructField("topic", _S), StructField("writer", _S),
+            StructField("batch", _L), StructField("partition", IntegerType()), StructField("offset", _L), StructField("timestamp", _T),
+        ]
+    )
+
+
 # ---- vendor payloads --------------------------------------------------------------------------
 # CORRUPT is filled by the JSON reader with a body it could not take apart.
 CORRUPT = "_corrupt_record"

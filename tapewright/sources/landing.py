@@ -44,7 +44,6 @@ PAYLOADS = StructType(
     ]
 )
 
-OBSERVATIONS_PER_CALL = 10
 CANDLE_COLUMNS = ("symbol", "ts", "open", "high", "low", "close", "volume", "origin", "payload", "reason")
 DEFAULT_NEWS_SOURCE = "Finnhub"  # fixed value: the vendor the news feed comes from
 _ENTRY = StructType([StructField("key", StringType()), StructField("value", schemas.VENDOR_BAR)])
@@ -161,16 +160,13 @@ def news_items(payloads: DataFrame) -> DataFrame:
     )
 
 
-def series_observations(payloads: DataFrame, per_response: int | None = OBSERVATIONS_PER_CALL) -> DataFrame:
-    """Series responses to observation records, the newest `per_response` of each (None: all).
-
-    The cut is made inside the response's array, where the date is the first field.
-    """
-    observations = F.col("r.observations")
-    if per_response is not None:
-        observations = F.slice(F.sort_array(observations, asc=False), 1, per_response)
+def series_observations(payloads: DataFrame) -> DataFrame:
+    """Series responses to observation records, every observation of each."""
     exploded = payloads.withColumn("r", F.from_json("payload", schemas.SERIES)).select(
-        "series_id", "payload", F.explode_outer(observations).alias("o"), _broken("r").alias("broken")
+        "series_id",
+        F.when(_broken("r") | (F.coalesce(F.size("r.observations"), F.lit(0)) < 1), F.col("payload")).alias("payload"),
+        F.explode_outer("r.observations").alias("o"),
+        _broken("r").alias("broken"),
     )
     return exploded.select(
         F.col("series_id").alias("seriesId"),
@@ -178,7 +174,7 @@ def series_observations(payloads: DataFrame, per_response: int | None = OBSERVAT
         F.col("o.value").alias("value"),
         F.coalesce("o.realtime_start", F.lit("")).alias("realTimeStart"),
         F.coalesce("o.realtime_end", F.lit("")).alias("realTimeEnd"),
-        F.when(F.col("broken"), F.col("payload")).otherwise(F.to_json("o")).alias("payload"),
+        F.coalesce("payload", F.to_json("o")).alias("payload"),
         first_reason(
             (F.col("broken"), "unreadable"),
             (F.col("o").isNull(), "no_observations"),
@@ -204,12 +200,16 @@ def _gate(envelope: str) -> Column:
     )
 
 
-def _bars(spark: SparkSession, responses: DataFrame, zone_field: str, pattern: str, origin: Column) -> DataFrame:
-    """Gate, explode the bar map and type the bars. `responses` has symbol, payload, r, bars."""
+def _bars(
+    spark: SparkSession, responses: DataFrame, zone_field: str, pattern: str, origin: Column, missing: Column | None = None
+) -> DataFrame:
+    """Gate, explode the bar map and type the bars. `responses` has symbol, payload, r, bars; `missing` tells why there is no map."""
     zone = zone_or_default(F.col(f"r.`Meta Data`.`{zone_field}`"), known_zones(spark))
-    gated = responses.select(
-        "symbol", "payload", "bars", _gate("r").alias("gate"), zone.alias("zone"), origin.alias("origin")
-    )
+    none = F.when(F.col("bars").isNull(), "no_series")
+    gate = F.coalesce(_gate("r"), none if missing is None else F.coalesce(missing, none))
+    named = responses.select("symbol", "payload", "bars", gate.alias("gate"), zone.alias("zone"), origin.alias("origin"))
+    # A good response's body is not carried beside each of its bars.
+    gated = named.withColumn("payload", F.when(F.col("gate").isNotNull(), F.col("payload")))
     # A gated response yields one row without a bar; an ungated one yields its bars, maybe none.
     entries = F.when(
         F.col("gate").isNotNull(),
@@ -252,7 +252,7 @@ def daily_bars(payloads: DataFrame) -> DataFrame:
 
 
 def intraday_bars(payloads: DataFrame) -> DataFrame:
-    """Intraday bar maps; the request's interval picks the map, an unknown interval yields none."""
+    """Intraday bar maps; the request's interval picks the map; an unknown interval is refused."""
     responses = payloads.withColumn("r", F.from_json("payload", schemas.INTRADAY_SERIES))
     bars = F.lit(None).cast(responses.schema["r"].dataType[f"Time Series ({schemas.INTERVALS[0]})"].dataType)
     for interval in reversed(schemas.INTERVALS):
@@ -263,6 +263,7 @@ def intraday_bars(payloads: DataFrame) -> DataFrame:
         "6. Time Zone",
         "yyyy-MM-dd HH:mm:ss",
         F.concat(F.lit("intraday_"), F.col("interval")),
+        F.when(F.col("interval").isNull() | ~F.col("interval").isin(*schemas.INTERVALS), "unknown_interval"),
     )
 
 

@@ -47,8 +47,12 @@ LATEST = {
 
 
 def arrival(batch_id: int, offset: Column) -> Column:
-    """Orders rewrites of a key: later batches first, then the offset in the source partition."""
-    return F.lit(batch_id).cast("bigint") * (1 << OFFSET_BITS) + offset
+    """Orders rewrites of a key: by batch, then by the offset in the source partition. What does not fit is an error."""
+    if not 0 <= batch_id < 1 << (63 - OFFSET_BITS):
+        raise ValueError(f"batch {batch_id} is beyond the order of arrivals; start a new table")
+    fits = offset < (1 << OFFSET_BITS)
+    value = F.lit(batch_id).cast("bigint") * (1 << OFFSET_BITS) + offset
+    return F.when(fits | offset.isNull(), value).otherwise(F.raise_error(F.lit("an offset is beyond the order of arrivals")))
 
 
 class MarketStore:
@@ -127,7 +131,10 @@ class MarketStore:
         rows = self.log("indicator_metadata")
         if before_batch is not None:
             rows = rows.where(F.col("batch_id") < before_batch)
-        return rows.drop("writer", "batch_id", "day")
+        # One row for each series, the first that was stored: two batches may have found it missing at once.
+        names = [n for n in LOGS["indicator_metadata"].schema.fieldNames() if n != "series_id"]
+        first = F.min(F.struct("last_updated", "batch_id", *(n for n in names if n != "last_updated"))).alias("first")
+        return rows.groupBy("series_id").agg(first).select("series_id", *(f"first.{n}" for n in names))
 
     # ---- latest-value tables -------------------------------------------------------------------
 

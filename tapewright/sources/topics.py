@@ -1,6 +1,7 @@
 """Topics as sources and sinks, and decoding of their values.
 
-A topic is a Kafka topic or, without a broker, a folder of Parquet files with the same columns.
+A topic is a Kafka topic, whose values are framed Avro records (a zero byte, a four-byte schema number, the body), or,
+without a broker, a folder of Parquet files with the typed record, its key, partition and offset.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright import schemas
-from tapewright.sources.frames import HEADER, decode_frames, encode_frames
 
 MAX_OFFSETS = 50_000_000
+HEADER = 5
+AVRO_PACKAGE = "org.apache.spark:spark-avro_2.13"
 
 # topic -> wire record
 WIRES = {
@@ -49,16 +51,23 @@ def kafka_topic(
     return reader.load()
 
 
-def topic_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def topic_stream(spark: SparkSession, path: str, topic: str, max_files: int | None = None) -> DataFrame:
     """Streaming source over a topic folder."""
-    reader = spark.readStream.schema(schemas.TOPIC).option("recursiveFileLookup", "true")
+    reader = spark.readStream.schema(schemas.topic_rows(WIRES[topic])).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
 
 
-def topic_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TOPIC).option("recursiveFileLookup", "true").parquet(path)
+def topic_table(spark: SparkSession, path: str, topic: str) -> DataFrame:
+    """All rows of a topic folder; none if nothing was published yet."""
+    schema = schemas.topic_rows(WIRES[topic])
+    try:
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def avro_schema(wire) -> str:
@@ -78,34 +87,32 @@ def avro_schema(wire) -> str:
     return json.dumps({"type": "record", "name": "Record", "fields": fields})
 
 
-def _avro_package(spark: SparkSession) -> bool:
-    """Whether the session can plan from_avro."""
+def _need_avro(spark: SparkSession) -> None:
+    """Framed records need Spark's Avro package, which a session names when it starts."""
     from pyspark.sql.avro.functions import from_avro
 
     try:
         probe = spark.range(1).select(F.lit(b"").alias("value"))
         probe.select(from_avro("value", '{"type": "string"}')).schema  # noqa: B018 - plans the expression
-    except AnalysisException:
-        return False
-    return True
+    except AnalysisException as missing:
+        raise RuntimeError(f"framed records need {AVRO_PACKAGE} of Spark's own version in spark.jars.packages") from missing
 
 
-def decode_topic(records: DataFrame, topic: str, use_package: bool | None = None) -> DataFrame:
-    """Topic rows to record columns plus ingest_time, offset, value and reason.
+def decode_topic(records: DataFrame, topic: str) -> DataFrame:
+    """Topic rows to record columns plus ingest_time, source_offset, raw and reason.
 
-    Rows that do not decode keep their raw value and a reason; good rows have a null reason.
-    `use_package=None` picks the Avro package when the session has it.
+    Good rows have a null reason. `raw` is the whole record as it arrived: JSON of a typed one, hex of a frame.
     """
-    wire = WIRES[topic]
-    rows = records.select("value", F.col("timestamp").alias("ingest_time"), F.col("offset").alias("source_offset"))
-    if use_package is None:
-        use_package = _avro_package(records.sparkSession)
-    if not use_package:
-        return decode_frames(rows.withColumn("raw", F.col("value")), wire)
+    times = (F.col("timestamp").alias("ingest_time"), F.col("offset").alias("source_offset"))
+    if "record" in records.columns:
+        reason = F.when(F.col("record").isNull(), "null_value").alias("reason")
+        return records.select(*times, F.to_json("record").alias("raw"), "record.*", reason)
+    _need_avro(records.sparkSession)
     from pyspark.sql.avro.functions import from_avro
 
+    wire = WIRES[topic]
     body = F.expr(f"substring(value, {HEADER + 1})")
-    decoded = rows.withColumn("d", from_avro(body, avro_schema(wire), {"mode": "PERMISSIVE"}))
+    decoded = records.select("value", *times).withColumn("d", from_avro(body, avro_schema(wire), {"mode": "PERMISSIVE"}))
     required = [F.col(f"d.`{name}`").isNull() for name, _, nullable in wire if not nullable]
     incomplete = required[0]
     for test in required[1:]:
@@ -114,42 +121,48 @@ def decode_topic(records: DataFrame, topic: str, use_package: bool | None = None
     return decoded.select(
         "ingest_time",
         "source_offset",
-        F.col("value").alias("raw"),
+        F.hex("value").alias("raw"),
         "d.*",
         F.when(F.col("value").isNull(), "null_value").when(~framed, "bad_frame").when(incomplete, "bad_body").alias("reason"),
     )
 
 
-def encode_topic(records: DataFrame, topic: str, key: str, use_package: bool | None = None) -> DataFrame:
+def encode_topic(records: DataFrame, topic: str, key: str) -> DataFrame:
     """Records to keyed, framed topic rows (key, value)."""
-    wire = WIRES[topic]
-    if use_package is None:
-        use_package = _avro_package(records.sparkSession)
-    if not use_package:
-        return encode_frames(records, wire, key)
+    _need_avro(records.sparkSession)
     from pyspark.sql.avro.functions import to_avro
 
+    wire = WIRES[topic]
     record = F.struct(*(F.col(name) for name, _, _ in wire))
     frame = F.concat(F.lit(b"\x00\x00\x00\x00\x01"), to_avro(record, avro_schema(wire)))
     return records.select(F.col(key).cast("binary").alias("key"), frame.alias("value"))
 
 
 def publish_files(
-    records: DataFrame, topic: str, key: str, path: str, batch_id: int = 0, writer: str = "main"
+    records: DataFrame, topic: str, key: str, path: str, batch_id: int = 0, writer: str = "main", partitions: int | None = None
 ) -> None:
     """Write keyed records to a topic folder; a writer's batch published again replaces the first.
 
-    Offsets rise from batch to batch, and within a batch along each written partition, which may
-    hold up to 2^24 rows.
+    As in a broker, all records of a key lie in one partition, in the order they were given, and offsets rise from whatever was
+    published before, by any writer: the greater offset of a key is the later write.
     """
-    numbered = encode_topic(records, topic, key).withColumn("seq", F.monotonically_increasing_id())
-    in_partition = F.col("seq").bitwiseAND((1 << 33) - 1)
-    numbered.select(
+    spark = records.sparkSession
+    published = topic_table(spark, path, topic).where(~((F.col("writer") == writer) & (F.col("batch") >= batch_id)))
+    base = (published.agg(F.max("offset")).first()[0] or 0) + 1
+    wire = WIRES[topic]
+    kinds = schemas.record_type(wire)
+    record = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds))
+    rows = records.select(F.col(key).cast("string").alias("key"), record.alias("record"), F.monotonically_increasing_id().alias("given"))
+    dealt = rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("given")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt.select(
         "key",
-        "value",
+        "record",
         F.lit(topic).alias("topic"),
-        F.shiftrightunsigned("seq", 33).cast("int").alias("partition"),
-        (F.lit(batch_id).cast("bigint") * (1 << 24) + in_partition).alias("offset"),
+        F.lit(writer).alias("writer"),
+        F.lit(batch_id).cast("bigint").alias("batch"),
+        F.spark_partition_id().alias("partition"),
+        (F.lit(base).cast("bigint") + place).alias("offset"),
         F.current_timestamp().alias("timestamp"),
     ).write.mode("overwrite").parquet(f"{path}/{writer}-{batch_id}")
 

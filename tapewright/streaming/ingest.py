@@ -39,7 +39,9 @@ def _ingest(
     def process(payloads: DataFrame, batch_id: int) -> None:
         classified = classify(payloads)
         records = accepted(classified).withColumnsRenamed(rename)
-        bad = rejected(classified, name, topic, F.current_timestamp())
+        # The batch's own time, the same when it is replayed.
+        landed = payloads.agg(F.max("received_at")).first()[0] if "received_at" in payloads.columns else None
+        bad = rejected(classified, name, topic, F.current_timestamp() if landed is None else F.lit(landed))
         write_all(
             name,
             batch_id,

@@ -20,7 +20,7 @@ from tapewright.functions.checks import candle_reason, news_reason
 from tapewright.functions.measures import stored_metrics, with_measures
 from tapewright.functions.text import NEGATIVE_TERMS, POSITIVE_TERMS, news_id, sentiment
 from tapewright.operators.latest import latest_per_key
-from tapewright.operators.rejects import DATA_LIMIT, rejected
+from tapewright.operators.rejects import rejected
 from tapewright.plans.economy import known_metadata, latest_indicators, missing_metadata, parse_observations
 from tapewright.plans.stocks import summary_rows
 from tapewright.sources.store import MarketStore, arrival, news_day, utc_day
@@ -88,9 +88,7 @@ def _good(batch: DataFrame) -> DataFrame:
 
 
 def _write_rejects(store: MarketStore, batch: DataFrame, batch_id: int, topic: str, record_type: str) -> None:
-    # Framed bytes are shown as hex, two characters a byte, so no byte is lost to decoding.
-    shown = batch.withColumn("data", F.hex(F.substring("raw", 1, DATA_LIMIT // 2)))
-    rows = rejected(shown, topic, record_type, F.col("ingest_time"), "data")
+    rows = rejected(batch, topic, record_type, F.col("ingest_time"), "raw")
     store.append("rejects", rows, batch_id, utc_day("rejected_at"), writer=topic)
 
 
@@ -192,6 +190,9 @@ def observation_batch(store: MarketStore, as_of: datetime | None = None, first_b
         summaries = latest_indicators(good.withColumn("processed_at", F.col("ingest_time")))
         known = known_metadata(store.spark, now)
         missing = missing_metadata(good, known, store.indicator_metadata(before_batch=batch_id))
+        # Stamped by the records, so that a replay on another day writes the same day's folder.
+        seen = good.groupBy("series_id").agg(F.min("ingest_time").alias("last_updated"))
+        missing = missing.drop("last_updated").join(seen, "series_id")
         write_all(
             "observations",
             batch_id,

@@ -113,6 +113,12 @@ def test_pages_of_a_long_series(ticks):
         assert all((r.total_elements, r.total_pages) == (700, 100) for r in got)
 
 
+def test_pages_of_equal_times_hold_every_row_once(spark):
+    df = spark.createDataFrame([("A", at("2024-01-01"), i) for i in range(25)], "symbol string, ts timestamp, s long").repartition(5)
+    found = [r.s for page in range(4) for r in series.page_of_series(df, "symbol", "ts", page, 7).collect()]
+    assert sorted(found) == list(range(25))
+
+
 def test_join_of_points(spark):
     prices = spark.createDataFrame(
         [("A", at("2024-01-01"), 1.0, 2.0, 0.5, 1.5, 100.0), ("A", at("2024-01-02"), 1.0, 2.0, 0.5, 1.6, 200.0)],

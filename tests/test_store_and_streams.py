@@ -1,11 +1,13 @@
+import json
 import os
 
 import pytest
 from helpers import at, plan, rows, times
 from pyspark.sql import functions as F
-from test_frames import candle
 
 from tapewright import schemas
+from tapewright.operators.quality import windows_of_minutes
+from tapewright.operators.rejects import shown
 from tapewright.plans.stocks import summarise
 from tapewright.sources import topics
 from tapewright.sources.store import MarketStore, arrival, utc_day
@@ -23,12 +25,12 @@ def records(spark, *data):
 
 
 def publish(spark, path, batch, *data):
-    topics.publish_files(records(spark, *data), schemas.CANDLE_TOPIC, "symbol", path, batch)
+    topics.publish_files(records(spark, *data), schemas.CANDLE_TOPIC, "symbol", path, batch, partitions=1)
 
 
 def run_candles(spark, work, process=None, name="candles"):
     store = MarketStore(spark, f"{work}/store")
-    stream = pipelines.counted(pipelines.classified_candles(topics.topic_stream(spark, f"{work}/topic", 1)), "candle_rows")
+    stream = pipelines.counted(pipelines.classified_candles(topics.topic_stream(spark, f"{work}/topic", schemas.CANDLE_TOPIC, 1)), "candle_rows")
     started = runner.drain(spark, [Job(name, stream, "30 seconds", process or pipelines.candle_batch(store, AS_OF))], f"{work}/cp")
     return store, started.queries[name]
 
@@ -66,16 +68,59 @@ def test_stream_equals_batch_and_restarts(spark, work):
 
 
 def test_rejects_go_to_the_dead_letters(spark, work):
-    frames = [candle("A"), None, b"\x00", candle("A")[:-2], candle(""), candle("B", c=float("nan")), candle("C", h=0.1)]
-    spark.createDataFrame([(b"k", f, "t", 0, i, AS_OF) for i, f in enumerate(frames)], schemas.TOPIC).coalesce(1).write.parquet(f"{work}/topic/x")
+    nan, time = float("nan"), at("2024-01-30 10:00:00")
+    good = ("A", 1.0, 2.0, 0.5, 1.5, 10, time)
+    data = [good, None, ("", *good[1:]), ("B" * 700, 1.0, 2.0, 0.5, nan, 10, time), ("C", 1.0, 0.1, 0.5, 1.5, 10, time), ("D", *good[1:6], None)]
+    full = [("k", r, "t", "w", 0, 0, i, AS_OF) for i, r in enumerate(data)]
+    spark.createDataFrame(full, schemas.topic_rows(schemas.CANDLE_WIRE)).coalesce(1).write.parquet(f"{work}/topic/x")
     store, query = run_candles(spark, work)
     assert rows(store.rejects(), "source", "record_type", "reason") == [
-        ("candles", "candle", r) for r in ("bad_body", "bad_frame", "blank_symbol", "high_below_low", "missing_price", "null_value")
+        ("candles", "candle", r) for r in ("blank_symbol", "high_below_low", "missing_price", "missing_time", "null_value")
     ]
     assert store.candles().count() == 1
-    letter = store.rejects().where("reason = 'bad_frame'").first()
-    assert letter.data == "00"
-    assert runner.batch_counts(query, "candle_rows")[0]["rejected"] == 6
+    # The whole record is kept, however long; people see its beginning.
+    letter = store.rejects().where("reason = 'missing_price'")
+    assert json.loads(letter.first().data.replace("NaN", "0"))["symbol"] == "B" * 700
+    assert len(shown(letter).first().data) == 500
+    assert runner.batch_counts(query, "candle_rows")[0]["rejected"] == 5
+
+
+def test_framed_records_ask_for_the_avro_package(spark):
+    framed = spark.createDataFrame([(b"k", b"\x00", "t", 0, 0, AS_OF)], "key binary, value binary, topic string, partition int, offset long, timestamp timestamp")
+    with pytest.raises(RuntimeError, match="spark-avro"):
+        topics.decode_topic(framed, schemas.CANDLE_TOPIC)
+    with pytest.raises(RuntimeError, match="spark-avro"):
+        topics.encode_topic(records(spark, ("A", "2024-01-30 10:00:00", 1.0)), schemas.CANDLE_TOPIC, "symbol")
+
+
+def test_the_last_write_of_a_key_has_the_greatest_offset(spark, work):
+    """Also within a batch, from another writer, and when a batch is published again."""
+    data = [(s, "2024-01-30 10:00:00", p) for p in (1.0, 2.0, 3.0) for s in ("A", "B", "C", "D", "E")]
+    publish(spark, f"{work}/topic", 0, *data)
+    topics.publish_files(records(spark, ("A", "2024-01-30 10:00:00", 4.0)), schemas.CANDLE_TOPIC, "symbol", f"{work}/topic", 0, "other")
+    publish(spark, f"{work}/topic", 1, ("B", "2024-01-30 10:00:00", 5.0))
+    publish(spark, f"{work}/topic", 1, ("B", "2024-01-30 10:00:00", 6.0))
+    table = topics.topic_table(spark, f"{work}/topic", schemas.CANDLE_TOPIC)
+    last = table.groupBy("key").agg(F.max_by("record.close", "offset").alias("close"), F.count_distinct("partition").alias("partitions"))
+    assert rows(last, "key", "close", "partitions") == [("A", 4.0, 1), ("B", 6.0, 1), ("C", 3.0, 1), ("D", 3.0, 1), ("E", 3.0, 1)]
+    assert table.count() == 15 + 1 + 1
+
+
+def test_arrivals_beyond_their_order_are_errors(spark):
+    with pytest.raises(ValueError):
+        arrival(1 << 23, F.lit(0))
+    with pytest.raises(Exception, match="beyond the order"):
+        spark.range(1).select(arrival(0, F.col("id") + (1 << 40))).collect()
+
+
+def test_metadata_replayed_after_midnight_is_stored_once(spark, work):
+    df = spark.createDataFrame([("VIXCLS", "2024-01-15", "18.75", "", "")], "seriesId string, observationDate string, value string, realTimeStart string, realTimeEnd string")
+    topics.publish_files(df, schemas.OBSERVATION_TOPIC, "seriesId", f"{work}/topic")
+    batch = pipelines.classified_observations(topics.topic_table(spark, f"{work}/topic", schemas.OBSERVATION_TOPIC))
+    store = MarketStore(spark, f"{work}/store")
+    for day in ("2024-01-30", "2024-01-31"):
+        pipelines.observation_batch(store, at(day))(batch, 0)
+    assert store.log("indicator_metadata").count() == 1 and store.indicator_metadata().count() == 1
 
 
 def test_one_failing_sink_leaves_the_others_and_the_batch_is_replayed(spark, work, monkeypatch):
@@ -99,7 +144,7 @@ def test_one_failing_sink_leaves_the_others_and_the_batch_is_replayed(spark, wor
 
 def test_replaying_a_batch_changes_nothing(spark, work):
     publish(spark, f"{work}/topic", 0, ("A", "2024-01-30 10:00:00", 10.0), ("B", "2024-01-29 10:00:00", 20.0))
-    batch = pipelines.classified_candles(topics.topic_table(spark, f"{work}/topic"))
+    batch = pipelines.classified_candles(topics.topic_table(spark, f"{work}/topic", schemas.CANDLE_TOPIC))
     store = MarketStore(spark, f"{work}/store")
     process = pipelines.candle_batch(store, AS_OF)
     for _ in range(2):
@@ -111,7 +156,7 @@ def test_replaying_a_batch_changes_nothing(spark, work):
 
 def test_a_new_checkpoint_continues_the_batch_numbers(spark, work):
     publish(spark, f"{work}/topic", 0, ("A", "2024-01-30 10:00:00", 10.0))
-    batch = pipelines.classified_candles(topics.topic_table(spark, f"{work}/topic"))
+    batch = pipelines.classified_candles(topics.topic_table(spark, f"{work}/topic", schemas.CANDLE_TOPIC))
     store = MarketStore(spark, f"{work}/store")
     assert store.next_batch() == 0
     pipelines.candle_batch(store, AS_OF)(batch, 4)
@@ -226,7 +271,7 @@ def test_news_pipeline(spark, work):
     for batch in (0, 1):  # the same items delivered twice
         topics.publish_files(news, schemas.NEWS_TOPIC, "category", f"{work}/topic", batch)
     store = MarketStore(spark, f"{work}/store")
-    stream = pipelines.classified_news(topics.topic_stream(spark, f"{work}/topic", 1))
+    stream = pipelines.classified_news(topics.topic_stream(spark, f"{work}/topic", schemas.NEWS_TOPIC, 1))
     runner.drain(spark, [Job("news", stream, "1 minute", pipelines.news_batch(store))], f"{work}/cp")
     (row,) = store.news().collect()
     assert (row.headline, row.sentiment, row.related_symbol, row.date_bucket) == ("Stocks rally", "POSITIVE", "AAPL", "2024-01-30")
@@ -244,7 +289,7 @@ def test_economic_pipeline(spark, work):
     send(0, ("VIXCLS", "2024-01-15", "18.75"), ("VIXCLS", "2024-01-16", "."), ("NEW", "2024-01-15", "1"), ("VIXCLS", "16/01/2024", "2"))
     send(1, ("VIXCLS", "2024-01-15", "19.00"), ("SP500", "2024-01-14", "4700"), ("VIXCLS", "2024-01-10", "17"))
     store = MarketStore(spark, f"{work}/store")
-    stream = pipelines.classified_observations(topics.topic_stream(spark, f"{work}/topic", 1))
+    stream = pipelines.classified_observations(topics.topic_stream(spark, f"{work}/topic", schemas.OBSERVATION_TOPIC, 1))
     runner.drain(spark, [Job("observations", stream, "5 minutes", pipelines.observation_batch(store, AS_OF))], f"{work}/cp")
     assert rows(times(store.observations(), "ts"), "series_id", "ts", "value") == [
         ("NEW", "2024-01-15 00:00:00", 1.0), ("SP500", "2024-01-14 00:00:00", 4700.0), ("VIXCLS", "2024-01-10 00:00:00", 17.0),
@@ -260,9 +305,9 @@ def test_economic_pipeline(spark, work):
 def test_three_pipelines_and_a_query_that_cannot_start(spark, work):
     publish(spark, f"{work}/{schemas.CANDLE_TOPIC}", 0, ("A", "2024-01-30 10:00:00", 10.0))
     for topic in (schemas.NEWS_TOPIC, schemas.OBSERVATION_TOPIC):
-        spark.createDataFrame([], schemas.TOPIC).write.parquet(f"{work}/{topic}/empty")
+        spark.createDataFrame([], schemas.topic_rows(topics.WIRES[topic])).write.parquet(f"{work}/{topic}/empty")
     store = MarketStore(spark, f"{work}/store")
-    sources = {t: topics.topic_stream(spark, f"{work}/{t}") for t in topics.WIRES}
+    sources = {t: topics.topic_stream(spark, f"{work}/{t}", t) for t in topics.WIRES}
     jobs = runner.market_jobs(store, sources)
     assert [(j.name, j.pace) for j in jobs] == [("candles", "30 seconds"), ("news", "1 minute"), ("observations", "5 minutes")]
     jobs[1].rows = spark.range(1)  # not a stream
@@ -274,7 +319,7 @@ def test_three_pipelines_and_a_query_that_cannot_start(spark, work):
 def test_paced_queries_run_until_stopped(spark, work):
     publish(spark, f"{work}/topic", 0, ("A", "2024-01-30 10:00:00", 10.0))
     store = MarketStore(spark, f"{work}/store")
-    rows_ = pipelines.classified_candles(topics.topic_stream(spark, f"{work}/topic"))
+    rows_ = pipelines.classified_candles(topics.topic_stream(spark, f"{work}/topic", schemas.CANDLE_TOPIC))
     started = runner.start_all(spark, [Job("paced", rows_, "1 second", pipelines.candle_batch(store, AS_OF))], f"{work}/cp")
     query = started.queries["paced"]
     query.processAllAvailable()
@@ -322,9 +367,14 @@ def test_repeats_pass_once_and_corrections_pass(spark, work):
 def test_rejection_rates(spark, work):
     path = f"{work}/in"
     classified(spark, path, "1", ("A", "2024-01-30 10:00:30", 1.0, "bad"), ("A", "2024-01-30 10:00:40", 1.0, None), ("A", "2024-01-30 11:00:00", 1.0, "bad"))
-    runner.drain(spark, [Job("r", monitors.rejection_rates(stream_of(spark, path), "candles"), "1 minute", path=f"{work}/out")], f"{work}/cp")
-    got = spark.read.parquet(f"{work}/out")
-    assert got.count() == 5 and rows(got.select("source", "rejects").distinct()) == [("candles", 1)]
+    runner.drain(spark, [Job("r", monitors.rejection_counts(stream_of(spark, path), "candles"), "1 minute", path=f"{work}/out")], f"{work}/cp")
+    closed = spark.read.parquet(f"{work}/out")
+    assert rows(closed, "source", "n") == [("candles", 1)]
+    letters = spark.read.schema(CANDLES).parquet(f"{path}/1").where("reason is not null")
+    whole = monitors.complete_counts(closed, letters.select(F.lit("candles").alias("source"), F.col("ingest_time").alias("rejected_at")))
+    assert rows(whole, "source", "n") == [("candles", 1), ("candles", 1)]
+    got = windows_of_minutes(whole)
+    assert got.count() == 10 and rows(got.select("source", "rejects").distinct()) == [("candles", 1)]
 
 
 def test_payloads_to_topics(spark, work):
@@ -344,10 +394,10 @@ def test_payloads_to_topics(spark, work):
     ingest.bar_ingest(publish_, store)(landed(("D", None, None, None, daily), ("H", None, None, "60min", hourly)), 0)
     ingest.news_ingest(publish_, store)(landed((None, None, "general", None, news)), 0)
     ingest.series_ingest(publish_, store)(landed((None, "VIXCLS", None, None, series)), 0)
-    got = {t: topics.decode_topic(topics.topic_table(spark, f"{work}/{t}"), t) for t in topics.WIRES}
+    got = {t: topics.decode_topic(topics.topic_table(spark, f"{work}/{t}", t), t) for t in topics.WIRES}
     assert rows(got[schemas.CANDLE_TOPIC], "symbol", "close", "volume") == [("D", 2.0, 7), ("H", 2.0, 7), ("Q", 10.0, 0)]
     assert rows(got[schemas.NEWS_TOPIC], "headline", "category", "source") == [("H", "general", "Finnhub")]
     assert rows(got[schemas.OBSERVATION_TOPIC], "seriesId", "value") == [("VIXCLS", "18.75")]
-    keys = topics.topic_table(spark, f"{work}/{schemas.NEWS_TOPIC}").select(F.col("key").cast("string"))
+    keys = topics.topic_table(spark, f"{work}/{schemas.NEWS_TOPIC}", schemas.NEWS_TOPIC).select(F.col("key").cast("string"))
     assert rows(keys) == [("general",)]
     assert rows(store.rejects(), "source", "reason") == [("quotes", "no_price")]

@@ -62,10 +62,11 @@ def test_every_vendor_news_rule(spark):
         ("h", "s", "https://x", 1640995200000),
         ("h", "s", "https://x", None),
     ]
-    assert reasons(spark, schema, checks.vendor_news_reason(), data) == [
+    assert reasons(spark, schema, checks.vendor_news_reason(1000, 5000), data) == [
         None, "headline_too_long", "summary_too_long", "blank_summary", "blank_headline", "blank_url", "url_not_http",
         "time_not_in_seconds", None,
     ]
+    assert reasons(spark, schema, checks.vendor_news_reason(), data[:3]) == [None, None, None]  # no limit by default
 
 
 def test_every_news_rule(spark):
