@@ -49,8 +49,12 @@ def _may_hold(text: Column, kind: str) -> Column:
 
 
 def _matches(text: Column, kind: str) -> Column:
-    """Every match in order: characters since the one before, the value, and what stands to either side."""
-    pattern = F.lit(rf"(?s)(.*?){_PATTERNS[kind]}(?=(.{{0,{CONTEXT}}}))")
+    """Every match in order: characters since the one before, the value, and what stands to either side.
+
+    What follows the last match is taken as one with an empty value. Without that, the search would begin anew at each of its
+    characters, and its cost would be the square of their number.
+    """
+    pattern = F.lit(rf"(?s)(.*?)(?:{_PATTERNS[kind]}(?=(.{{0,{CONTEXT}}}))|\z)")
     gaps = F.transform(
         F.regexp_extract_all(text, pattern, F.lit(1)),
         lambda g: F.struct(F.length(g).alias("size"), F.right(g, F.lit(CONTEXT)).alias("before")),
@@ -116,7 +120,7 @@ def base_spans(matches: DataFrame) -> DataFrame:
         return F.coalesce(own, F.array().cast(_MATCH))
 
     every = F.concat(*map(numbered, range(len(KINDS))))
-    rows = matches.select("row", "key", F.explode(every).alias("m")).select("row", "key", "m.*")
+    rows = matches.select("row", "key", F.explode(every).alias("m")).select("row", "key", "m.*").where(F.col("value") != "")
     upto = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("value")
     rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(upto))
@@ -162,14 +166,14 @@ def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame
     """key, start, end of every occurrence of the terms, outside base spans."""
     holders = stored(words_of(docs).join(terms, "term", "left_semi").distinct(), "disclosure-holders")
     texts = _with_key(docs).join(holders.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    pattern = F.lit(rf"(?s)(.*?)({WORD})")
+    pattern = F.lit(rf"(?s)(.*?)(?:({WORD})|\z)")
     gaps = F.transform(F.regexp_extract_all("text", pattern, F.lit(1)), F.length)
     words = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("word"))
     rows = texts.select("key", F.posexplode(words).alias("place", "m")).select("key", "place", "m.gap", "m.word")
     upto = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(upto))
     rows = rows.select("key", (F.col("end") - F.length("word")).alias("start"), "end", F.lower("word").alias("term"))
-    found = rows.join(holders, ["key", "term"], "left_semi").select("key", "start", "end")
+    found = rows.where(F.col("term") != "").join(holders, ["key", "term"], "left_semi").select("key", "start", "end")
     base = spans.select(F.col("key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e")).distinct()
     inside = (F.col("key") == F.col("k")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))
     return found.join(base, inside, "left_anti")
