@@ -117,7 +117,10 @@ class MarketStore:
 
     def news(self, first: date | None = None, last: date | None = None) -> DataFrame:
         rows = self.log("news", first, last).drop("writer", "batch_id")
-        return latest_per_key(rows, ["date_bucket", "ts", "id"], ["arrival"])
+        # The last arrival is found on the keys alone; texts are only joined with it, never sorted by.
+        keys = ["date_bucket", "ts", "id"]
+        last = rows.groupBy(*keys).agg(F.max("arrival").alias("arrival"))
+        return rows.join(last, [*keys, "arrival"], "left_semi")
 
     def _last_writes(self, table: str, key: list[str], first: date | None, last: date | None) -> DataFrame:
         """The day is part of the grouping, so filters on it still prune folders."""
