@@ -8,9 +8,9 @@ more than its words.
 
 Documents of equal words are one node from the start. A node's registers are cut into bands; nodes that share a band's
 hash form a bucket. Instead of all pairs, each member meets its bucket's leader, the member with the most company over all its
-buckets; pairs are verified on the whole texts; then members whose class differs from that of a new, random leader meet it, for
-ROUNDS rounds. What then still lies in one bucket but in different classes, which are few, is compared in full, if signatures
-leave the threshold possible. So no link that banding proposes is lost, and a group of thousands of copies costs its size times the bands.
+buckets; pairs whose
+signatures leave the threshold possible are verified on the shingles of the whole texts; then members whose class differs from that of a new, random leader meet it, for
+ROUNDS rounds. What then still lies in one bucket but in different classes is compared in full. So no link that banding proposes is lost, and a group of thousands of copies costs its size times the bands.
 
 Two texts are linked if the share of their distinct shingles in common, or their probability Jaccard similarity, is THRESHOLD or more;
 classes are the connected components. With 24 bands of 5 registers a pair at the threshold is missed by all bands with probability 1e-4.
@@ -39,9 +39,9 @@ THRESHOLD = 0.8
 BANDS = 24
 ROWS = 5
 REGISTERS = BANDS * ROWS
-ROUNDS = 3
-#: By how many standard deviations a residual pair's estimate may fall short.
-DEVIATIONS = 5.0
+ROUNDS = 2
+#: By how many standard deviations a pair's estimate may fall short before it is verified.
+DEVIATIONS = 4.0
 #: Words that are hashed together.
 BLOCK_WORDS = 1_000_000
 
@@ -208,30 +208,27 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / total).sum()))
 
 
-def _weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    words, sizes = word_hashes(pa.array([text], pa.large_string()))
-    _, shingle, weight = shingles(words, sizes)
-    return shingle, weight
-
-
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) are similar enough. A text travels once for each pair that it is in."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    """The pairs (a, b) of nodes whose shingles (node, shingles, weights) are similar enough; they travel once for each pair."""
+    left = texts.toDF("a", "shingles_a", "weights_a")
+    right = texts.toDF("b", "shingles_b", "weights_b")
     both = pairs.select("a", "b").distinct().join(right, "b").join(left, "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
         for batch in batches:
-            keep = []
-            columns = (batch[c].to_pylist() for c in ("a", "text_a", "text_b"))
-            for key, one, other in zip(*columns):
-                if last[0] != key:
-                    last = (key, _weighted(one))
-                keep.append(similarity(last[1], _weighted(other)) >= threshold)
+            one, other = (_sets(batch[f"shingles_{s}"], batch[f"weights_{s}"]) for s in "ab")
+            keep = [similarity(x, y) >= threshold for x, y in zip(one, other)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "shingles_a", "weights_a", "shingles_b", "weights_b").mapInArrow(check, "a long, b long")
+
+
+def _sets(shingle: pa.ListArray, weight: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles and their weights, row by row."""
+    flat, heavy = shingle.flatten().to_numpy(), weight.flatten().to_numpy()
+    ends = np.cumsum(pc.list_value_length(shingle).to_numpy())
+    for start, end in zip(np.append(0, ends[:-1]), ends):
+        yield flat[start:end], heavy[start:end]
 
 
 def classes(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -275,6 +272,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
     wanted = company.select("node").join(by_key.select("node", "key", "doc_id"), "node")
     texts = stored(_texts(docs, wanted), "neardup-texts")
 
+    marks = wanted.select("node").join(by_key.select("node", "marks"), "node")
     members = stored(members.join(company, "node").select("node", "bucket", "company"), "neardup-members")
     links = roots = None
     for turn in range(rounds):
@@ -284,11 +282,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
         led = held.groupBy("bucket").agg(*first, F.min("root").alias("r0"), F.max("root").alias("r1"))
         led = led.where(F.col("r0") != F.col("r1")).select("bucket", "leader", "leader_root")
         met = held.join(led, "bucket").where(F.col("root") != F.col("leader_root"))
-        # The leader stands first, so that its text is read once for all that meet it.
-        found = stored(verified(met.select(F.col("leader").alias("a"), F.col("node").alias("b")), texts, threshold), "neardup-links")
+        pairs = _likely(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), marks, threshold)
+        found = stored(verified(pairs, texts, threshold), "neardup-links")
         links = found if links is None else links.unionByName(found)
         roots = classes(links)
-    rest = stored(verified(_residual(members, roots, by_key, threshold), texts, threshold), "neardup-links")
+    rest = _likely(_residual(members, roots), marks, threshold)
+    rest = stored(verified(rest, texts, threshold), "neardup-links")
     links = links.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(links, "neardup-links")
     roots = classes(links)
@@ -305,20 +304,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted (node, key, doc_id)."""
+    """(node, shingles, weights) of the wanted (node, key, doc_id): what is compared, made once from the whole texts."""
     one = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = one.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                keys = pa.array(_keys(*word_hashes(part["text"].cast(pa.large_string()))), pa.binary())
-                same = pc.fill_null(pc.equal(keys, part["key"].cast(pa.binary())), False)
-                yield pa.RecordBatch.from_arrays([part["node"], part["text"]], ["node", "text"]).filter(same)
+                words, sizes = word_hashes(part["text"].cast(pa.large_string()))
+                doc, shingle, weight = shingles(words, sizes)
+                ends = np.searchsorted(doc, np.arange(len(sizes) + 1))
+                arrays = [part["node"]]
+                for flat, kind in ((shingle.view(np.int64), pa.int64()), (weight.astype(np.float32), pa.float32())):
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind)))
+                same = pc.fill_null(pc.equal(pa.array(_keys(words, sizes), pa.binary()), part["key"].cast(pa.binary())), False)
+                yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles", "weights"]).filter(same)
 
     # An id may stand at several texts, of which one has the key, and a row may be repeated.
-    matching = found.select("node", "key", "text").mapInArrow(own, "node long, text string")
-    return matching.groupBy("node").agg(F.min("text").alias("text"))
+    matching = found.select("node", "key", "text").mapInArrow(own, "node long, shingles array<long>, weights array<float>")
+    return matching.dropDuplicates(["node"])
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -327,28 +331,33 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _residual(members: DataFrame, roots: DataFrame, by_key: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket in different classes, if their signatures leave the threshold possible."""
-    held = _rooted(members, roots)
+def _residual(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of one bucket in different classes."""
+    held = _rooted(members, roots).select("bucket", "node", "root")
     several = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    split = held.join(several.where(F.col("r0") != F.col("r1")), "bucket").join(by_key.select("node", "marks"), "node")
-    split = split.select("bucket", "node", "root", "marks")
-    one, two = split.toDF("bucket", "a", "root_a", "marks_a"), split.toDF("bucket", "b", "root_b", "marks_b")
+    split = held.join(several.where(F.col("r0") != F.col("r1")).select("bucket"), "bucket")
+    one, two = split.toDF("bucket", "a", "root_a"), split.toDF("bucket", "b", "root_b")
     pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
+    return pairs.select("a", "b").distinct()
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose signatures leave the threshold possible: a byte of each register is compared."""
+    both = pairs.join(marks.toDF("b", "marks_b"), "b").join(marks.toDF("a", "marks_a"), "a")
     least = threshold - DEVIATIONS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("marks_a", "marks_b")]
-            near = (marks[0] == marks[1]).mean(axis=1) >= least
+            held = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("marks_a", "marks_b")]
+            near = (held[0] == held[1]).mean(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(near))
 
-    return pairs.select("a", "b", "marks_a", "marks_b").mapInArrow(likely, "a long, b long").distinct()
+    return both.select("a", "b", "marks_a", "marks_b").mapInArrow(likely, "a long, b long")
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """One document of each class, the one whose id is its class id, with its own columns."""
-    found = near_duplicates(docs.select("doc_id", "text"), threshold)
+    found = near_duplicates(docs.select("doc_id", "text"), threshold, rounds)
     gone = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
     gone = gone.join(found.where(F.col("doc_id") == F.col("class_id")).select("doc_id"), "doc_id", "left_anti").distinct()
     return docs.join(gone.withColumnRenamed("doc_id", ADDED), F.col("doc_id") == F.col(ADDED), "left_anti")
