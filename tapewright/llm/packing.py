@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.segments import ByteTokenizer
+from tapewright.llm.segments import byte_tokenizer
 from tapewright.llm.tables import whole_texts
 
 LONGEST = 2048
@@ -48,7 +48,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end: int
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(tokenizer_path)
+        tokenizer = byte_tokenizer(tokenizer_path)
         for batch in batches:
             rows: list[tuple] = []
             for key, ids in zip(batch["doc_id"].to_pylist(), tokenizer.encode(batch["text"].to_pylist())):

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tapewright.llm.charmap import MARK, CharacterMap
-from tapewright.llm.segments import SegmentCache, blocks, mark_segments
+from tapewright.llm.segments import SegmentCache, blocks, little_endian, mark_segments
 from tapewright.llm.tables import whole_texts
 
 
@@ -75,8 +76,14 @@ class PieceEncoder:
         return self.library.decode(ids.tolist())
 
 
+@lru_cache(maxsize=2)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The worker's own, which keeps its segments from task to task."""
+    return PieceEncoder(path)
+
+
 def _stored(ids: list[int]) -> tuple[bytes, str]:
-    return np.array(ids, "<i4").tobytes(), ",".join(map(str, ids))
+    return little_endian(ids), ",".join(map(str, ids))
 
 
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
@@ -98,7 +105,7 @@ def _encoded(docs: DataFrame, model_path: str, columns: list[str]) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), *((c.split()[0], _KINDS[c.split()[1]]) for c in columns)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model_path)
+        encoder = piece_encoder(model_path)
         for batch in batches:
             texts = batch["text"].to_pylist()
             out = []

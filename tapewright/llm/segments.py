@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
-import numpy as np
-
-#: Distinct segments a worker remembers; when there are more it starts anew.
-CACHE = 500_000
+#: Distinct segments in each of a worker's two generations.
+CACHE = 400_000
 #: Characters of text that are looked up together.
 BLOCK = 4_000_000
 
@@ -49,19 +50,22 @@ def mark_segments(text: str) -> list[str]:
 
 
 class SegmentCache:
-    """What `encode` makes of a list of distinct segments, remembered."""
+    """What `encode` makes of a list of distinct segments, remembered in two generations, so that frequent ones stay."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = CACHE):
-        self.encode, self.most, self.known = encode, most, {}
+        self.encode, self.most, self.known, self.older = encode, most, {}, {}
 
     def learn(self, documents: list[list[str]]) -> dict:
-        wanted = set(chain.from_iterable(documents))
-        missing = [s for s in wanted if s not in self.known]
+        """A dictionary that holds every segment of the documents."""
+        missing = set(chain.from_iterable(documents)).difference(self.known)
+        if len(self.known) + len(missing) > self.most:
+            self.older, self.known = self.known, {}
+            missing = set(chain.from_iterable(documents))
         if missing:
-            if len(self.known) + len(missing) > self.most:
-                self.known.clear()
-                missing = list(wanted)
-            self.known.update(zip(missing, self.encode(missing)))
+            again = missing.intersection(self.older)
+            self.known.update((s, self.older[s]) for s in again)
+            new = list(missing.difference(again))
+            self.known.update(zip(new, self.encode(new)))
         return self.known
 
 
@@ -78,6 +82,14 @@ def blocks(texts: Iterable[str | None]) -> Iterator[list[str]]:
         yield held
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as 32-bit integers."""
+    packed = array("i", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class ByteTokenizer:
     """A byte-level BPE of the tokenizers library: ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -91,7 +103,7 @@ class ByteTokenizer:
 
     def _ids(self, parts: list[str]) -> Iterator[bytes]:
         for found in self.library.encode_batch_fast(parts, add_special_tokens=False):
-            yield np.array(found.ids, "<u4").tobytes()
+            yield little_endian(found.ids)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for block in blocks(texts):
@@ -100,3 +112,9 @@ class ByteTokenizer:
             rest = self.rest.learn([parts[1:] for parts in cut])
             for parts in cut:
                 yield heads[parts[0]] + b"".join([rest[p] for p in parts[1:]])
+
+
+@lru_cache(maxsize=2)
+def byte_tokenizer(path: str) -> ByteTokenizer:
+    """The worker's own, which keeps its segments from task to task."""
+    return ByteTokenizer(path)

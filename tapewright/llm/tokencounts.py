@@ -1,7 +1,7 @@
 """Token counts through a digest cache.
 
 A count belongs to a text's digest and to its tokenizer's. Stored counts are joined to the texts' digests; of the texts that have none, each
-distinct one is encoded once, and its count appended to the cache, which then answers for every row. A later run with
+distinct one is encoded once (a row repeated with its id, as often as that), and its count appended to the cache, which then answers for every row. A later run with
 the same tokenizer encodes new texts only; another tokenizer file, or another version of its library, is another tokenizer.
 
 Texts travel once, to be joined with the list of those to encode; digests and counts are small rows. The normal form of a text
@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.segments import ByteTokenizer
+from tapewright.llm.segments import byte_tokenizer
 from tapewright.llm.tables import whole_texts
 
 SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -41,11 +41,11 @@ def tokenizer_digest(path: str) -> str:
 def counter(path: str) -> Callable[[list], list[int]]:
     """Counts of texts, without special tokens: the tokenizers library for .json, sentencepiece for .model."""
     if path.endswith(".model"):
-        from tapewright.llm.pieces import PieceEncoder
+        from tapewright.llm.pieces import piece_encoder
 
-        pieces = PieceEncoder(path)
+        pieces = piece_encoder(path)
         return lambda texts: [len(ids) // 4 for ids, _ in pieces.encode(texts)]
-    tokenizer = ByteTokenizer(path)
+    tokenizer = byte_tokenizer(path)
     return lambda texts: [len(ids) // 4 for ids in tokenizer.encode(texts)]
 
 
