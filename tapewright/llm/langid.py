@@ -3,8 +3,12 @@
 Letters are lowered; runs of anything else become one separator; n-grams of one to three characters that lie
 within a word (with its edges) are hashed into a fixed number of dimensions. Counts are dampened, weighted by inverse document
 frequency and normalised. Each language's sample vectors are clustered (spherical k-means), so that a language written in
-several registers keeps one centroid for each. A text goes to the nearest centroid; one that is much farther
-from it than the language's own texts are is rejected.
+several registers keeps one centroid for each. A text goes to the nearest centroid; one that is farther from it than
+nearly all of the language's own texts of such a length is rejected.
+
+The floors are learned from texts that the clustering did not see: each of FOLDS parts of a language's sample is measured against
+centroids of the others, whole and in pieces of every length class (a power of two of n-grams), for short texts are farther
+from any centroid. A class's floor is the TAIL quantile of its similarities.
 
 The fit reads a bounded sample of labelled rows (`per_language` of each language, chosen by a hash of the id);
 prediction reads every whole text.
@@ -16,6 +20,7 @@ a million characters; a word that lies across two blocks counts as two.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +38,14 @@ PER_LANGUAGE = 400
 CENTROIDS = 4
 ROUNDS = 12
 LEAST_SHARE = 0.02
-#: A text is rejected below this share of the similarity that half of the language's own texts reach; one common word reaches more.
-MARGIN = 0.07
+#: The share of a language's own texts that may be rejected, of each length class.
+TAIL = 0.01
+FOLDS = 4
+#: Length classes by the power of two of a text's n-grams, and the characters of the pieces that stand for them.
+CLASSES = 16
+PIECES = tuple(2**n for n in range(1, 14))
+#: Similarities that a class needs for a floor of its own.
+LEAST_PIECES = 20
 UNKNOWN = "und"
 
 _LETTER = np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000)
@@ -82,11 +93,15 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (weighted / norm if norm > 0 else weighted).astype(np.float32)
 
 
+def length_class(counts: np.ndarray) -> int:
+    return min(CLASSES - 1, int(counts.sum()).bit_length() - 1)
+
+
 @dataclass
 class Centroids:
     languages: np.ndarray  # of each centroid
     matrix: np.ndarray  # centroid x dimension, rows of length 1
-    floors: np.ndarray  # least cosine that is accepted
+    floors: np.ndarray  # centroid x length class: least cosine that is accepted
     idf: np.ndarray
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -95,7 +110,7 @@ class Centroids:
             return UNKNOWN, 0.0, False
         near = self.matrix @ vector(counts, self.idf)
         best = int(np.argmax(near))
-        return str(self.languages[best]), float(min(1.0, max(0.0, near[best]))), bool(near[best] >= self.floors[best])
+        return str(self.languages[best]), float(min(1.0, max(0.0, near[best]))), bool(near[best] >= self.floors[best, length_class(counts)])
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +130,41 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> tuple[np.ndarr
     return centres, np.argmax(vectors @ centres.T, axis=1)
 
 
+def pieces_of(text: str) -> list[str]:
+    """The text, and a piece of it for each length that it exceeds, from a word's start at a place chosen by a hash."""
+    found = [text]
+    for size in PIECES:
+        if size < len(text):
+            start = zlib.crc32(f"{size} {text[:1000]}".encode("utf-8", "surrogatepass")) % (len(text) - size + 1)
+            space = text.rfind(" ", 0, start + 1)
+            found.append(text[space + 1 : space + 1 + size])
+    return found
+
+
+def class_floors(texts: list[str], vectors: np.ndarray, idf: np.ndarray, k: int) -> np.ndarray:
+    """For each length class, the least similarity to centroids of other texts that all but TAIL of the texts and pieces reach.
+
+    A class without enough of them takes the next shorter one's floor, the shortest the next longer one's. A single text is measured against itself.
+    """
+    found: list[list[float]] = [[] for _ in range(CLASSES)]
+    part = np.unique(texts, return_inverse=True)[1] % FOLDS  # copies are in one part
+    for own in range(FOLDS):
+        others = vectors[part != own] if (part != own).any() else vectors
+        if not (part == own).any():
+            continue
+        centres, _ = cluster(others, k)
+        for at in np.flatnonzero(part == own):
+            for counts in map(ngram_counts, pieces_of(texts[at])):
+                if counts is not None:
+                    found[length_class(counts)].append(float((centres @ vector(counts, idf)).max()))
+    least = min(LEAST_PIECES, max(map(len, found)))
+    floors = [float(np.quantile(f, TAIL)) if len(f) >= least else None for f in found]
+    last = next(f for f in floors if f is not None)
+    for i, floor in enumerate(floors):
+        last = floors[i] = last if floor is None else floor
+    return np.array(floors)
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, held_out: int | None = 2, folds: int = 4) -> Centroids:
     """Learn from (doc_id, text, lang), rows of fold `held_out` left aside."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
@@ -141,26 +191,26 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, h
     idf = np.log((1 + rows) / (1 + seen)) + 1
 
     def clusters(pages: pd.DataFrame) -> pd.DataFrame:
-        counted = [c for c in map(ngram_counts, sorted(pages["text"])) if c is not None]
+        counted = [(t, c) for t in sorted(pages["text"]) if (c := ngram_counts(t)) is not None]
         if not counted:
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
-        vectors = np.stack([vector(c, idf) for c in counted])
+            return pd.DataFrame({"lang": [], "centre": [], "floors": []})
+        vectors = np.stack([vector(c, idf) for _, c in counted])
         centres, own = cluster(vectors, k)
-        near = (vectors * centres[own]).sum(axis=1)
+        floors = class_floors([t for t, _ in counted], vectors, idf, k).tolist()
         kept = [j for j in range(len(centres)) if (own == j).any()]
         return pd.DataFrame(
             {
                 "lang": [pages["lang"].iloc[0]] * len(kept),
                 "centre": [centres[j].tolist() for j in kept],
-                "floor": [float(MARGIN * np.median(near))] * len(kept),
+                "floors": [floors] * len(kept),
             }
         )
 
     # A group is a language's sample, which is bounded.
-    learned = sample.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, floor double").collect()
+    learned = sample.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, floors array<double>").collect()
     learned.sort(key=lambda row: row.lang)
     matrix = np.array([row.centre for row in learned], np.float32).reshape(len(learned), DIMS)
-    floors = np.array([row.floor for row in learned])
+    floors = np.array([row.floors for row in learned]).reshape(len(learned), CLASSES)
     return Centroids(np.array([row.lang for row in learned]), matrix, floors, idf)
 
 

@@ -42,6 +42,26 @@ def test_language_of_held_out_rows(spark, docs):
     assert langid.identify(awkward(spark, []), model).count() == 0
 
 
+ITALIAN = "il governo ha detto che la situazione della città è molto difficile e che le persone devono restare nelle loro case"
+DUTCH = "de regering heeft gezegd dat de situatie in de stad erg moeilijk is en dat de mensen in hun huizen moeten blijven"
+JAVA = "public static void main(String[] args) { for (int i = 0; i < args.length; i++) { System.out.println(args[i]); } }"
+BASE64 = "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0IGVuY29kaW5nIHdpdGggc29tZSBsb25nIHRleHQ"
+
+
+@pytest.mark.parametrize("unknown", ["de", "en", "es", "fr"])
+def test_a_language_that_was_not_learned_is_rejected(spark, docs, unknown):
+    model = langid.fit(docs.where(docs.lang != unknown))
+    rows = [r for r in docs.collect() if r.text and held(r.doc_id, 4) == 2]
+    answers = [(r, model.predict(r.text)[2]) for r in rows]
+    assert np.mean([ok for r, ok in answers if r.lang == unknown and len(r.text) >= 100]) < 0.05
+    assert np.mean([ok for r, ok in answers if r.lang != unknown]) > 0.95
+    foreign = [ITALIAN, DUTCH, JAVA, BASE64, "asdf jkl qwer uiop zxcv bnm asdfg hjkl qwert yuiop"]
+    assert not any(model.predict(" ".join([t] * n))[2] for t in foreign for n in (1, 10))
+    # Short texts are held to the similarity that short texts reach.
+    short = [" ".join(r.text.split()[:12]) for r in rows if r.lang != unknown and len(r.text.split()) > 12]
+    assert np.mean([model.predict(t)[2] for t in short]) > 0.9
+
+
 def test_language_without_anything_to_learn(spark):
     nothing = langid.fit(awkward(spark))  # no language is known
     assert {r.lang_pred for r in langid.identify(awkward(spark), nothing).collect()} == {"und"}
