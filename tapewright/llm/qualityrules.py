@@ -3,9 +3,12 @@
 Every text is measured by its own words and lines. A sketch counts the values of a measure in buckets of a fixed relative width,
 so sketches of parts are merged by adding counts: tasks' into groups', groups' into languages', languages' into the
 whole corpus's. Quartiles read from a sketch are within RELATIVE of the exact ones at any size. A group's fences lie three
-interquartile ranges outside its quartiles, and not nearer to the median than a measure's least gap, without
-which a group of equal texts would refuse the first that differs. A group with too few texts takes its language's sketch, a language with
-too few the corpus's. Texts are then joined with their group's fences and filtered.
+interquartile ranges outside its quartiles. Where the quartiles are equal (most texts have no repeat), the upper fence lies as far outside
+the quartiles of the values above them. Texts that another measure's quartiles refuse are of another kind, and do not count for that
+spread: sketches are made twice, the second time without them. A measure's gap is the fence's distance from the median only where the data
+has no spread at any level.
+A group takes its language's fence of a measure if it has too few texts, or equal quartiles and too few values above; a language
+likewise takes the corpus's. Texts are then joined with their group's fences and filtered.
 
 All of it is DataFrame operations. Sketches and fences have a few rows for each group; the texts' side of the join has only counts.
 
@@ -27,10 +30,15 @@ LEAST_WORDS = 50
 RELATIVE = 0.01
 LEAST_ROWS = 200
 REACH = 3.0
-#: Measure: (least distance of the upper fence from the median, the same of the lower fence or None).
+#: Values above equal quartiles that are enough for a spread of their own, and the least share of all values.
+LEAST_TAIL = 50
+TAIL_SHARE = 0.02
+#: Measure: (distance of the upper fence from the median where the data sets none, the same of the lower fence or None).
 GAPS = {"symbol_share": (0.05, None), "dup_share": (0.5, None), "repeat_share": (0.3, None), "word_length": (3.0, 3.0)}
 ZERO = -(1 << 30)
 _FENCE = {"rows": "long"} | {f"{side}_{m}": "double" for m in GAPS for side in ("low", "high")}
+#: spread_: the quartiles differ; set_: the upper fence is the data's and not a gap.
+_FENCE |= {f"{flag}_{m}": "boolean" for m in GAPS for flag in ("spread", "set")}
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -100,10 +108,10 @@ def bucket_value(bucket: Column, relative: float = RELATIVE) -> Column:
 
 
 def sketch(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts n by keys, measure and bucket."""
+    """Counts n by keys, measure and bucket; null values are left out."""
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket_of(F.col(m)).alias("bucket")) for m in GAPS)))
     rows = values.select(*keys, pairs.alias("p")).select(*keys, "p.measure", "p.bucket")
-    return rows.groupBy(*keys, "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("bucket").isNotNull()).groupBy(*keys, "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,28 +124,46 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
     whole = Window.partitionBy(*keys, "measure")
     upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketches.withColumns({"total": F.sum("n").over(whole), "upto": F.sum("n").over(upto)})
+    reached = F.col("upto") > F.floor((F.col("total") - 1) * 0.5)
+    # The texts up to the median's bucket; those above it are the tail.
+    ranked = ranked.withColumn("base", F.min(F.when(reached, F.col("upto"))).over(whole))
+    tail = F.col("total") - F.col("base")
 
     def quantile(q: float) -> Column:
         return F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), bucket_value(F.col("bucket"))))
 
-    def quartiles(measure: str) -> list[Column]:
-        own = F.col("measure") == measure
-        return [F.max(F.when(own, F.col(f"q{n}"))).alias(f"{measure}_{n}") for n in (25, 50, 75)]
+    def tail_quantile(q: float) -> Column:
+        above = F.col("upto") - F.col("base")
+        return F.min(F.when((above > 0) & (above > F.floor((tail - 1) * q)), bucket_value(F.col("bucket"))))
+
+    def of(measure: str, name: str) -> Column:
+        return F.max(F.when(F.col("measure") == measure, F.col(name))).alias(f"{measure}_{name}")
 
     by_measure = ranked.groupBy(*keys, "measure").agg(
-        F.max("total").alias("total"), *(quantile(q / 100).alias(f"q{q}") for q in (25, 50, 75))
+        F.max("total").alias("total"),
+        F.max(tail).alias("tail"),
+        *(quantile(q / 100).alias(f"q{q}") for q in (25, 50, 75)),
+        *(tail_quantile(q / 100).alias(f"t{q}") for q in (25, 75)),
     )
-    wide = by_measure.groupBy(*keys).agg(F.max("total").alias("rows"), *(c for m in GAPS for c in quartiles(m)))
+    names = ("total", "tail", "q25", "q50", "q75", "t25", "t75")
+    wide = by_measure.groupBy(*keys).agg(F.max("total").alias("rows"), *(of(m, n) for m in GAPS for n in names))
     bounds = {}
     for measure, (up, down) in GAPS.items():
-        low, mid, high = (F.col(f"{measure}_{n}") for n in (25, 50, 75))
-        bounds[f"high_{measure}"] = F.greatest(high + REACH * (high - low), mid + up)
-        bounds[f"low_{measure}"] = F.least(low - REACH * (high - low), mid - down) if down else F.lit(None).cast("double")
+        total, n_tail, low, mid, high, t25, t75 = (F.col(f"{measure}_{n}") for n in names)
+        spread = F.coalesce(high > low, F.lit(False))
+        tailed = F.coalesce((n_tail >= LEAST_TAIL) & (n_tail >= TAIL_SHARE * total), F.lit(False))
+        beyond = F.when(spread, high + REACH * (high - low)).when(tailed, t75 + REACH * (t75 - t25))
+        bounds[f"high_{measure}"] = F.coalesce(beyond, mid + up)
+        below = F.when(spread, low - REACH * (high - low)).otherwise(mid - down) if down else F.lit(None)
+        bounds[f"low_{measure}"] = below.cast("double")
+        bounds[f"spread_{measure}"] = spread
+        bounds[f"set_{measure}"] = spread | tailed
     return wide.select(*keys, "rows", *(c.alias(name) for name, c in bounds.items()))
 
 
 def group_fences(sketches: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The fences that hold for each language and source: its own, its language's or the corpus's."""
+    """low_, high_, spread_ and set_ of every measure that hold for each language and source: its own, its language's or the corpus's."""
+
     def named(level: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
         return level.select(*keys, F.struct(*_FENCE).alias(prefix))
 
@@ -146,9 +172,37 @@ def group_fences(sketches: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame
     # The corpus has one row, whose numbers become constants; no row if nothing was sound.
     corpus = fences(merge(sketches.withColumn("corpus", F.lit(1)), ["corpus"]), ["corpus"]).first()
     overall = F.struct(*(F.lit(corpus[n] if corpus else None).cast(t).alias(n) for n, t in _FENCE.items()))
-    found = by_source.join(by_lang, "lang")
-    chosen = F.when(F.col("own.rows") >= least_rows, F.col("own")).when(F.col("language.rows") >= least_rows, F.col("language"))
-    return found.select("lang", "source", chosen.otherwise(overall).alias("fence")).select("lang", "source", "fence.*")
+    found = by_source.join(by_lang, "lang").withColumn("overall", overall)
+
+    def chosen(measure: str, name: str) -> Column:
+        levels = F
+        for level in ("own", "language"):
+            enough = (F.col(f"{level}.rows") >= least_rows) & F.col(f"{level}.set_{measure}")
+            levels = levels.when(enough, F.col(f"{level}.{name}_{measure}"))
+        return levels.otherwise(F.col(f"overall.{name}_{measure}")).alias(f"{name}_{measure}")
+
+    return found.select("lang", "source", *(chosen(m, name) for m in GAPS for name in ("low", "high", "spread", "set")))
+
+
+def _inside(measure: str) -> Column:
+    low = F.col(f"low_{measure}")
+    return (F.col(measure) <= F.col(f"high_{measure}")) & (low.isNull() | (F.col(measure) >= low))
+
+
+def learned_fences(sound: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """The fences for each language and source; a measure learns from the texts that no other measure's quartiles refuse."""
+    first = group_fences(sketch(sound, ["lang", "source"]), least_rows)
+    beside = sound.join(first, ["lang", "source"])
+    refused = {m: F.col(f"spread_{m}") & ~_inside(m) for m in GAPS}
+
+    def own(measure: str) -> Column:
+        others = F.greatest(*(F.coalesce(r, F.lit(False)) for m, r in refused.items() if m != measure))
+        return F.when(~others, F.col(measure)).alias(measure)
+
+    # Stored, so that the join is not bound to the sketch's keys and Spark can split a large group.
+    counted = stored(beside.select("lang", "source", *map(own, GAPS)), "quality-sound")
+    once = group_fences(sketch(counted, ["lang", "source"]), least_rows)
+    return stored(once, "quality-fences")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -156,12 +210,11 @@ def judge(docs: DataFrame) -> DataFrame:
     # Measured once: the sketches and the verdicts read the same small table.
     values = stored(with_shares(measures(docs)), "quality-rules")
     sound = values.where(~F.col("base_failed"))
-    limits = group_fences(sketch(sound, ["lang", "source"])).drop("rows")
+    limits = learned_fences(sound)
     judged = values.join(limits, ["lang", "source"], "left")
     inside = F.lit(True)
     for measure in GAPS:
-        inside &= F.col(measure) <= F.col(f"high_{measure}")
-        inside &= F.col(f"low_{measure}").isNull() | (F.col(measure) >= F.col(f"low_{measure}"))
+        inside &= _inside(measure)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
     return judged.withColumn("kept", kept).drop(*limits.columns[2:])
 

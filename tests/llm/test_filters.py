@@ -184,6 +184,28 @@ def test_sketches_merge_and_stay_within_their_error(spark):
     assert fence.high_symbol_share == pytest.approx(max(high + 3 * (high - low), mid + 0.05), rel=0.05)
 
 
+def test_fences_follow_the_tail_of_each_source(spark):
+    """Most texts have no repeat; one source's repeats reach a tenth of the other's. Symbols are in texts of another kind only."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for source, scale in (("calm", 0.004), ("wild", 0.04)):
+        for i in range(1000):
+            repeat = float(rng.exponential(scale)) if i % 6 == 0 else 0.0
+            other = i % 15 == 0  # a text of another kind
+            rows.append(("aa", source, 0.3 + 0.0001 * (i % 90) if other else 0.0, 0.0, repeat, float(rng.normal(9 if other else 5, 0.1))))
+    names = "lang string, source string, symbol_share double, dup_share double, repeat_share double, word_length double"
+    frame = spark.createDataFrame(rows, names)
+    found = {r.source: r for r in qualityrules.learned_fences(frame).collect()}
+    for source, scale in (("calm", 0.004), ("wild", 0.04)):
+        own = np.array([r[4] for r in rows if r[1] == source and r[4] > 0 and r[2] == 0])
+        low, high = (np.sort(own)[int((len(own) - 1) * q)] for q in (0.25, 0.75))
+        fence = found[source]
+        assert fence.high_repeat_share == pytest.approx(high + 3 * (high - low), rel=0.1) and fence.set_repeat_share
+        assert 5.1 < fence.high_word_length < 6.2 and 3.8 < fence.low_word_length < 4.9
+        assert fence.high_symbol_share == pytest.approx(0.05) and not fence.set_symbol_share
+    assert found["wild"].high_repeat_share > 5 * found["calm"].high_repeat_share
+
+
 def test_a_small_group_takes_its_languages_fences(spark):
     rows = [("aa", "big", 0.0, 0.0, 0.1, 5.0)] * 300 + [("aa", "few", 0.9, 0.0, 0.1, 5.0)] * 3 + [("bb", "few", 0.9, 0.0, 0.1, 5.0)] * 3
     names = "lang string, source string, symbol_share double, dup_share double, repeat_share double, word_length double"
