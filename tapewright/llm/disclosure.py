@@ -1,14 +1,17 @@
 """Personal data, and the terms that give it away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by patterns and checked (parts, digits, Luhn). Each value so
-found is a protected entity. The corpus tells how strongly a term reveals one: with documents as events, a term that stands near
-an entity (CONTEXT characters to either side) in n_et documents carries PMI = log2(N n_et / (n_e n_t)) bits about it, of the
+found is a protected entity. The corpus tells how strongly a term reveals one: with documents as events, a term that stands in n_et of
+the n_e documents of an entity, anywhere in their texts, carries PMI = log2(N n_et / (n_e n_t)) bits about it, of the
 IC = log2(N / n_e) bits that name it. A term discloses an entity if it leaves less than SLACK bits open (PMI >= IC - SLACK: of the
-documents with the term, a fixed share hold the entity beside it), as seen in at least SUPPORT different contexts; copies of a
-passage are one context. Such terms are generalised wherever they occur, like the entities themselves.
+documents with the term, a fixed share hold the entity), unless that can be chance: it must be seen with the entity in SUPPORT different
+contexts (CONTEXT characters to either side of the value; copies of a passage are one), since any word of a single text has PMI = IC, and
+the chance that so many of n_t random documents hold the entity (Chernoff's bound), times the number of pairs of entity and term that
+were looked at, must be CHANCE at most. Such terms are generalised
+wherever they occur, like the entities themselves.
 
 All of it is DataFrame operations. Texts are scanned: once for matches, once for the terms' document counts (summed in every task before they
-move), once for the documents that hold a disclosing term. Matches and positions are small rows. Patterns are possessive or begin where
+move), once for the words of the documents with an entity of several contexts, once for the documents that hold a disclosing term. Matches and positions are small rows. Patterns are possessive or begin where
 a run of their characters does, so they are linear and need no stack on long runs.
 
 Defined results: a null text is empty. Positions are code points, ends exclusive. Text inside a base span is no term. Rows of equal
@@ -17,6 +20,8 @@ text get equal spans; repeated rows and null ids keep their own rows. An empty t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +31,10 @@ from tapewright.llm.tables import ADDED, stored
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CONTEXT = 80
-SUPPORT = 3
+SUPPORT = 2
+CHANCE = 0.05
 SLACK = 1.0
-WORD = r"\p{L}{4,}"
+WORD = r"\p{L}{3,}"
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 _PATTERNS = {
@@ -136,29 +142,40 @@ def disclosing_terms(
     docs: DataFrame, spans: DataFrame, n_docs: Column, support: int = SUPPORT, slack: float = SLACK
 ) -> DataFrame:
     """entity, term, pmi, ic of the terms that disclose an entity."""
-    # A word that the window cuts is none.
-    before = F.when(F.length("before") >= CONTEXT, F.regexp_replace("before", r"^\S*", "")).otherwise(F.col("before"))
-    after = F.when(F.length("after") >= CONTEXT, F.regexp_replace("after", r"\S*$", "")).otherwise(F.col("after"))
-    context = F.lower(F.concat(before, F.lit(" "), after))
     entity = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), "value")
-    near = spans.select("row", entity.alias("entity"), context.alias("context"))
-    rows_of = near.groupBy("entity").agg(F.count_distinct("row").alias("n_e"))
-    terms = F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(WORD), F.lit(0))))
-    pairs = near.select("row", "entity", F.xxhash64("context").alias("context"), terms.alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(
-        F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("n_et")
-    )
+    context = F.xxhash64(F.lower(F.concat("before", F.lit(" "), "after")))
+    # Rows of equal text have one key: copies are counted, but their words are taken once.
+    held = spans.select("key", "row", entity.alias("entity"), context.alias("context")).groupBy("entity", "key")
+    held = held.agg(F.count_distinct("row").alias("rows"), F.min("context").alias("context"))
+    rows_of = held.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count_distinct("context").alias("contexts"))
+    rows_of = stored(rows_of.where(F.col("contexts") >= support).select("entity", "n_e"), "disclosure-entities")
+    held = stored(held.join(rows_of.select("entity"), "entity"), "disclosure-held")
+    words = words_of(docs.join(_keyed(held), F.md5(F.coalesce("text", F.lit(""))) == F.col(ADDED), "left_semi")).distinct()
+    pairs = words.join(held, "key").groupBy("entity", "term")
+    pairs = pairs.agg(F.count_distinct("context").alias("contexts"), F.sum("rows").alias("n_et"))
     likely = stored(pairs.where(F.col("contexts") >= support), "disclosure-pairs")
     n_t = words_of(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     counted = n_t.join(likely, "term").join(rows_of, "entity").withColumn("n", n_docs)
     pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    found = counted.select("entity", "term", pmi.alias("pmi"), F.log2(F.col("n") / F.col("n_e")).alias("ic"))
+    # Chernoff: n_t times the divergence of the share seen, n_et / n_t, from the share expected, n_e / n.
+    rest, other = F.col("n_t") - F.col("n_et"), F.col("n") - F.col("n_e")
+    absent = F.when((rest > 0) & (other > 0), rest * F.log(rest * F.col("n") / (F.col("n_t") * other))).otherwise(0.0)
+    evidence = F.col("n_et") * pmi * math.log(2) + absent
+    found = counted.where(evidence >= math.log(max(1, likely.count()) / CHANCE))
+    found = found.select("entity", "term", pmi.alias("pmi"), F.log2(F.col("n") / F.col("n_e")).alias("ic"))
     return found.where(F.col("pmi") >= F.col("ic") - slack)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").alias(ADDED)).distinct()
+
+
 def words_of(docs: DataFrame) -> DataFrame:
-    """key, term: every document's distinct terms."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    """key, term: every document's distinct terms; only e-mail addresses have letters that are none."""
+    # With what hangs on an address by a further @, such as the end of a@b.c@d.
+    plain = F.regexp_replace("text", _PATTERNS["email"] + r"(?:@\S*+)?", " ")
+    bare = F.when(_may_hold(F.col("text"), "email"), plain).otherwise(F.col("text"))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)))
     return _with_key(docs).select("key", F.explode(terms).alias("term"))
 
 

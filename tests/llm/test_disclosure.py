@@ -77,6 +77,18 @@ def test_terms_that_disclose_an_entity(spark):
     assert all(r.n_term == 0 for k, r in found.items() if 50 <= k < 80 or k >= 100)
 
 
+def test_names_of_two_texts_that_stand_far_from_the_value(spark):
+    """Two texts of one address name its owner (three letters; long after the value), and one text has the name alone."""
+    far = " ".join(["plain"] * 40)
+    rows = [(i, f"first {w} mail to own@er.net {far} signed by Zoe") for i, w in enumerate(["alpha", "beta"])]
+    rows += [(2, "later zoe came alone"), (3, f"once hap@ax.org {far} signed by Quentin")]
+    rows += [(10 + i, f"first mail signed by nobody {far} number{i}") for i in range(400)]
+    found = {r.doc_id: r for r in disclosure.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    terms = {k: [text[k][int(a) : int(b)] for n, a, b in (s.split(":") for s in r.spans.split(",") if s) if n == "term"] for k, r in found.items()}
+    assert {k: t for k, t in terms.items() if t} == {0: ["Zoe"], 1: ["Zoe"], 2: ["zoe"]}
+
+
 def test_sanitised_texts_keep_the_rest(spark):
     rows = [*corpus(), (None, None), (7, "call +1 (183) 555-1276 or 10.0.0.1, card 4111 1111 1111 1111; x@y.zz")]
     docs = spark.createDataFrame([(i, t, "k", "r") for i, t in rows], "doc_id long, text string, key string, row string")
