@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import disclosure, langid, linequality, neardup, packing, pieces, qualityrules, search, tokencounts, toxicity
+from tapewright.llm import disclosure, langid, linequality, merkle, neardup, packing, pieces, qualityrules, search, tokencounts, toxicity
+from tapewright.llm.merkle_sql import merkle_sql
 from tapewright.llm.tables import fold, table
 from tapewright.session import shared_folder
 
@@ -97,6 +100,21 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
+def tampered() -> Column:
+    """The lower-cased text of the rows whose id's checksum is divisible by 5; the others claim nothing."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower)
+
+
+@query
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "manifest")
+    merkle.write_manifest(table(spark, folder, "documents"), path, tampered())
+    return merkle.proofs(spark, path).drop("path")
+
+
+ORACLE["op12_manifest"] = merkle_sql()
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
