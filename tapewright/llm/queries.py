@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import disclosure, langid, linequality, merkle, neardup, packing, pieces, qualityrules, search, tokencounts, toxicity
+from tapewright.llm import disclosure, langid, linequality, merkle, neardup, packing, pieces, qualityrules, search, tokencounts, toxicity, vectorcodes
 from tapewright.llm.merkle_sql import merkle_sql
 from tapewright.llm.tables import fold, table
 from tapewright.session import shared_folder
@@ -100,6 +100,38 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", _held_out(5, 0), "score", "predicted")
 
 
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").withColumn("ints", vectorcodes.integers(F.col("embedding")))
+    return vectorcodes.compress(vectors).drop("label")
+
+
+def _codes_sql() -> str:
+    """The same rounds by plain assignment; distances and sums are integers held exactly in doubles."""
+    distance = "list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.x) + list_dot_product(b.x, b.x)"
+    ctes = ["""kept AS (
+      SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS n, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+      """parts AS (SELECT n, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM kept, range(16) t(part))""",
+      "b0 AS (SELECT part, n - 1 AS entry, x FROM parts WHERE n <= 64)"]
+    for k in range(3):
+        ctes.append(f"""a{k} AS (SELECT n, p.part, min(struct_pack(d := {distance}, e := b.entry)) AS best
+          FROM parts p JOIN b{k} b USING (part) GROUP BY n, p.part)""")
+        if k < 2:
+            ctes.append(f"""m{k} AS (SELECT part, entry, list(m ORDER BY place) AS x FROM (
+              SELECT part, best.e AS entry, place, floor(sum(x[place]) / count(*)) AS m
+              FROM a{k} JOIN parts USING (n, part), range(1, 5) t(place) GROUP BY ALL) GROUP BY ALL)""")
+            ctes.append(f"b{k + 1} AS (SELECT part, entry, coalesce(m{k}.x, b{k}.x) AS x FROM b{k} LEFT JOIN m{k} USING (part, entry))")
+    return "WITH " + ",\n".join(ctes) + """
+      , codes AS (SELECT n, string_agg(printf('%02x', CAST(best.e AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a2 GROUP BY n)
+      SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(CAST(CAST(x[place] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b2, range(1, 5) t(place)) AS codebooks_sha256
+      FROM codes JOIN kept USING (n)"""
+
+
+ORACLE["op11_vector_codes"] = _codes_sql()
+
+
 def tampered() -> Column:
     """The lower-cased text of the rows whose id's checksum is divisible by 5; the others claim nothing."""
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
