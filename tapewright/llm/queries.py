@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import disclosure, langid, linequality, merkle, neardup, packing, pieces, qualityrules, search, tokencounts, toxicity, vectorcodes
+from tapewright.llm import disclosure, langid, linequality, merkle, neardup, packing, pieces, qualityrules, repeats, search, tokencounts, toxicity, vectorcodes
 from tapewright.llm.merkle_sql import merkle_sql
 from tapewright.llm.tables import fold, table
 from tapewright.session import shared_folder
@@ -147,6 +147,11 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE["op12_manifest"] = merkle_sql()
 
+@query
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("spans")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
