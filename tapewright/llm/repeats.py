@@ -31,12 +31,12 @@ from tapewright.llm.suffixes import Shard, merge_runs
 from tapewright.llm.tables import stored
 
 LENGTH = 400
-GRAM = 120
+GRAM = 64
 #: Grams in a string.
 WINDOW = LENGTH - GRAM + 1
 #: Bytes that are hashed together, starts in a run, bytes in a shard, digests in a slice.
 BUFFER = 1 << 20
-LONGEST_RUN = 4096
+LONGEST_RUN = 1024
 SHARD = 1 << 20
 SLICE = 1 << 18
 SALTS = 8

@@ -6,6 +6,8 @@ import numpy as np
 
 #: Symbols in a first key, of 9 bits each: a byte plus one, or 0 for a region's end.
 SYMBOLS = 7
+#: Positions of a region that are scanned one after the other.
+LANE = 256
 
 
 class Shard:
@@ -33,7 +35,9 @@ class Shard:
         Suffixes are grouped by their first symbols; only groups that are not single are sorted again, by the ranks a depth
         further on, and the depth doubles.
         """
-        order = np.argsort(self.keys, kind="stable")
+        order = np.argsort(self.keys)
+        # End marks, whose keys are all 0, come first and in their own order.
+        order[: len(self.sizes)] = self.bases + self.sizes
         slots = np.arange(self.n)
         new = np.ones(self.n, bool)
         new[1:] = self.keys[order[1:]] != self.keys[order[:-1]]
@@ -49,7 +53,7 @@ class Shard:
             # A suffix that ended within the depth equals only suffixes that ended too; the earlier region comes first.
             second = np.where(ahead <= self.mark[at], rank[np.minimum(ahead, self.n - 1)] + self.n, at)
             joint = (rank[at] << 32) + second
-            by = np.argsort(joint, kind="stable")
+            by = np.argsort(joint)
             order[open_slots] = at[by]
             joint = joint[by]
             new = np.ones(len(at), bool)
@@ -62,34 +66,41 @@ class Shard:
     def common_prefixes(self, order: np.ndarray, rank: np.ndarray, cap: int) -> np.ndarray:
         """By position, the length its suffix has in common with its predecessor in the order, at most `cap`.
 
-        In text order a length falls by one at most from one position to the next. All regions advance together.
+        In text order a length falls by one at most from one position to the next. Stretches of LANE positions advance side by
+        side: in each turn a stretch compares one key, and either goes on behind it or ends its position and moves to the next.
         """
         lengths = np.zeros(self.n, np.int64)
-        longest_first = np.argsort(-self.sizes, kind="stable")
-        bases, sizes = self.bases[longest_first], self.sizes[longest_first]
-        known = np.zeros(len(sizes), np.int64)
-        for step in range(int(sizes[0]) if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes, -step, side="left"))
-            at = bases[:live] + step
-            before = order[rank[at] - 1]
-            known = np.maximum(known[:live] - 1, 0)
-            growing = np.arange(live)
-            while len(growing):
-                here, there = self.keys[at[growing] + known[growing]], self.keys[before[growing] + known[growing]]
-                # All symbols alike and no end among them: go on behind them.
-                whole = (here == there) & ((here & 511) != 0) & (known[growing] + SYMBOLS < cap)
-                known[growing[whole]] += SYMBOLS
-                rest = ~whole
-                growing, here, there, last = growing[whole], here[rest], there[rest], growing[rest]
-                alike = np.ones(len(last), bool)
-                for k in reversed(range(SYMBOLS)):
-                    alike &= ((here >> 9 * k) == (there >> 9 * k)) & (((here >> 9 * k) & 511) != 0)
-                    known[last] += alike
-            known = np.minimum(known, cap)
-            lengths[at] = known
+        at = np.concatenate([np.arange(b, b + n, LANE) for b, n in zip(self.bases.tolist(), self.sizes.tolist())] or [np.arange(0)])
+        end = np.minimum(at + LANE, self.mark[at])
+        known = np.zeros(len(at), np.int64)
+        before = order[rank[at] - 1]
+        limit = np.minimum(np.minimum(self.mark[at] - at, self.mark[before] - before), cap)
+        while len(at):
+            alike = _alike(self.keys[at + known], self.keys[before + known])
+            known = np.minimum(known + alike, limit)
+            ended = (alike < SYMBOLS) | (known == limit)
+            lengths[at[ended]] = known[ended]
+            at = at + ended
+            live = at < end
+            if not live.all():
+                at, end, before, known, limit, ended = (x[live] for x in (at, end, before, known, limit, ended))
+            moved = np.flatnonzero(ended)
+            place = at[moved]
+            prior = order[rank[place] - 1]
+            before[moved] = prior
+            limit[moved] = np.minimum(np.minimum(self.mark[place] - place, self.mark[prior] - prior), cap)
+            known[moved] = np.maximum(known[moved] - 1, 0)
         return lengths
 
 
+def _alike(here: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Number of leading symbols that two keys share."""
+    apart = here ^ there
+    # The highest set bit; with the bit below it cleared, a float cannot round up to the next power of two.
+    bit = np.frexp((apart & ~(apart >> 1)).astype(np.float64))[1]
+    return np.where(apart == 0, SYMBOLS, (9 * SYMBOLS - bit) // 9)
+
+
 def _in_groups(new: np.ndarray) -> np.ndarray:
     """Which sorted entries are not alone in their group."""
     alone = new.copy()
