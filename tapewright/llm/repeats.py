@@ -183,8 +183,9 @@ def _search_shard(table: pa.Table) -> pa.Table:
     spread = table["spread"].to_pylist()
     repeated, alone, others = repeated_starts(bodies, table["weight"].to_pylist(), spread)
     rows = []
-    for r in np.unique(repeated[:, 0]).tolist():
-        rows.append((keys[r], names[r], _spans(repeated[repeated[:, 0] == r, 1]), None, None, None))
+    owners, first = np.unique(repeated[:, 0], return_index=True)
+    for r, places in zip(owners.tolist(), np.split(repeated[:, 1], first[1:])):
+        rows.append((keys[r], names[r], _spans(places), None, None, None))
     shard = table["bucket"][0].as_py() if len(table) else None
     for places, known in ((alone, False), (others, True)):
         for r, p in places.tolist():
