@@ -1,7 +1,7 @@
 """Topics as sources and sinks, and decoding of their values.
 
 A topic is a Kafka topic, whose values are framed Avro records (a zero byte, a four-byte schema number, the body), or,
-without a broker, a folder of Parquet files with the typed record, its key, partition and offset.
+without a broker, a folder of Parquet files with the typed record, its key and its place in the order of writes.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright import schemas
@@ -99,12 +99,14 @@ def _need_avro(spark: SparkSession) -> None:
 
 
 def decode_topic(records: DataFrame, topic: str) -> DataFrame:
-    """Topic rows to record columns plus ingest_time, source_offset, raw and reason.
+    """Topic rows to record columns plus ingest_time, source_part, source_offset, raw and reason.
 
-    Good rows have a null reason. `raw` is the whole record as it arrived: JSON of a typed one, hex of a frame.
+    Rows of a folder topic were written in the order of (source_part, source_offset). A broker keeps the order of a key within one
+    partition, by offset alone, and source_part is null. Good rows have a null reason. `raw` is the whole record as it arrived: JSON of a typed one, hex of a frame.
     """
     times = (F.col("timestamp").alias("ingest_time"), F.col("offset").alias("source_offset"))
     if "record" in records.columns:
+        times = (times[0], written_part().alias("source_part"), times[1])
         reason = F.when(F.col("record").isNull(), "null_value").alias("reason")
         return records.select(*times, F.to_json("record").alias("raw"), "record.*", reason)
     _need_avro(records.sparkSession)
@@ -120,6 +122,7 @@ def decode_topic(records: DataFrame, topic: str) -> DataFrame:
     framed = (F.length("value") >= HEADER) & (F.expr("substring(value, 1, 1)") == F.lit(b"\x00"))
     return decoded.select(
         "ingest_time",
+        F.lit(None).cast("string").alias("source_part"),
         "source_offset",
         F.hex("value").alias("raw"),
         "d.*",
@@ -138,31 +141,34 @@ def encode_topic(records: DataFrame, topic: str, key: str) -> DataFrame:
     return records.select(F.col(key).cast("binary").alias("key"), frame.alias("value"))
 
 
-def publish_files(
-    records: DataFrame, topic: str, key: str, path: str, batch_id: int = 0, writer: str = "main", partitions: int | None = None
-) -> None:
+def written_part() -> Column:
+    """Sorts the partitions of a folder topic's batches as they were published; rows of one are in the order of their offsets."""
+    return F.concat_ws(
+        " ",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        "writer",
+        F.lpad(F.col("batch").cast("string"), 19, "0"),
+        F.lpad(F.col("partition").cast("string"), 10, "0"),
+    )
+
+
+def publish_files(records: DataFrame, topic: str, key: str, path: str, batch_id: int = 0, writer: str = "main") -> None:
     """Write keyed records to a topic folder; a writer's batch published again replaces the first.
 
-    As in a broker, all records of a key lie in one partition, in the order they were given, and offsets rise from whatever was
-    published before, by any writer: the greater offset of a key is the later write.
+    Rows are written where they are. Each carries its place in the order they were given: the batch's time, its input partition and
+    its number there. Which of a key's rows is the last is settled by those who read them.
     """
-    spark = records.sparkSession
-    published = topic_table(spark, path, topic).where(~((F.col("writer") == writer) & (F.col("batch") >= batch_id)))
-    base = (published.agg(F.max("offset")).first()[0] or 0) + 1
     wire = WIRES[topic]
     kinds = schemas.record_type(wire)
     record = F.struct(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds))
-    rows = records.select(F.col(key).cast("string").alias("key"), record.alias("record"), F.monotonically_increasing_id().alias("given"))
-    dealt = rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("given")
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    dealt.select(
-        "key",
-        "record",
+    records.select(
+        F.col(key).cast("string").alias("key"),
+        record.alias("record"),
         F.lit(topic).alias("topic"),
         F.lit(writer).alias("writer"),
         F.lit(batch_id).cast("bigint").alias("batch"),
         F.spark_partition_id().alias("partition"),
-        (F.lit(base).cast("bigint") + place).alias("offset"),
+        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("offset"),
         F.current_timestamp().alias("timestamp"),
     ).write.mode("overwrite").parquet(f"{path}/{writer}-{batch_id}")
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright import schemas
@@ -83,8 +83,18 @@ def cached_batches(first_batch: int = 0) -> Callable[[BatchFunction], BatchFunct
     return wrap
 
 
-def _good(batch: DataFrame) -> DataFrame:
-    return batch.where(F.col("reason").isNull())
+def _good(batch: DataFrame, batch_id: int) -> DataFrame:
+    """Accepted rows with their arrival: the batch, then the order in which its rows were written to the topic.
+
+    A part's rows follow those of the parts before it; there are as many parts as the batch has written partitions, and only
+    their sizes are added up. Rows stay where they are.
+    """
+    parts = batch.where(F.col("source_part").isNotNull()).groupBy("source_part").agg((F.max("source_offset") + 1).alias("__rows"))
+    earlier = Window.orderBy("source_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source_part", F.sum("__rows").over(earlier).alias("__before"))
+    rows = batch.where(F.col("reason").isNull()).join(parts, "source_part", "left")
+    place = F.coalesce("__before", F.lit(0)) + F.col("source_offset")
+    return rows.withColumn("arrival", arrival(batch_id, place)).drop("__before", "source_part")
 
 
 def _write_rejects(store: MarketStore, batch: DataFrame, batch_id: int, topic: str, record_type: str) -> None:
@@ -107,7 +117,7 @@ def candle_batch(store: MarketStore, as_of: datetime | None = None, first_batch:
     @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(UTC).replace(tzinfo=None)
-        good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset"))).select(
+        good = _good(batch, batch_id).select(
             "symbol", "ts", "open", "high", "low", "close", "volume", "arrival"
         )
         measured = with_measures(good, now)
@@ -159,7 +169,7 @@ def news_rows(
 def news_batch(store: MarketStore, first_batch: int = 0, **lexicon: Sequence[str]) -> BatchFunction:
     @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
-        good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset")))
+        good = _good(batch, batch_id)
         rows = news_rows(good, "arrival", **lexicon)
         write_all(
             "news",
@@ -186,7 +196,7 @@ def observation_batch(store: MarketStore, as_of: datetime | None = None, first_b
     @cached_batches(first_batch)
     def process(batch: DataFrame, batch_id: int) -> None:
         now = as_of or datetime.now(UTC).replace(tzinfo=None)
-        good = _good(batch).withColumn("arrival", arrival(batch_id, F.col("source_offset")))
+        good = _good(batch, batch_id)
         summaries = latest_indicators(good.withColumn("processed_at", F.col("ingest_time")))
         known = known_metadata(store.spark, now)
         missing = missing_metadata(good, known, store.indicator_metadata(before_batch=batch_id))

@@ -20,12 +20,16 @@ OHLCV = "symbol string, timestamp timestamp, open double, high double, low doubl
 
 def records(spark, *data):
     """(symbol, time, close) as candles two wide."""
+    return in_slices(spark, *data).coalesce(1)
+
+
+def in_slices(spark, *data):
     full = [(s, at(t), c, c + 1, c - 1, c, 10) for s, t, c in ((s, t, float(c)) for s, t, c in data)]
-    return spark.createDataFrame(full, OHLCV).coalesce(1)
+    return spark.createDataFrame(full, OHLCV)
 
 
 def publish(spark, path, batch, *data):
-    topics.publish_files(records(spark, *data), schemas.CANDLE_TOPIC, "symbol", path, batch, partitions=1)
+    topics.publish_files(records(spark, *data), schemas.CANDLE_TOPIC, "symbol", path, batch)
 
 
 def run_candles(spark, work, process=None, name="candles"):
@@ -93,17 +97,20 @@ def test_framed_records_ask_for_the_avro_package(spark):
         topics.encode_topic(records(spark, ("A", "2024-01-30 10:00:00", 1.0)), schemas.CANDLE_TOPIC, "symbol")
 
 
-def test_the_last_write_of_a_key_has_the_greatest_offset(spark, work):
-    """Also within a batch, from another writer, and when a batch is published again."""
+def test_the_last_write_of_a_key_counts(spark, work):
+    """Also within a batch, over several input partitions, from another writer, and when a batch is published again."""
     data = [(s, "2024-01-30 10:00:00", p) for p in (1.0, 2.0, 3.0) for s in ("A", "B", "C", "D", "E")]
-    publish(spark, f"{work}/topic", 0, *data)
+    topics.publish_files(in_slices(spark, *data), schemas.CANDLE_TOPIC, "symbol", f"{work}/topic", 7)
     topics.publish_files(records(spark, ("A", "2024-01-30 10:00:00", 4.0)), schemas.CANDLE_TOPIC, "symbol", f"{work}/topic", 0, "other")
-    publish(spark, f"{work}/topic", 1, ("B", "2024-01-30 10:00:00", 5.0))
-    publish(spark, f"{work}/topic", 1, ("B", "2024-01-30 10:00:00", 6.0))
+    publish(spark, f"{work}/topic", 8, ("B", "2024-01-30 10:00:00", 5.0))
+    publish(spark, f"{work}/topic", 8, ("B", "2024-01-30 10:00:00", 6.0))
     table = topics.topic_table(spark, f"{work}/topic", schemas.CANDLE_TOPIC)
-    last = table.groupBy("key").agg(F.max_by("record.close", "offset").alias("close"), F.count_distinct("partition").alias("partitions"))
-    assert rows(last, "key", "close", "partitions") == [("A", 4.0, 1), ("B", 6.0, 1), ("C", 3.0, 1), ("D", 3.0, 1), ("E", 3.0, 1)]
-    assert table.count() == 15 + 1 + 1
+    assert table.count() == 15 + 1 + 1 and table.select("partition").distinct().count() > 3
+    last = topics.decode_topic(table, schemas.CANDLE_TOPIC).groupBy("symbol").agg(F.max_by("close", F.struct("source_part", "source_offset")).alias("close"))
+    assert rows(last, "symbol", "close") == [("A", 4.0), ("B", 6.0), ("C", 3.0), ("D", 3.0), ("E", 3.0)]
+    store = MarketStore(spark, f"{work}/store")
+    pipelines.candle_batch(store, AS_OF)(pipelines.classified_candles(table), 0)
+    assert rows(store.candles(), "symbol", "close") == rows(last, "symbol", "close") == rows(store.stock_summaries(), "symbol", "current_price")
 
 
 def test_arrivals_beyond_their_order_are_errors(spark):
@@ -191,11 +198,95 @@ def test_summary_versions(spark, work):
     assert store._versions("stock_summaries") == [2]
     assert store.stock_summaries().count() == 2
     # A version that was never finished is passed over.
-    row("A", 99.0, 9).write.parquet(f"{work}/stock_summaries/version=3")
-    os.remove(f"{work}/stock_summaries/version=3/_SUCCESS")
+    store.upsert_latest("stock_summaries", row("A", 99.0, 9), 3)
+    os.remove(f"{work}/stock_summaries/manifest/version=3/_SUCCESS")
     assert rows(store.stock_summaries(), "symbol", "current_price") == [("A", 3.0), ("B", 2.0)]
 
 
+def summary(spark, *data):
+    full = [(s, at(f"2024-01-{d:02d}"), float(p), 1, 0.0, 0.0, "NEUTRAL", "2024-01-31", 0.0, 0.0, 0) for s, p, d in data]
+    return spark.createDataFrame(full, schemas.STOCK_SUMMARIES)
+
+
+def files_below(path):
+    return {os.path.join(folder, n) for folder, _, names in os.walk(path) for n in names if n.endswith(".parquet")}
+
+
+def test_a_batch_writes_only_the_buckets_of_its_keys(spark, work):
+    store, names = MarketStore(spark, work), [f"S{i}" for i in range(400)]
+    store.upsert_latest("stock_summaries", summary(spark, *((n, 1, 1) for n in names)), 0)
+    before = files_below(f"{work}/stock_summaries/files")
+    assert len(before) > 50
+    reader = store.stock_summaries()
+    store.upsert_latest("stock_summaries", summary(spark, ("S7", 2, 2), ("S8", 3, 2), ("NEW", 4, 2)), 1)
+    added = files_below(f"{work}/stock_summaries/files") - before
+    assert 1 <= len(added) <= 3 and before <= files_below(f"{work}/stock_summaries/files")
+    changed = {"S7": 2.0, "S8": 3.0, "NEW": 4.0}
+    assert rows(store.stock_summaries(), "symbol", "current_price") == sorted((n, changed.get(n, 1.0)) for n in [*names, "NEW"])
+    assert reader.count() == 400 and reader.where("current_price > 1").count() == 0  # it stays with its version
+    first = store._manifest("stock_summaries")
+    store.upsert_latest("stock_summaries", summary(spark, ("S7", 2, 2), ("S8", 3, 2), ("NEW", 4, 2)), 1)
+    assert store._manifest("stock_summaries") == first
+    store.upsert_latest("stock_summaries", summary(spark).where("false"), 2)
+    store.drop_old_versions("stock_summaries", 1)
+    left = files_below(f"{work}/stock_summaries/files")
+    assert len(left) == len(before | added) - len(added) + len({f.split("bucket=")[1].split("/")[0] for f in added} - {f.split("bucket=")[1].split("/")[0] for f in before})
+    assert store.stock_summaries().count() == 401
+
+
+def candle_rows(spark, batch, *data):
+    named = records(spark, *data).withColumnRenamed("timestamp", "ts").withColumn("volume", F.col("volume").cast("double"))
+    return named.withColumn("arrival", arrival(batch, F.monotonically_increasing_id()))
+
+
+def test_packed_days_hold_the_same_rows(spark, work):
+    """Before and after, for a reader under way, for a batch that is written again, and when packed once more."""
+    store = MarketStore(spark, work)
+
+    def write(batch, writer="main", price=0.0):
+        data = [(s, f"2024-01-{d:02d} 10:{batch:02d}:00", price + batch + d) for s in "BA" for d in (1, 2)]
+        store.append("candles", candle_rows(spark, batch, *data), batch, utc_day("ts"), writer)
+
+    everything = lambda: rows(store.log("candles").drop("arrival"))
+    for batch in range(6):
+        write(batch)
+        write(batch, "other", 100.0)
+    assert store.pack("candles", least=20) == []
+    before, reader = everything(), store.log("candles")
+    assert store.pack("candles", least=5) == ["2024-01-01", "2024-01-02"]
+    assert everything() == before and rows(reader.drop("arrival")) == before and len(before) == 48
+    from datetime import date
+
+    day = store.log("candles", date(2024, 1, 2), date(2024, 1, 2))
+    assert day.count() == 24 and len(day.inputFiles()) == 3  # one packed file, and the newest batch of either writer
+    packed = files_below(f"{work}/candles.packed")
+    assert len(packed) == 2
+    write(3, price=50.0)  # a replay with other prices
+    again = everything()
+    assert len(again) == 48 and [r for r in again if r not in before] == rows(store.log("candles").where("batch_id = 3 AND writer = 'main'").drop("arrival"))
+    store.drop_packed("candles", keep=1)
+    assert everything() == again and len(store.log("candles").inputFiles()) == 2 + 4 + 2
+    for batch in (6, 7):
+        write(batch)
+    newest = everything()
+    assert store.pack("candles", least=2) == ["2024-01-01", "2024-01-02"] and everything() == newest
+    store.drop_packed("candles", keep=2)
+    assert everything() == newest
+    store.drop_packed("candles", keep=1)
+    assert everything() == newest and not packed & files_below(f"{work}/candles.packed")
+    assert store.next_batch("candles") == 8
+
+
+def test_a_pack_that_did_not_finish_changes_nothing(spark, work):
+    store = MarketStore(spark, work)
+    for batch in range(3):
+        store.append("candles", candle_rows(spark, batch, ("A", f"2024-01-01 10:0{batch}:00", 1.0)), batch, utc_day("ts"))
+    store.pack("candles", least=1)
+    os.remove(f"{work}/candles.manifest/version=0/_SUCCESS")
+    assert store.log("candles").count() == 3
+    assert store.pack("candles", least=1) == ["2024-01-01"] and store.log("candles").count() == 3
+
+
 def test_stored_days_are_pruned(spark, work):
     from tapewright.plans.stocks import _in_range
 
