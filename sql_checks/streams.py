@@ -15,10 +15,12 @@ from tapewright.operators.quality import windows_of_minutes
 from tapewright.session import shared_folder
 from tapewright.sources.store import MarketStore
 from tapewright.sources.topics import publish_files, topic_stream, topic_table
-from tapewright.streaming import ingest, monitors, pipelines
+from tapewright.streaming import alerts, ingest, monitors, pipelines
 from tapewright.streaming.runner import Job, drain
 
 _NTZ = "timestamp_ntz"
+# The supplied requests are sparse: any failure within five minutes counts as a high rate.
+SPARSE_RATE = 0.003
 
 
 def _run(spark, name, rows, process=None, path=None, folder=None):
@@ -183,6 +185,30 @@ def stream_reject_rates(spark, folder):
     return windows_of_minutes(minutes).withColumn("window_end", F.col("window_end").cast(_NTZ))
 
 
+@check(
+    "stream_rate_alerts",
+    f""" SELECT source, window_end, rejects, rejects / 300.0::DOUBLE AS rate FROM (SELECT *, count(*) OVER (PARTITION BY source ORDER BY window_end
+        RANGE BETWEEN INTERVAL 4 MINUTES PRECEDING AND CURRENT ROW) AS held FROM (
+      SELECT 'requests' AS source, minute + to_minutes(k) AS window_end, sum(n)::BIGINT AS rejects
+      FROM (SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS n FROM requests WHERE NOT ok GROUP BY 1), (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+      GROUP BY 2) WHERE rejects / 300.0 > {SPARSE_RATE}) WHERE held >= 5""",
+    "requests",
+)
+def stream_rate_alerts(spark, folder):
+    """The alert as a stream over the requests' failures, and the windows that the watermark still holds open at the end."""
+    work = shared_folder(spark, "alerts")
+    rows = base.requests(spark, folder).select(
+        F.col("ts").cast("timestamp").alias("ingest_time"), F.when(F.col("ok") == 0, "failed").alias("reason")
+    )
+    rows.write.parquet(f"{work}/requests")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/requests")
+    _run(spark, "alerts", alerts.live_alerts(stream, "requests", SPARSE_RATE), path=f"{work}/windows", folder=work)
+    letters = spark.read.parquet(f"{work}/requests").where(F.col("reason").isNotNull())
+    letters = letters.select(F.lit("requests").alias("source"), F.col("ingest_time").alias("rejected_at"))
+    windows = alerts.complete_windows(spark.read.parquet(f"{work}/windows"), letters, SPARSE_RATE)
+    return alerts.fired(windows).withColumn("window_end", F.col("window_end").cast(_NTZ))
+
+
 @check(
     "ingest_quotes",
     f" SELECT symbol, ts, open, high, low, close FROM ({landing._QUOTE}) WHERE {landing._QUOTE_REASON} IS NULL",

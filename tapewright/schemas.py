@@ -133,6 +133,20 @@ CANDLES = _struct(
     ("volume", _D),
     ("arrival", _L),
 )
+ROLLUPS = _struct(
+    ("symbol", _S),
+    ("ts", _T),
+    ("n", _L),
+    ("volatility_sum", _D),
+    ("open", _D),
+    ("open_ts", _T),
+    ("high", _D),
+    ("low", _D),
+    ("close", _D),
+    ("close_ts", _T),
+    ("volume", _D),
+    ("arrival", _L),
+)
 METRICS = _struct(
     ("symbol", _S),
     ("ts", _T),

@@ -47,6 +47,9 @@ _BUCKET = StructField("date_bucket", StringType(), True)
 LOGS = {
     "candles": Log(schemas.CANDLES, schemas.DAY, ("symbol", "ts")),
     "metrics": Log(schemas.METRICS, schemas.DAY, ("symbol", "ts")),
+    "rollup_1m": Log(schemas.ROLLUPS, schemas.DAY, ("symbol", "ts")),
+    "rollup_15m": Log(schemas.ROLLUPS, schemas.DAY, ("symbol", "ts")),
+    "rollup_1d": Log(schemas.ROLLUPS, schemas.DAY, ("symbol", "ts")),
     "observations": Log(schemas.OBSERVATIONS, schemas.DAY, ("series_id", "ts")),
     "news": Log(schemas.NEWS, _BUCKET, ("ts", "id")),
     "rejects": Log(schemas.REJECTS, schemas.DAY, ("source", "rejected_at")),
@@ -269,6 +272,10 @@ class MarketStore:
     def metrics(self, first: date | None = None, last: date | None = None) -> DataFrame:
         return self._last_writes("metrics", ["symbol", "ts"], first, last)
 
+    def rollups(self, table: str, first: date | None = None, last: date | None = None) -> DataFrame:
+        """The states of one width, each as it was last built."""
+        return self._last_writes(table, ["symbol", "ts"], first, last)
+
     def observations(self, first: date | None = None, last: date | None = None) -> DataFrame:
         return self._last_writes("observations", ["series_id", "ts"], first, last)
 
@@ -323,9 +330,9 @@ class MarketStore:
         manifest.write.mode("overwrite").parquet(f"{self.root}/{table}/manifest/version={batch_id}")
         self.drop_old_versions(table, KEEP_VERSIONS)
 
-    def latest(self, table: str) -> DataFrame:
-        """The newest complete version."""
-        return self._version(table, before=None)
+    def latest(self, table: str, before_batch: int | None = None) -> DataFrame:
+        """The newest complete version, or the newest before a batch while it is kept."""
+        return self._version(table, before_batch)
 
     def stock_summaries(self) -> DataFrame:
         return self.latest("stock_summaries")
