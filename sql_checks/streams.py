@@ -288,22 +288,31 @@ def stream_rewrites(spark, folder):
     return store.candles().select("symbol", F.col("ts").cast(_NTZ).alias("ts"), "close")
 
 
-@check("metadata_replayed", " SELECT * FROM (VALUES ('VIXCLS', 'Daily'), ('SP500', 'Daily')) AS t(series_id, frequency)"
-       " WHERE (SELECT count(*) FROM events) > 0")
+@check(
+    "metadata_replayed",
+    """ SELECT series_id, 'Daily' AS frequency, CAST(min(observation_date) || ' 00:00:00' AS TIMESTAMP) AS last_updated FROM (
+      SELECT CASE event_id % 3 WHEN 0 THEN 'VIXCLS' WHEN 1 THEN 'SP500' ELSE upper(event_type) END AS series_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS observation_date
+      FROM events WHERE value IS NOT NULL) WHERE series_id IN ('VIXCLS', 'SP500') GROUP BY 1""",
+)
 def metadata_replayed(spark, folder):
-    """One batch of two known series processed on two days stores each series once."""
+    """Batches of known and unknown series, a week each and every one processed on two days: a known series is stored once, as of the first batch that has it."""
     work = shared_folder(spark, "metadata")
-    known = F.when(F.col("event_id") % 2 == 0, "VIXCLS").otherwise("SP500")
-    records = base.table(spark, folder, "events").select(
-        known.alias("seriesId"), F.to_date("ts").cast("string").alias("observationDate"), F.col("value").cast("string").alias("value"),
+    number = F.col("event_id") % 3
+    series = F.when(number == 0, "VIXCLS").when(number == 1, "SP500").otherwise(F.upper("event_type"))
+    records = base.table(spark, folder, "events").where(F.col("value").isNotNull()).select(
+        series.alias("seriesId"), F.to_date("ts").cast("string").alias("observationDate"), F.col("value").cast("string").alias("value"),
         F.lit("").alias("realTimeStart"), F.lit("").alias("realTimeEnd"),
     )
     publish_files(records, schemas.OBSERVATION_TOPIC, "seriesId", f"{work}/topic")
     store = MarketStore(spark, f"{work}/store")
-    batch = pipelines.classified_observations(topic_table(spark, f"{work}/topic", schemas.OBSERVATION_TOPIC))
-    for day in (30, 31):
-        pipelines.observation_batch(store, datetime(2024, 1, day))(batch, 0)
-    return store.indicator_metadata().select("series_id", "frequency")
+    # Delivered on the day they tell of.
+    topic = topic_table(spark, f"{work}/topic", schemas.OBSERVATION_TOPIC).withColumn("timestamp", F.col("record.observationDate").cast("timestamp"))
+    rows = pipelines.classified_observations(topic)
+    for batch in range(4):
+        week = rows.where((F.dayofmonth("ingest_time") / 8).cast("int") == batch)
+        for day in (30, 31):
+            pipelines.observation_batch(store, datetime(2024, 1, day))(week, batch)
+    return store.indicator_metadata().select("series_id", "frequency", F.col("last_updated").cast(_NTZ).alias("last_updated"))
 
 
 @check(

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +19,7 @@ from tapewright.streaming.monitors import WATERMARK
 MINUTE = 60
 SPAN = 5
 _CLOSED = "source string, second long, rejects long, rate double, held int, firing boolean, cleared boolean"
+_COLUMNS = [field.split()[0] for field in _CLOSED.split(", ")]
 WINDOWS = "source string, window_end timestamp, rejects long, rate double, held int, firing boolean, cleared boolean"
 
 
@@ -32,19 +34,19 @@ class AlertState(StatefulProcessor):
         # Epoch minutes and their counts, the end of the last closed window, the run of high windows.
         self.state = handle.getValueState("alert", "minutes array<long>, counts array<long>, closed long, held int")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        arrived = {int(r["second"]) // MINUTE: int(r["n"]) for r in rows}
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = {second // MINUTE: n for part in rows for second, n in zip(part["second"].tolist(), part["n"].tolist())}
         counts, closed, held = self._load()
         if closed is None:
             closed = min(arrived)
         counts.update(arrived)
         # A minute that arrived is over, so is every one before it.
-        yield from self._close(key, counts, closed, held, max(arrived) + 1)
+        yield self._close(key, counts, closed, held, max(arrived) + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # All windows behind the watermark at once; another timer would wait for the next batch.
         counts, closed, held = self._load()
-        yield from self._close(key, counts, closed, held, timerValues.getCurrentWatermarkInMs() // 1000 // MINUTE)
+        yield self._close(key, counts, closed, held, timerValues.getCurrentWatermarkInMs() // 1000 // MINUTE)
 
     def close(self) -> None:
         pass
@@ -55,15 +57,16 @@ class AlertState(StatefulProcessor):
         minutes, counts, closed, held = self.state.get()
         return dict(zip(minutes, counts)), closed, held
 
-    def _close(self, key, counts: dict[int, int], closed: int, held: int, until: int) -> Iterator[Row]:
+    def _close(self, key, counts: dict[int, int], closed: int, held: int, until: int) -> pd.DataFrame:
         """Close the windows that end after `closed`, up to `until` (epoch minutes)."""
+        rows = []
         for end in range(closed + 1, until + 1):
             rejects = sum(counts.get(minute, 0) for minute in range(end - SPAN, end))
             rate, before = rejects / (SPAN * MINUTE), held
             held = held + 1 if rejects and rate > self.threshold else 0
             cleared = before >= self.minutes > held
             if rejects or cleared:
-                yield Row(source=key[0], second=end * MINUTE, rejects=rejects, rate=rate, held=held, firing=held >= self.minutes, cleared=cleared)
+                rows.append((key[0], end * MINUTE, rejects, rate, held, held >= self.minutes, cleared))
             counts = {minute: n for minute, n in counts.items() if minute > end - SPAN}
             if not counts and not held:
                 # Nothing is left that a later window could hold.
@@ -75,6 +78,7 @@ class AlertState(StatefulProcessor):
             self.handle.deleteTimer(timer)
         if counts or held:
             self.handle.registerTimer((closed + 1) * MINUTE * 1000)
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def live_alerts(classified: DataFrame, source: str, threshold: float = ALERT_RATE, minutes: int = ALERT_MINUTES, delay: str = WATERMARK) -> DataFrame:
@@ -86,7 +90,7 @@ def live_alerts(classified: DataFrame, source: str, threshold: float = ALERT_RAT
         .agg(F.count(F.lit(1)).alias("n"))
         .select("source", F.unix_seconds(F.col("w.start")).alias("second"), "n", F.window_time("w").alias("at"))
     )
-    closed = counts.groupBy("source").transformWithState(AlertState(threshold, minutes), _CLOSED, "Append", "EventTime")
+    closed = counts.groupBy("source").transformWithStateInPandas(AlertState(threshold, minutes), _CLOSED, "Append", "EventTime")
     return closed.select("source", F.timestamp_seconds("second").alias("window_end"), "rejects", "rate", "held", "firing", "cleared")
 
 
