@@ -111,6 +111,9 @@ def complete_windows(closed: DataFrame, rejects: DataFrame, threshold: float = A
     high = F.when(F.col("rate") > threshold, 1).otherwise(0)
     run = Window.partitionBy("source").orderBy("second").rangeBetween(-(minutes - 1) * MINUTE, 0)
     windows = windows.withColumn("firing", F.sum(high).over(run) >= minutes)
-    rest = windows.join(last, "source", "left").where("last IS NULL OR window_end > last")
     columns = ["source", "window_end", "rejects", "rate", "firing"]
-    return closed.where("rejects > 0").select(columns).unionByName(rest.select(columns))
+    both = closed.select(*columns, F.lit(True).alias("streamed")).unionByName(windows.select(*columns, F.lit(False).alias("streamed")))
+    # A source's windows are as many as the minutes it was read for.
+    seen = F.max(F.when(F.col("streamed"), F.col("window_end"))).over(Window.partitionBy("source"))
+    kept = both.withColumn("last", seen).where("CASE WHEN streamed THEN rejects > 0 ELSE last IS NULL OR window_end > last END")
+    return kept.select(columns)
