@@ -2,18 +2,20 @@
 
 A document's shingles are its runs of five words (letters and digits, lowered), of weight 1 + log(times it occurs). Every shingle sends arrivals of a
 Poisson process of its weight's rate, each to a random register; a register keeps the earliest arrival's shingle. Two documents agree in a
-register with the probability Jaccard similarity of their weighted shingles. Arrivals are drawn up to a time by which the
+register with the probability Jaccard similarity of their weighted shingles. A text with a repeated shingle has a second set of registers, in
+which every shingle weighs 1 and agreement is the plain Jaccard similarity; for all others the two sets are the same. Arrivals are drawn up to a time by which the
 registers are nearly surely filled, and for longer only where one is still empty (early termination), so a long document costs little
 more than its words.
 
-Documents of equal words are one node from the start. A node's registers are cut into bands; nodes that share a band's
+Documents of equal words are one node from the start. A node's registers, of both sets, are cut into bands; nodes that share a band's
 hash form a bucket. Instead of all pairs, each member meets its bucket's leader, the member with the most company over all its
-buckets; pairs whose
-signatures leave the threshold possible are verified on the shingles of the whole texts; then members whose class differs from that of a new, random leader meet it, for
-ROUNDS rounds. What then still lies in one bucket but in different classes is compared in full. So no link that banding proposes is lost, and a group of thousands of copies costs its size times the bands.
+buckets; pairs of which either set of registers leaves the threshold possible are verified on the shingles of the whole texts; then members whose
+class differs from that of a new, random leader meet it, for ROUNDS rounds. Of what then still lies in one bucket but in different classes, those
+meet that share one of their rarest shingles (`_residual`), as every linked pair must. So no link that banding proposes is lost, a group of
+thousands of copies costs its size times the bands, and texts that are alike but below the threshold do not meet, since they differ in just those shingles.
 
 Two texts are linked if the share of their distinct shingles in common, or their probability Jaccard similarity, is THRESHOLD or more;
-classes are the connected components. With 24 bands of 5 registers a pair at the threshold is missed by all bands with probability 1e-4.
+classes are the connected components. With 24 bands of 5 registers a pair at the threshold of either measure is missed by all bands with probability 1e-4.
 
 Defined results: the class id is the least doc_id in the class. A text of fewer than five words has all of them as its one shingle. Null and empty texts,
 and those without a word, are each in a class of their own. Rows of null id are compared, and have the class id of their class, null
@@ -29,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.llm.tables import ADDED, stored
@@ -43,7 +45,7 @@ ROUNDS = 2
 #: By how many standard deviations a pair's estimate may fall short before it is verified.
 DEVIATIONS = 4.0
 #: Words that are hashed together.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -147,25 +149,42 @@ def _keys(words: np.ndarray, sizes: np.ndarray) -> list:
     return keys
 
 
+def _registers(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted registers of n documents, those with all weights 1, and which documents have a repeated shingle."""
+    weighted = signatures(doc, shingle, weight, n)
+    repeated = np.zeros(n, bool)
+    repeated[doc[weight > 1]] = True
+    plain = weighted.copy()
+    if repeated.any():
+        own, number = repeated[doc], np.cumsum(repeated) - 1
+        plain[repeated] = signatures(number[doc[own]], shingle[own], np.ones(int(own.sum())), int(repeated.sum()))
+    return weighted, plain, repeated
+
+
 def _node_rows(texts: pa.Array) -> tuple[list, list, list]:
-    """Key of the words, band hashes and signature bytes of each text; None where there is no word."""
+    """Key of the words, buckets and signature bytes (of both sets, where they differ) of each text; None where there is no word."""
     words, sizes = word_hashes(texts)
     doc, shingle, weight = shingles(words, sizes)
     own = np.flatnonzero(sizes)
     small = np.cumsum(sizes > 0) - 1
-    owner = signatures(small[doc], shingle, weight, len(own))
-    bands = np.zeros((len(own), BANDS), np.uint64)
-    for k in range(ROWS):
-        bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + owner[:, k::ROWS])
-    marks = (_mix(owner) & np.uint64(0xFF)).astype(np.uint8)
-    band_rows, mark_rows = [None] * len(sizes), [None] * len(sizes)
+    weighted, plain, repeated = _registers(small[doc], shingle, weight, len(own))
+    buckets, marks = [], []
+    for owner in (weighted, plain):
+        hashed = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(own), BANDS))
+        for k in range(ROWS):
+            hashed = _mix(hashed * np.uint64(0x9E3779B97F4A7C15) + owner[:, k::ROWS])
+        buckets.append(hashed.view(np.int64))
+        marks.append((_mix(owner) & np.uint64(0xFF)).astype(np.uint8))
+    bucket_rows, mark_rows = [None] * len(sizes), [None] * len(sizes)
     for i, at in enumerate(own):
-        band_rows[at], mark_rows[at] = bands[i].view(np.int64), marks[i].tobytes()
-    return _keys(words, sizes), band_rows, mark_rows
+        sets = 2 if repeated[i] else 1
+        bucket_rows[at] = np.unique(np.concatenate([held[i] for held in buckets[:sets]]))
+        mark_rows[at] = b"".join(held[i].tobytes() for held in marks[:sets])
+    return _keys(words, sizes), bucket_rows, mark_rows
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, bands, marks of every row; the key is null where the text has no word."""
+    """doc_id, key, buckets, marks of every row; the key is null where the text has no word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,9 +192,9 @@ def nodes(docs: DataFrame) -> DataFrame:
                 made = _node_rows(part["text"].cast(pa.large_string()))
                 kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary())
                 arrays = [part["doc_id"], *(pa.array(c, k) for c, k in zip(made, kinds))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "bands", "marks"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "buckets", "marks"])
 
-    schema = "doc_id long, key binary, bands array<long>, marks binary"
+    schema = "doc_id long, key binary, buckets array<long>, marks binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)
 
 
@@ -260,11 +279,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
     """doc_id, class_id, n_links of every document; n_links counts the verified links of its text to other texts."""
     rows = stored(nodes(docs), "neardup-rows")
     worded = rows.where(F.col("key").isNotNull())
-    by_key = worded.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
+    by_key = worded.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"))
     # Stored, so a node's number is given once.
     by_key = stored(by_key.withColumn("node", F.monotonically_increasing_id()), "neardup-nodes")
-    bands = by_key.select("node", F.posexplode("bands").alias("band", "hash"))
-    bands = bands.select("node", F.xxhash64("band", "hash").alias("bucket"))
+    bands = by_key.select("node", F.explode("buckets").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
     members = stored(bands.join(shared, "bucket"), "neardup-members")
     company = stored(members.groupBy("node").agg(F.sum("members").alias("company")), "neardup-company")
@@ -286,7 +304,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
         found = stored(verified(pairs, texts, threshold), "neardup-links")
         links = found if links is None else links.unionByName(found)
         roots = classes(links)
-    rest = _likely(_residual(members, roots), marks, threshold)
+    rest = _likely(_residual(members, roots, texts, threshold), marks, threshold)
     rest = stored(verified(rest, texts, threshold), "neardup-links")
     links = links.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stored(links, "neardup-links")
@@ -331,25 +349,61 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _residual(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different classes."""
+def _residual(members: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs in different classes that may be linked, of nodes with a bucket that holds several classes.
+
+    A node's shingles are ordered by the number of nodes that have them, rarest first. If a pair has no shingle in common before a
+    place, what it has in common lies from there on in both. With n shingles in all and r of them from the place on (w: their share of the weight):
+
+    - plain Jaccard >= t needs r >= t / (1 + t) * (n_a + n_b) on both sides, so r >= t * n, and for the smaller one r >= 2t / (1 + t) * n;
+    - probability Jaccard is at most the smaller w, so it needs w >= t on both sides. Without a repeated shingle in either it is the plain one.
+
+    So every linked pair meets in its first common shingle, where one side is `narrow` by the stricter bound (or has repeated
+    shingles) and the other `wide`. Only shingles of two nodes or more are joined.
+    """
     held = _rooted(members, roots).select("bucket", "node", "root")
     several = held.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    split = held.join(several.where(F.col("r0") != F.col("r1")).select("bucket"), "bucket")
-    one, two = split.toDF("bucket", "a", "root_a"), split.toDF("bucket", "b", "root_b")
-    pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-    return pairs.select("a", "b").distinct()
+    split = held.join(several.where(F.col("r0") != F.col("r1")).select("bucket"), "bucket").select("node", "root").distinct()
+    split = stored(split, "neardup-split")
+    # A slack for the rounding of sums of float weights.
+    slack, least, strict = 1e-4, threshold, 2 * threshold / (1 + threshold)
+    rows = texts.join(split.select("node"), "node").select("node", F.posexplode("shingles").alias("at", "shingle"), "weights")
+    rows = rows.select("node", "shingle", F.get("weights", F.col("at")).cast("double").alias("weight"))
+    rows = stored(rows, "neardup-shingles")
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")).where(F.col("nodes") > 1)
+    rows = rows.join(common, "shingle", "left").withColumn("nodes", F.coalesce("nodes", F.lit(1)))
+    whole = Window.partitionBy("node")
+    rest = whole.orderBy(F.desc("nodes"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("node", "shingle", "nodes", F.count(F.lit(1)).over(rest).alias("r"), F.sum("weight").over(rest).alias("w"),
+                       F.count(F.lit(1)).over(whole).alias("n"), F.sum("weight").over(whole).alias("total"))
+    repeated = F.col("total") > F.col("n") + slack
+    heavy = F.col("w") / F.col("total") >= least - slack
+    rows = rows.where((F.col("nodes") > 1) & ((F.col("r") >= (least - slack) * F.col("n")) | heavy))
+    rows = rows.select("node", "shingle", "r", "n", (F.col("w") / F.col("total")).alias("share"), repeated.alias("repeated"))
+    rows = stored(rows.join(split, "node"), "neardup-prefixes")
+    narrow = rows.where(F.col("repeated") | (F.col("r") >= (strict - slack) * F.col("n")))
+    names = ["r", "n", "share", "repeated", "root"]
+    one = narrow.select("shingle", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in names))
+    two = rows.select("shingle", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in names))
+    plain = F.least("r_a", "r_b") >= (least / (1 + least) - slack) * (F.col("n_a") + F.col("n_b"))
+    weighted = (F.col("repeated_a") | F.col("repeated_b")) & (F.least("share_a", "share_b") >= least - slack)
+    pairs = one.join(two, "shingle").where((F.col("root_a") != F.col("root_b")) & (plain | weighted))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose signatures leave the threshold possible: a byte of each register is compared."""
+    """The pairs of which the weighted or the plain signatures leave the threshold possible: a byte of each register is compared."""
     both = pairs.join(marks.toDF("b", "marks_b"), "b").join(marks.toDF("a", "marks_a"), "a")
     least = threshold - DEVIATIONS * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
+    def agreement(batch: pa.RecordBatch, of: slice) -> np.ndarray:
+        held = [np.frombuffer(b"".join(m[of] for m in batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("marks_a", "marks_b")]
+        return (held[0] == held[1]).mean(axis=1)
+
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("marks_a", "marks_b")]
-            near = (held[0] == held[1]).mean(axis=1) >= least
+            # The weighted marks come first and the plain ones last; where they are the same there is one set.
+            near = np.maximum(agreement(batch, slice(0, REGISTERS)), agreement(batch, slice(-REGISTERS, None))) >= least
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(near))
 
     return both.select("a", "b", "marks_a", "marks_b").mapInArrow(likely, "a long, b long")

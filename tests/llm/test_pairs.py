@@ -109,6 +109,64 @@ def families():
     return list(enumerate(rows))
 
 
+def test_pairs_that_differ_in_repeated_lines_are_linked(spark):
+    """Plain Jaccard is 0.84 while the weighted shingles are far apart: only the registers of weight 1 see it."""
+    chosen = random.Random(5)
+    rows = []
+    for pair in range(40):
+        body = " ".join(f"b{pair}x{chosen.randrange(10**6)}" for _ in range(100))
+        rows += [body + " " + " ".join([f"line{pair}s{side}w{k}" for k in range(5)] * 100) for side in range(2)]
+    rows = list(enumerate(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((r.doc_id, r.class_id) for r in neardup.near_duplicates(frame).collect())
+    assert found == sorted(brute_classes(rows)) and all(key // 2 * 2 == own for key, own in found)
+
+
+def test_texts_alike_below_the_threshold_do_not_meet(spark):
+    """Copies of one text, each with its own edits: in one bucket, not linked, and not compared pair by pair."""
+    chosen = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    keys = range(150)
+    texts = []
+    for key in keys:
+        words = list(base)
+        for at in range(chosen.randrange(25), 200, 25):
+            words[at] = f"own{key}at{at}"
+        texts.append(" ".join(words))
+    words, sizes = neardup.word_hashes(pa.array(texts))
+    doc, shingle, weight = neardup.shingles(words, sizes)
+    made = [(k, shingle[doc == k].view(np.int64).tolist(), weight[doc == k].tolist()) for k in keys]
+    held = spark.createDataFrame(made, "node long, shingles array<long>, weights array<float>")
+    members = spark.createDataFrame([(k, 1) for k in keys], "node long, bucket long")
+    roots = spark.createDataFrame([(k, k) for k in keys], "node long, root long")
+    met = neardup._residual(members, roots, held, neardup.THRESHOLD)
+    sets = [(shingle[doc == k], weight[doc == k]) for k in keys]
+    linked = {(i, j) for i, j in combinations(keys, 2) if neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD}
+    found = set(map(tuple, met.collect()))
+    assert linked <= found and len(found) - len(linked) < 2 * len(keys)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_linked_pair_meets_in_the_rest(spark, seed):
+    """Sets with and without repeated shingles, of many sizes, against all pairs."""
+    chosen = random.Random(seed)
+    sets = []
+    for _ in range(12):
+        base = [chosen.randrange(1 << 60) for _ in range(chosen.randint(1, 60))]
+        for _ in range(8):
+            own = {s: chosen.choice([1, 1, 1, 1, 2, 9, 99]) if chosen.random() < 0.5 else 1 for s in base if chosen.random() > 0.07}
+            own |= {chosen.randrange(1 << 60): 1 for _ in range(chosen.randint(0, 4))}
+            sets.append((np.array(sorted(own), np.int64), 1 + np.log([own[s] for s in sorted(own)])))
+    sets = [s for s in sets if len(s[0])]
+    keys = range(len(sets))
+    linked = {(i, j) for i, j in combinations(keys, 2) if neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD}
+    held = spark.createDataFrame([(k, sets[k][0].tolist(), sets[k][1].tolist()) for k in keys], "node long, shingles array<long>, weights array<float>")
+    members = spark.createDataFrame([(k, 1) for k in keys], "node long, bucket long")
+    roots = spark.createDataFrame([(k, k) for k in keys], "node long, root long")
+    met = set(map(tuple, neardup._residual(members, roots, held, neardup.THRESHOLD).collect()))
+    assert len(linked) > 20 and linked <= met
+
+
 def test_classes_are_those_of_all_pairs(spark, families):
     frame = spark.createDataFrame(families, "doc_id long, text string").repartition(4)
     found = neardup.near_duplicates(frame)
