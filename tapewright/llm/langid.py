@@ -21,7 +21,7 @@ a million characters; a word that lies across two blocks counts as two.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.tables import ADDED, fold, scored, small_sample, stored
+from tapewright.llm.tables import ADDED, fold, kept, scored, small_sample, stored
 
 BITS = 14
 DIMS = 1 << BITS
@@ -236,5 +236,10 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Centroids) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    found = scored(docs, predictor(docs, model), F.col("text"))
-    return found.where(F.col(f"{ADDED}.accepted")).drop(ADDED)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def accepts() -> Callable[[str | None], bool]:
+        own = shared.value
+        return lambda text: bool(own.predict(text)[2])
+
+    return kept(docs, accepts)

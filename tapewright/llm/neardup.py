@@ -193,6 +193,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                 kinds = (pa.binary(), pa.list_(pa.int64()), pa.binary())
                 arrays = [part["doc_id"], *(pa.array(c, k) for c, k in zip(made, kinds))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "buckets", "marks"])
+                pa.default_memory_pool().release_unused()
 
     schema = "doc_id long, key binary, buckets array<long>, marks binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, schema)

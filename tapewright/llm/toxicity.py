@@ -16,7 +16,7 @@ every score is that label's share (0 if there is none). Repeated rows get equal
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.tables import ADDED, labelled_sample, scored, stored
+from tapewright.llm.tables import ADDED, kept, labelled_sample, scored, stored
 
 ROWS = 12_000
 SPACE = (1 << 40) - 1
@@ -226,4 +226,10 @@ def score_toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.5) -
 
 def keep_clean(docs: DataFrame, model: Classifier, threshold: float = 0.5) -> DataFrame:
     """The documents that are not toxic, with their own columns."""
-    return scored(docs, scorer(docs, model), F.col("text")).where(F.col(ADDED) < threshold).drop(ADDED)
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
+
+    def accepts() -> Callable[[str | None], bool]:
+        own = Classifier(*shared.value)
+        return lambda text: own.score(text) < threshold
+
+    return kept(docs, accepts)

@@ -4,7 +4,9 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tapewright.llm import packing
+from helpers_llm import awkward, rows_of
+
+from tapewright.llm import langid, packing, toxicity
 from tapewright.llm.queries import ORACLE, QUERIES
 from tapewright.llm.tables import stored, table
 
@@ -27,6 +29,23 @@ def test_stages_hand_on_the_columns_of_documents(spark):
     assert last.count() == want.count() and QUERIES["pipeline"] is corpus_pipeline.run
 
 
+def test_filters_keep_whole_rows_as_their_scores_say(spark):
+    """Awkward texts, columns with the operators' own names, repeated rows, and an empty table."""
+    docs, labels = (table(spark, FOLDER, name) for name in ("documents", "labels"))
+    languages, model = langid.fit(docs), toxicity.fit(docs, labels)
+    rows = awkward(spark).unionByName(docs.limit(200), allowMissingColumns=True)
+    rows = stored(rows.withColumn("n_tokens", rows["n_tokens"].cast("string")), "filters")
+    own = rows.collect()
+    identified = [r for r in own if languages.predict(r.text)[2]]
+    clean = [r for r in own if model.score(r.text) < 0.5]
+    assert 100 < len(identified) < len(own) and 100 < len(clean) <= len(own)
+    key = lambda row: tuple((x is not None, str(x)) for x in row)
+    assert rows_of(langid.keep_identified(rows, languages), *rows.columns) == sorted(map(tuple, identified), key=key)
+    assert rows_of(toxicity.keep_clean(rows, model), *rows.columns) == sorted(map(tuple, clean), key=key)
+    for kept in (langid.keep_identified(rows.where("false"), languages), toxicity.keep_clean(rows.where("false"), model)):
+        assert kept.columns == rows.columns and kept.isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_agrees_with_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
@@ -42,4 +61,4 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in QUERIES
