@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tapewright.llm import disclosure, langid, neardup, packing, toxicity
 from tapewright.llm.tables import stored, table
+from tapewright.session import configure
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those learned."""
+    configure(spark)  # whoever calls the stages; the settings stay with the session
     return langid.keep_identified(docs, langid.fit(docs))
 
 

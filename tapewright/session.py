@@ -15,6 +15,8 @@ REQUIRED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # A Python worker holds a few batches at once; long texts would make them large.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
 }
 
 TASK_BYTES = 128 * 1024 * 1024
