@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sql_checks import base
 from sql_checks.base import AS_OF, BENCHMARK, check
 from tapewright.operators.returns import beta, daily_returns, historical_volatility, tail_risk
+from tapewright.operators.tails import bar_returns, cell_states, merged_cells, tail_figures
 from tapewright.plans import risk
 
 LOOKBACK = 252
@@ -145,3 +146,40 @@ def market_index_report(spark, folder):
     )
     report = rows.select("symbol", *_FIGURES, "name", "exchange", "sector", F.col("periods")["30d"].alias("last_volatility"))
     return base.rounded(report, *_FIGURES)
+
+
+_HOURLY = """
+      SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret
+      FROM (SELECT printf('SYM%04d', user_id) AS symbol, date_trunc('hour', ts) AS ts, max_by(value, ts) AS close FROM events WHERE value > 0 GROUP BY 1, 2)"""
+
+
+def _tails_sql(key: str) -> str:
+    rows = f"(SELECT {key} AS key, ret FROM ({_HOURLY}) WHERE ret IS NOT NULL)"
+    cuts = f"(SELECT key, quantile_cont(ret, 0.05) AS q5, quantile_cont(ret, 0.01) AS q1, count(*) AS n FROM {rows} GROUP BY 1)"
+    return f"""SELECT key, observations, round(var_95, 6) AS var_95, round(var_99, 6) AS var_99, round(cvar_95, 6) AS cvar_95, round(cvar_99, 6) AS cvar_99
+      FROM (SELECT c.key, n AS observations, -any_value(q5) AS var_95, -any_value(q1) AS var_99,
+          -avg(ret) FILTER (ret <= q5) AS cvar_95, -avg(ret) FILTER (ret <= q1) AS cvar_99
+        FROM {cuts} c JOIN {rows} r ON r.key = c.key GROUP BY 1, 2)"""
+
+
+def _hourly(spark, folder):
+    events = base.table(spark, folder, "events").where(F.col("value") > 0)
+    bars = events.groupBy(base.symbol_of("user_id").alias("symbol"), F.date_trunc("hour", "ts").alias("ts"))
+    return bar_returns(bars.agg(F.max_by("value", "ts").alias("close")))
+
+
+_TAILS = ("var_95", "var_99", "cvar_95", "cvar_99")
+
+
+@check("intraday_tail_risk", f" {_tails_sql('symbol')}")
+def intraday_tail_risk(spark, folder):
+    rows = _hourly(spark, folder).withColumnRenamed("symbol", "key")
+    return base.rounded(tail_figures(rows, ["key"]), *_TAILS)
+
+
+@check("market_tail_risk", f" {_tails_sql('left(symbol, 3)')}")
+def market_tail_risk(spark, folder):
+    """A market is the letters its symbols begin with; its cells are merged from theirs."""
+    rows = _hourly(spark, folder).withColumn("key", F.substring("symbol", 1, 3))
+    states = merged_cells(cell_states(rows, ["key", "symbol"]), ["key"])
+    return base.rounded(tail_figures(rows, ["key"], states=states), *_TAILS)
