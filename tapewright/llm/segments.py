@@ -8,7 +8,8 @@ texts. Both tokenizers here allow exact cuts.
 - BPE pieces with a space mark: merges can't cross a space if no piece of the vocabulary has the mark behind another character.
   So a text may be cut before every lone space (runs of spaces stay with the word behind them).
 
-The library itself encodes the segments; nothing of its rules is repeated here but where the cuts are.
+The library itself encodes the segments; nothing of its rules is repeated here but where the cuts are. New segments of a byte-level BPE go to it
+many to a call, joined by the spaces they were cut at: a token that begins with the space byte begins a segment.
 """
 
 from __future__ import annotations
@@ -21,23 +22,39 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
+
 #: Distinct segments in each of a worker's two generations.
 CACHE = 400_000
 #: Characters of text that are looked up together.
 BLOCK = 4_000_000
+#: Segments that are encoded in one string.
+JOINED = 256
 
+#: What a byte-level BPE writes for the space byte at the beginning of a token.
+_SPACE_BYTE = "Ġ"
+#: A mark behind letters is a token of its own, whatever the letters are; letters of later blocks may be unknown to the library.
+_MARKS, _LAST_LETTER = ".,;:!?", "\u024f"
 _BESIDE_SPACE = re.compile(r" \s|\s ")
+_OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 _MARK_LONE = re.compile(r"(?<! ) (?=[^ ])")
 
 
 def byte_segments(text: str) -> list[str]:
     """The text cut at lone spaces; all segments but the first begin with the space that is left out here."""
-    if _BESIDE_SPACE.search(text) or text.endswith(" "):
+    if _has_wide_space(text) or text.endswith(" "):
         return _LONE.split(text)
     return text.split(" ")
 
 
+def _has_wide_space(text: str) -> bool:
+    """Whether a space stands beside white space. Most texts have spaces and line ends alone, and are not searched by a pattern."""
+    if any(c in text for c in _OTHER_SPACE):
+        return _BESIDE_SPACE.search(text) is not None
+    return "  " in text or " \n" in text or "\n " in text
+
+
 def mark_segments(text: str) -> list[str]:
     """The text cut at lone spaces, for a tokenizer that puts a space before the text: every segment lacks its leading space."""
     if not text:
@@ -98,20 +115,49 @@ class ByteTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(_SPACE_BYTE)]] = True
         self.heads = SegmentCache(self._ids)
-        self.rest = SegmentCache(lambda parts: self._ids([" " + p for p in parts]))
+        self.rest = SegmentCache(self._behind_spaces)
+        self.marks = dict(zip(_MARKS, self._ids(list(_MARKS))))
 
     def _ids(self, parts: list[str]) -> Iterator[bytes]:
         for found in self.library.encode_batch_fast(parts, add_special_tokens=False):
             yield little_endian(found.ids)
 
+    def _behind_spaces(self, parts: list[str]) -> list[bytes]:
+        """Ids of segments that a space stands before; a word with a mark behind it takes those of the word."""
+        bare = [p[:-1] if p[-1:] in self.marks and p[:-1].isalpha() and max(p) <= _LAST_LETTER else p for p in parts]
+        known = self.rest.known
+        # With white space inside, a segment's end could belong together with what follows it.
+        new = set(bare).difference(known)
+        apart = [p for p in new if p.split() != [p]]
+        joined = list(new.difference(apart))
+        ids = dict(zip(apart, self._ids([" " + p for p in apart])))
+        ids.update(zip(joined, self._in_rows(joined)))
+        words = (ids[b] if b in ids else known[b] for b in bare)
+        return [word if p is b else word + self.marks[p[-1]] for p, b, word in zip(parts, bare, words)]
+
+    def _in_rows(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of segments without white space, many to a string."""
+        rows = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        for row, found in zip(rows, self.library.encode_batch_fast([" " + " ".join(r) for r in rows], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            starts = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            if len(starts) == len(row) and starts[0] == 0:
+                held = ids.tobytes()
+                yield from map(held.__getitem__, map(slice, starts, [*starts[1:], len(held)]))
+            else:
+                yield from self._ids([" " + p for p in row])
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for block in blocks(texts):
             cut = [byte_segments(text) for text in block]
             heads = self.heads.learn([parts[:1] for parts in cut])
             rest = self.rest.learn([parts[1:] for parts in cut])
             for parts in cut:
-                yield heads[parts[0]] + b"".join([rest[p] for p in parts[1:]])
+                yield heads[parts[0]] + b"".join(map(rest.__getitem__, parts[1:]))
 
 
 @lru_cache(maxsize=2)
