@@ -10,6 +10,10 @@ the chance that so many of n_t random documents hold the entity (Chernoff's boun
 were looked at, must be CHANCE at most. Such terms are generalised
 wherever they occur, like the entities themselves.
 
+PMI >= IC - SLACK says n_et >= n_t / 2^SLACK, and n_et is n_e at most. So only pairs with SUPPORT <= n_t <= 2^SLACK n_e can pass, and no other is
+looked at. Terms are counted first; a bitmap of fixed size (BITS) of those within the range drops nearly all others where a text is read, and the exact
+counts drop the rest before a term meets its text's entities.
+
 All of it is DataFrame operations. Texts are scanned: once for matches, once for the terms' document counts (summed in every task before they
 move), once for the words of the documents with an entity of several contexts, once for the documents that hold a disclosing term. Matches and positions are small rows. Patterns are possessive or begin where
 a run of their characters does, so they are linear and need no stack on long runs.
@@ -34,6 +38,8 @@ CONTEXT = 80
 SUPPORT = 2
 CHANCE = 0.05
 SLACK = 1.0
+#: Bits of the map of rare terms: 2^18 rows of 64, 4 MB at any size of the corpus. A full map lets more terms through to the exact counts.
+BITS = 1 << 24
 WORD = r"\p{L}{3,}"
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -148,14 +154,21 @@ def disclosing_terms(
     held = spans.select("key", "row", entity.alias("entity"), context.alias("context")).groupBy("entity", "key")
     held = held.agg(F.count_distinct("row").alias("rows"), F.min("context").alias("context"))
     rows_of = held.groupBy("entity").agg(F.sum("rows").alias("n_e"), F.count_distinct("context").alias("contexts"))
-    rows_of = stored(rows_of.where(F.col("contexts") >= support).select("entity", "n_e"), "disclosure-entities")
-    held = stored(held.join(rows_of.select("entity"), "entity"), "disclosure-held")
-    words = words_of(docs.join(_keyed(held), F.md5(F.coalesce("text", F.lit(""))) == F.col(ADDED), "left_semi")).distinct()
-    pairs = words.join(held, "key").groupBy("entity", "term")
-    pairs = pairs.agg(F.count_distinct("context").alias("contexts"), F.sum("rows").alias("n_et"))
-    likely = stored(pairs.where(F.col("contexts") >= support), "disclosure-pairs")
+    held = stored(held.join(rows_of.where(F.col("contexts") >= support).select("entity", "n_e"), "entity"), "disclosure-held")
+    texts = held.groupBy("key").agg(F.max("n_e").alias("most")).withColumn("id", F.monotonically_increasing_id())
+    texts = stored(texts, "disclosure-texts")
+    most = held.agg(F.max("n_e")).first()[0] or 0
     n_t = words_of(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    counted = n_t.join(likely, "term").join(rows_of, "entity").withColumn("n", n_docs)
+    rare = stored(n_t.where(F.col("n_t").between(support, most * 2**slack)), "disclosure-rare")
+    plain = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    words = plain.join(texts, "key").select("id", "most", F.explode(_terms("text")).alias("term"))
+    words = _perhaps_in(words, rare).join(rare, "term").where(F.col("n_t") <= F.col("most") * 2**slack)
+    words = words.select("id", "term", "n_t").distinct()
+    pairs = words.join(held.join(texts.select("key", "id"), "key"), "id").where(F.col("n_t") <= F.col("n_e") * 2**slack)
+    counts = [F.max(c).alias(c) for c in ("n_t", "n_e")]
+    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.sum("rows").alias("n_et"), *counts)
+    likely = stored(pairs.where(F.col("contexts") >= support), "disclosure-pairs")
+    counted = likely.withColumn("n", n_docs)
     pmi = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     # Chernoff: n_t times the divergence of the share seen, n_et / n_t, from the share expected, n_e / n.
     rest, other = F.col("n_t") - F.col("n_et"), F.col("n") - F.col("n_e")
@@ -166,17 +179,26 @@ def disclosing_terms(
     return found.where(F.col("pmi") >= F.col("ic") - slack)
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("key").alias(ADDED)).distinct()
+def _perhaps_in(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows whose term has its bit in the map of the terms; the map's size is fixed, so it is broadcast."""
+    place = F.pmod(F.xxhash64("term"), F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    map_rows = terms.groupBy(F.floor(place / 64).alias("place")).agg(F.bit_or(bit).alias("bits"))
+    found = words.withColumn("place", F.floor(place / 64)).join(F.broadcast(map_rows), "place")
+    return found.where(F.getbit("bits", (place % 64).cast("int")) == 1).select(*words.columns)
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """key, term: every document's distinct terms; only e-mail addresses have letters that are none."""
+def _terms(text: str) -> Column:
+    """The distinct terms of a text; only e-mail addresses have letters that are none."""
     # With what hangs on an address by a further @, such as the end of a@b.c@d.
-    plain = F.regexp_replace("text", _PATTERNS["email"] + r"(?:@\S*+)?", " ")
-    bare = F.when(_may_hold(F.col("text"), "email"), plain).otherwise(F.col("text"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)))
-    return _with_key(docs).select("key", F.explode(terms).alias("term"))
+    plain = F.regexp_replace(text, _PATTERNS["email"] + r"(?:@\S*+)?", " ")
+    bare = F.when(_may_hold(F.col(text), "email"), plain).otherwise(F.col(text))
+    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(WORD), F.lit(0)))
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """key, term: every document's distinct terms."""
+    return _with_key(docs).select("key", F.explode(_terms("text")).alias("term"))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
@@ -208,7 +230,7 @@ def all_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans, has_personal_data of every document."""
     matches, spans = all_spans(docs)
     each = F.array_sort(F.collect_list(F.struct("kind", "start", "end")))
     by_key = spans.groupBy("key").agg(each.alias("found"))
@@ -232,6 +254,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         F.sha2(spelled(base), 256).alias("base_sha256"),
         spelled(F.col("found")).alias("spans"),
         count(len(KINDS)).alias("n_term"),
+        F.size("found").cast("long").alias("n_spans"),
+        (F.size("found") > 0).alias("has_personal_data"),
     )
 
 
