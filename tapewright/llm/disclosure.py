@@ -175,8 +175,9 @@ def disclosing_terms(
     absent = F.when((rest > 0) & (other > 0), rest * F.log(rest * F.col("n") / (F.col("n_t") * other))).otherwise(0.0)
     evidence = F.col("n_et") * pmi * math.log(2) + absent
     found = counted.where(evidence >= math.log(max(1, likely.count()) / CHANCE))
-    found = found.select("entity", "term", pmi.alias("pmi"), F.log2(F.col("n") / F.col("n_e")).alias("ic"))
-    return found.where(F.col("pmi") >= F.col("ic") - slack)
+    # PMI >= IC - SLACK, without the rounding of logarithms.
+    found = found.where(F.col("n_et") * 2**slack >= F.col("n_t"))
+    return found.select("entity", "term", pmi.alias("pmi"), F.log2(F.col("n") / F.col("n_e")).alias("ic"))
 
 
 def _perhaps_in(words: DataFrame, terms: DataFrame) -> DataFrame:

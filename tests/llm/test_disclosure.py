@@ -1,10 +1,14 @@
 """Personal data against the patterns of another engine, and disclosing terms."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import pytest
 from helpers_llm import AWKWARD, awkward, rows_of
+from pyspark.sql import functions as F
 
 from tapewright.llm import disclosure
 
@@ -89,6 +93,50 @@ def test_names_of_two_texts_that_stand_far_from_the_value(spark):
     assert {k: t for k, t in terms.items() if t} == {0: ["Zoe"], 1: ["Zoe"], 2: ["zoe"]}
 
 
+def disclosing_by_hand(rows):
+    """(entity, term) of the operator's definition, with every pair of a text in a dictionary."""
+    n, texts = len(rows), Counter(text for _, text in rows)
+    n_t, n_e, n_et, contexts = Counter(), Counter(), Counter(), {}
+    for text, copies in texts.items():
+        terms = set(re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", text).lower()))
+        n_t.update({t: copies for t in terms})
+        for e in {m.group() for m in re.finditer(PATTERNS["email"], text)}:
+            n_e[e] += copies
+            around = min(re.sub(r"\s+", " ", text[max(0, m.start() - 80) : m.end() + 80]) for m in re.finditer(re.escape(e), text))
+            for t in terms:
+                n_et[e, t] += copies
+                contexts.setdefault((e, t), set()).add(around)
+    tried = [p for p, c in contexts.items() if len(c) >= 2 and 2 <= n_t[p[1]] <= 2 * n_e[p[0]]]
+    found = set()
+    for e, t in tried:
+        rest, pmi = n_t[t] - n_et[e, t], math.log(n * n_et[e, t] / (n_e[e] * n_t[t]))
+        absent = rest * math.log(rest * n / (n_t[t] * (n - n_e[e]))) if rest and n > n_e[e] else 0
+        if n_et[e, t] * pmi + absent >= math.log(len(tried) / 0.05) and 2 * n_et[e, t] >= n_t[t]:
+            found.add((f"email:{e}", t))
+    return found
+
+
+@pytest.mark.parametrize("bits", [disclosure.BITS, 64])
+def test_terms_agree_with_counting_every_pair(spark, monkeypatch, bits):
+    """Also when the map of rare terms is full, with copies, a hot address, and names shared by two addresses."""
+    monkeypatch.setattr(disclosure, "BITS", bits)
+    chosen = random.Random(3)
+    letters = "abcdefgh"
+    words = ["".join(chosen.choice(letters) for _ in range(chosen.choice((3, 4)))) for _ in range(900)]
+    names = {f"p{i}@h{i % 3}.org": ["Zo" + c + letters[i % 8] + letters[i // 8], "Yanik" + letters[i % 4]] for i, c in enumerate("stuvwxstuvwx")}
+    rows = []
+    for i in range(700):
+        said = [chosen.choice(words) for _ in range(12)]
+        mail = chosen.choice([*names, "hot@all.org", "hot@all.org"]) if i % 3 == 0 else None
+        rows.append((i, " ".join([*said, *([f"mail {mail} of", *names.get(mail, ["everyone"])] if mail else [])])))
+    rows += [(1000 + i, rows[i % 5 * 3][1]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = disclosure.base_spans(disclosure.find_matches(docs))
+    found = disclosure.disclosing_terms(docs, spans, F.lit(len(rows)))
+    want = disclosing_by_hand(rows)
+    assert {(r.entity, r.term) for r in found.collect()} == want and len(want) > 10
+
+
 def test_sanitised_texts_keep_the_rest(spark):
     rows = [*corpus(), (None, None), (7, "call +1 (183) 555-1276 or 10.0.0.1, card 4111 1111 1111 1111; x@y.zz")]
     docs = spark.createDataFrame([(i, t, "k", "r") for i, t in rows], "doc_id long, text string, key string, row string")
