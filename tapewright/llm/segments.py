@@ -27,7 +27,7 @@ import numpy as np
 #: Distinct segments in each of a worker's two generations.
 CACHE = 400_000
 #: Characters of text that are looked up together.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Segments that are encoded in one string.
 JOINED = 256
 
