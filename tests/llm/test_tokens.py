@@ -136,3 +136,17 @@ def test_packing_keeps_every_id(spark, work):
     assert packing.pack(awkward(spark, []), BYTES, with_ids=False).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, BYTES, longest=1000)
+
+
+def test_segments_encoded_together_are_those_encoded_alone():
+    """Words with marks, letters of two blocks, white space of all kinds, the tokenizer's special string."""
+    from tapewright.llm.segments import ByteTokenizer, little_endian
+
+    chosen = random.Random(1)
+    parts = ["a", "word", "é", "ß", "ǅ", "ɐ", "ʰ", "ำ", "Ġ", "😀", "1", ".", ",", "!", ":", ";?", "'s", "'", "x.y", "<|endoftext|>", "<|end"]
+    parts += [" ", " ", " ", "  ", "\n", "\t", "\x1c", " ", "　"]
+    texts = ["".join(chosen.choice(parts) for _ in range(chosen.randint(0, 25))) for _ in range(20_000)]
+    tokenizer = ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    alone = [little_endian(found.ids) for found in tokenizer.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert list(tokenizer.encode(texts)) == alone
+    assert list(tokenizer.encode(texts)) == alone
