@@ -15,8 +15,9 @@ looked at. Terms are counted first; a bitmap of fixed size (BITS) of those withi
 counts drop the rest before a term meets its text's entities.
 
 All of it is DataFrame operations. Texts are scanned: once for matches, once for the terms' document counts (summed in every task before they
-move), once for the words of the documents with an entity of several contexts, once for the documents that hold a disclosing term. Matches and positions are small rows. Patterns are possessive or begin where
-a run of their characters does, so they are linear and need no stack on long runs.
+move), once for the words of the documents with an entity of several contexts, once for the documents that hold a disclosing term, once for the places of
+those terms. Matches and positions are small rows. A text moves to its entities or terms only if a bitmap of the keys of such texts has its bit.
+Patterns are possessive or begin where a run of their characters does, so they are linear and need no stack on long runs.
 
 Defined results: a null text is empty. Positions are code points, ends exclusive. Text inside a base span is no term. Rows of equal
 text get equal spans; repeated rows and null ids keep their own rows. An empty table gives an empty result.
@@ -38,7 +39,7 @@ CONTEXT = 80
 SUPPORT = 2
 CHANCE = 0.05
 SLACK = 1.0
-#: Bits of the map of rare terms: 2^18 rows of 64, 4 MB at any size of the corpus. A full map lets more terms through to the exact counts.
+#: Bits of a map of terms or keys: 2^18 rows of 64, 4 MB at any size of the corpus. A full map lets more rows through to the exact join.
 BITS = 1 << 24
 WORD = r"\p{L}{3,}"
 
@@ -161,8 +162,8 @@ def disclosing_terms(
     n_t = words_of(docs).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     rare = stored(n_t.where(F.col("n_t").between(support, most * 2**slack)), "disclosure-rare")
     plain = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
-    words = plain.join(texts, "key").select("id", "most", F.explode(_terms("text")).alias("term"))
-    words = _perhaps_in(words, rare).join(rare, "term").where(F.col("n_t") <= F.col("most") * 2**slack)
+    words = _perhaps_in(plain, texts, "key").join(texts, "key").select("id", "most", F.explode(_terms("text")).alias("term"))
+    words = _perhaps_in(words, rare, "term").join(rare, "term").where(F.col("n_t") <= F.col("most") * 2**slack)
     words = words.select("id", "term", "n_t").distinct()
     pairs = words.join(held.join(texts.select("key", "id"), "key"), "id").where(F.col("n_t") <= F.col("n_e") * 2**slack)
     counts = [F.max(c).alias(c) for c in ("n_t", "n_e")]
@@ -180,13 +181,13 @@ def disclosing_terms(
     return found.select("entity", "term", pmi.alias("pmi"), F.log2(F.col("n") / F.col("n_e")).alias("ic"))
 
 
-def _perhaps_in(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """The rows whose term has its bit in the map of the terms; the map's size is fixed, so it is broadcast."""
-    place = F.pmod(F.xxhash64("term"), F.lit(BITS))
+def _perhaps_in(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """The rows whose value has its bit in the map of the known values; the map's size is fixed, so it is broadcast."""
+    place = F.pmod(F.xxhash64(column), F.lit(BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    map_rows = terms.groupBy(F.floor(place / 64).alias("place")).agg(F.bit_or(bit).alias("bits"))
-    found = words.withColumn("place", F.floor(place / 64)).join(F.broadcast(map_rows), "place")
-    return found.where(F.getbit("bits", (place % 64).cast("int")) == 1).select(*words.columns)
+    map_rows = known.groupBy(F.floor(place / 64).alias("place")).agg(F.bit_or(bit).alias("bits"))
+    found = rows.withColumn("place", F.floor(place / 64)).join(F.broadcast(map_rows), "place")
+    return found.where(F.getbit("bits", (place % 64).cast("int")) == 1).select(*rows.columns)
 
 
 def _terms(text: str) -> Column:
@@ -204,16 +205,21 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, terms: DataFrame, spans: DataFrame) -> DataFrame:
     """key, start, end of every occurrence of the terms, outside base spans."""
-    holders = stored(words_of(docs).join(terms, "term", "left_semi").distinct(), "disclosure-holders")
-    texts = _with_key(docs).join(holders.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    holders = _perhaps_in(words_of(docs), terms, "term").join(terms, "term", "left_semi")
+    holders = stored(holders.groupBy("key").agg(F.collect_set("term").alias("terms")), "disclosure-holders")
+    texts = _perhaps_in(_with_key(docs), holders, "key").groupBy("key").agg(F.min("text").alias("text")).join(holders, "key")
     pattern = F.lit(rf"(?s)(.*?)(?:({WORD})|\z)")
     gaps = F.transform(F.regexp_extract_all("text", pattern, F.lit(1)), F.length)
     words = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("word"))
-    rows = texts.select("key", F.posexplode(words).alias("place", "m")).select("key", "place", "m.gap", "m.word")
+    # What follows the last word has an empty one, which is no term.
+    places = F.transform(
+        words, lambda m: F.struct(m.gap.alias("gap"), F.length(m.word).alias("size"), F.array_contains("terms", F.lower(m.word)).alias("held"))
+    )
+    # A word stays beside its text's others: the places are summed and tested without moving again.
+    rows = texts.select("key", F.posexplode(places).alias("place", "m")).select("key", "place", "m.*")
     upto = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(upto))
-    rows = rows.select("key", (F.col("end") - F.length("word")).alias("start"), "end", F.lower("word").alias("term"))
-    found = rows.where(F.col("term") != "").join(holders, ["key", "term"], "left_semi").select("key", "start", "end")
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).where("held")
+    found = rows.select("key", (F.col("end") - F.col("size")).alias("start"), "end")
     base = spans.select(F.col("key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e")).distinct()
     inside = (F.col("key") == F.col("k")) & (F.col("start") < F.col("e")) & (F.col("end") > F.col("s"))
     return found.join(base, inside, "left_anti")

@@ -152,3 +152,36 @@ def test_sanitised_texts_keep_the_rest(spark):
 def test_no_python_on_the_main_path(spark):
     text = disclosure.find_personal_data(awkward(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", text)
+
+
+def bytes_moved(df):
+    """Bytes that the exchanges of a query wrote, read from the plan that ran."""
+    df.collect()
+
+    def exchanges(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return exchanges(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return exchanges(node.plan())
+        below = sum(exchanges(node.children().apply(i)) for i in range(node.children().size()))
+        return below + (node.metrics().apply("dataSize").value() if kind == "ShuffleExchangeExec" else 0)
+
+    return exchanges(df._jdf.queryExecution().executedPlan())
+
+
+def test_texts_without_a_disclosing_term_do_not_move(spark, monkeypatch):
+    """Also when neither the terms nor the keys of their texts are few enough to be broadcast."""
+    monkeypatch.setattr(disclosure, "stored", lambda df, purpose: df.localCheckpoint())
+    rows = [(i, f"plain text number{i} " + "with many words " * 200 + ("by zanzibarik" if i % 100 == 0 else "")) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = spark.createDataFrame([("zanzibarik",)], "term string")
+    spans = spark.createDataFrame([], "key string, start long, end long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = disclosure.term_spans(docs, terms, spans)
+        assert bytes_moved(found) < 0.1 * sum(len(text) for _, text in rows)
+        assert found.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
