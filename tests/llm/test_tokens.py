@@ -150,3 +150,23 @@ def test_segments_encoded_together_are_those_encoded_alone():
     alone = [little_endian(found.ids) for found in tokenizer.library.encode_batch_fast(texts, add_special_tokens=False)]
     assert list(tokenizer.encode(texts)) == alone
     assert list(tokenizer.encode(texts)) == alone
+
+
+def test_few_segments_go_to_the_library_however_lines_meet(monkeypatch):
+    """Words of two lines are known apart, and a known segment is not encoded again; what is forgotten is encoded anew."""
+    from tapewright.llm import segments
+
+    words = [f"{a}{b}" for a in ("alpha", "beta", "né", "<|endoftext|>", "1", "!") for b in ("", "x", "y.", "<|endoftext|>")]
+    texts = [f"so {a}{end}{b} is" for a in words for b in words for end in ("\n", "\n\n", "\n\n\n")]
+    texts += ["\n", "\n\n", "\nx", "x\n", " \nx y", "x \ny", "\t\n\nx\ty \n", None, ""]
+    tokenizer = segments.ByteTokenizer(BYTES)
+    alone = [segments.little_endian(found.ids) for found in tokenizer.library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    assert list(tokenizer.encode(texts)) == alone
+    assert len(tokenizer.known) < 5 * len(words)
+    seen = []
+    encoded = tokenizer._encoded
+    monkeypatch.setattr(tokenizer, "_encoded", lambda parts: seen.append(len(parts)) or encoded(parts))
+    assert list(tokenizer.encode(texts)) == alone and seen == [0]
+    monkeypatch.setattr(segments, "KNOWN", 50)
+    monkeypatch.setattr(segments, "BYTE_BLOCK", 2_000)
+    assert list(tokenizer.encode(texts + texts)) == alone + alone and sum(seen) > 50
