@@ -303,15 +303,15 @@ def metadata_replayed(spark, folder):
         series.alias("seriesId"), F.to_date("ts").cast("string").alias("observationDate"), F.col("value").cast("string").alias("value"),
         F.lit("").alias("realTimeStart"), F.lit("").alias("realTimeEnd"),
     )
-    publish_files(records, schemas.OBSERVATION_TOPIC, "seriesId", f"{work}/topic")
     store = MarketStore(spark, f"{work}/store")
-    # Delivered on the day they tell of.
-    topic = topic_table(spark, f"{work}/topic", schemas.OBSERVATION_TOPIC).withColumn("timestamp", F.col("record.observationDate").cast("timestamp"))
-    rows = pipelines.classified_observations(topic)
     for batch in range(4):
-        week = rows.where((F.dayofmonth("ingest_time") / 8).cast("int") == batch)
+        week = records.where((F.dayofmonth(F.col("observationDate").cast("date")) / 8).cast("int") == batch)
+        publish_files(week, schemas.OBSERVATION_TOPIC, "seriesId", f"{work}/topic", batch)
+        # A batch reads what it was delivered, not the whole topic; delivered on the day it tells of.
+        topic = topic_table(spark, f"{work}/topic/main-{batch}", schemas.OBSERVATION_TOPIC)
+        rows = pipelines.classified_observations(topic.withColumn("timestamp", F.col("record.observationDate").cast("timestamp")))
         for day in (30, 31):
-            pipelines.observation_batch(store, datetime(2024, 1, day))(week, batch)
+            pipelines.observation_batch(store, datetime(2024, 1, day))(rows, batch)
     return store.indicator_metadata().select("series_id", "frequency", F.col("last_updated").cast(_NTZ).alias("last_updated"))
 
 

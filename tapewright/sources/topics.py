@@ -16,6 +16,8 @@ from tapewright import schemas
 
 MAX_OFFSETS = 50_000_000
 HEADER = 5
+#: Records in a file of a folder topic. What one task wrote is read by several: small records would all lie in one row group, which can't be split.
+FILE_RECORDS = 250_000
 AVRO_PACKAGE = "org.apache.spark:spark-avro_2.13"
 
 # topic -> wire record
@@ -170,7 +172,7 @@ def publish_files(records: DataFrame, topic: str, key: str, path: str, batch_id:
         F.spark_partition_id().alias("partition"),
         F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("offset"),
         F.current_timestamp().alias("timestamp"),
-    ).write.mode("overwrite").parquet(f"{path}/{writer}-{batch_id}")
+    ).write.mode("overwrite").option("maxRecordsPerFile", FILE_RECORDS).parquet(f"{path}/{writer}-{batch_id}")
 
 
 def publish_kafka(records: DataFrame, topic: str, key: str, servers: str) -> None:

@@ -492,3 +492,23 @@ def test_payloads_to_topics(spark, work):
     keys = topics.topic_table(spark, f"{work}/{schemas.NEWS_TOPIC}", schemas.NEWS_TOPIC).select(F.col("key").cast("string"))
     assert rows(keys) == [("general",)]
     assert rows(store.rejects(), "source", "reason") == [("quotes", "no_price")]
+
+
+def test_only_refused_rows_of_a_batch_keep_their_whole_record(spark, work):
+    """A good row's record would be spelled out and cached with its batch, for nobody."""
+    data = [("SP500", "2024-01-02", "1.5", "", ""), ("SP500", "2024-01-03", ".", "", ""), ("SP500", "2024-13-03", "2", "", "")]
+    records = spark.createDataFrame(data, "seriesId string, observationDate string, value string, realTimeStart string, realTimeEnd string")
+    topics.publish_files(records, schemas.OBSERVATION_TOPIC, "seriesId", f"{work}/topic")
+    found = pipelines.classified_observations(topics.topic_table(spark, f"{work}/topic", schemas.OBSERVATION_TOPIC))
+    raw = {r.observation_date: r.raw and json.loads(r.raw)["value"] for r in found.collect()}
+    assert raw == {"2024-01-02": None, "2024-01-03": ".", "2024-13-03": "2"}
+
+
+def test_what_one_task_publishes_can_be_read_by_several(spark, work, monkeypatch):
+    monkeypatch.setattr(topics, "FILE_RECORDS", 10)
+    data = [("A", "2024-01-30 10:00:00", float(i)) for i in range(1, 36)]
+    publish(spark, f"{work}/topic", 0, *data)
+    held = topics.topic_table(spark, f"{work}/topic", schemas.CANDLE_TOPIC)
+    assert len(held.inputFiles()) == 4 and held.count() == 35
+    store, _ = run_candles(spark, work)
+    assert stored(store) == [("A", "2024-01-30 10:00:00", 35.0)]  # the order of writes stays
