@@ -7,6 +7,7 @@ dirty, and only those are built again, the narrowest from the candles and each w
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,33 +22,41 @@ def _start(ts: str, every: str) -> Column:
     return F.window(ts, every)["start"]
 
 
-def states(candles: DataFrame, every: str) -> DataFrame:
-    """One state per symbol and window."""
+def _singles(candles: DataFrame, *keep: str) -> DataFrame:
+    """The state of every candle by itself."""
     volatility = range_volatility(F.col("high"), F.col("low"), F.col("close"))
-    single = candles.select(
+    return candles.select(
         "symbol", "ts", F.lit(1).cast("bigint").alias("n"), volatility.alias("volatility_sum"), "open", F.col("ts").alias("open_ts"),
-        "high", "low", "close", F.col("ts").alias("close_ts"), F.col("volume").cast("double").alias("volume"),
+        "high", "low", "close", F.col("ts").alias("close_ts"), F.col("volume").cast("double").alias("volume"), *keep,
     )
-    return merged(single, every)
+
+
+def states(candles: DataFrame, every: str) -> DataFrame:
+    """One state per symbol and window."""
+    return merged(_singles(candles), every)
+
+
+_STATE = ("n", "volatility_sum", "open", "open_ts", "high", "low", "close", "close_ts", "volume")
+
+
+def _merges() -> list[Column]:
+    """What makes one state of several; rows of nulls add nothing."""
+    return [
+        F.sum("n").alias("n"),
+        F.sum("volatility_sum").alias("volatility_sum"),
+        F.min_by("open", "open_ts").alias("open"),
+        F.min("open_ts").alias("open_ts"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "close_ts").alias("close"),
+        F.max("close_ts").alias("close_ts"),
+        F.sum("volume").alias("volume"),
+    ]
 
 
 def merged(rows: DataFrame, every: str) -> DataFrame:
     """States over wider windows. A task adds up its own rows first, so a hot symbol moves one row per window and task."""
-    return (
-        rows.groupBy("symbol", F.window("ts", every).alias("w"))
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("volatility_sum").alias("volatility_sum"),
-            F.min_by("open", "open_ts").alias("open"),
-            F.min("open_ts").alias("open_ts"),
-            F.max("high").alias("high"),
-            F.min("low").alias("low"),
-            F.max_by("close", "close_ts").alias("close"),
-            F.max("close_ts").alias("close_ts"),
-            F.sum("volume").alias("volume"),
-        )
-        .select("symbol", F.col("w.start").alias("ts"), "n", "volatility_sum", "open", "open_ts", "high", "low", "close", "close_ts", "volume")
-    )
+    return rows.groupBy("symbol", F.window("ts", every).alias("w")).agg(*_merges()).select("symbol", F.col("w.start").alias("ts"), *_STATE)
 
 
 def resampled(rows: DataFrame, every: str) -> DataFrame:
@@ -65,18 +74,46 @@ def window_means(rows: DataFrame, every: str) -> DataFrame:
 def refresh(store: MarketStore, changed: DataFrame, batch_id: int) -> None:
     """Bring the rollups up to the log of candles after a batch wrote (symbol, ts): new candles, late ones and corrections.
 
-    Only days with a changed candle are read, and of those only dirty windows are built. A batch refreshed again replaces its own rows.
+    Only days with a changed candle are read, and of those only dirty windows are written. A batch refreshed again replaces its own rows.
+    Candles and changes meet once, by the windows of the second width: last writes are taken there, and the states of both widths built. A hot symbol
+    has as many of those windows as its days hold. What the widest is built from, at most a day of such windows to a row, meets once more.
     """
     days = [r.day for r in changed.select(F.to_date("ts").alias("day")).distinct().collect()]  # as many as the batch has days
     if not days:
         return
-    # Every window lies within one day, so its rows are in the days that are read.
-    source = store.candles(min(days), max(days)).where(F.col("day").isin(days))
-    dirty = changed.select("symbol", "ts")
-    for level, (name, every) in enumerate(LEVELS):
-        build = states if level == 0 else merged
-        dirty = dirty.select("symbol", _start("ts", every).alias("ts")).distinct()
-        own = source.withColumn("__start", _start("ts", every)).join(dirty.withColumnRenamed("ts", "__start"), ["symbol", "__start"], "left_semi")
-        rows = build(own.drop("__start", "day", "arrival"), every)
-        store.append(name, rows.withColumn("arrival", arrival(batch_id, F.lit(0).cast("bigint"))), batch_id, utc_day("ts"))
-        source = store.rollups(name, min(days), max(days)).where(F.col("day").isin(days))
+
+    def read(table: str) -> DataFrame:
+        # Every window lies within one day, so its rows are in the days that are read.
+        return store.log(table, min(days), max(days)).where(F.col("day").isin(days)).drop("day", "writer", "batch_id")
+
+    def append(table: str, built: DataFrame) -> None:
+        rows = built.where(F.col("dirty") & (F.col("n") > 0)).withColumn("arrival", arrival(batch_id, F.lit(0).cast("bigint")))
+        store.append(table, rows, batch_id, utc_day("ts"))
+
+    (first, narrow), (second, wide), (third, widest) = LEVELS
+    last = _last_by_window(read("candles"), changed, wide)
+    # A change that the log has no candle of counts for nothing but its windows.
+    single = _singles(last, "within", "dirty", "held").withColumns({c: F.when(F.col("held"), F.col(c)) for c in ("n", "open_ts", "close_ts")})
+    by_window = single.groupBy("symbol", "within", F.window("ts", narrow).alias("w")).agg(*_merges(), F.max("dirty").alias("dirty"))
+    built = by_window.select("symbol", "within", F.col("w.start").alias("ts"), *_STATE, "dirty").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        append(first, built)
+        append(second, _whole_windows(built))
+    finally:
+        built.unpersist()
+    append(third, _whole_windows(_last_by_window(read(second), changed.select("symbol", _start("ts", wide).alias("ts")), widest)))
+
+
+def _last_by_window(rows: DataFrame, changed: DataFrame, every: str) -> DataFrame:
+    """The last write of each (symbol, ts) as `held`, and what changed as `dirty`, dealt by `within`, the start of their window."""
+    rows = rows.withColumns({"held": F.lit(True), "dirty": F.lit(False)})
+    marks = changed.select("symbol", "ts", F.lit(False).alias("held"), F.lit(True).alias("dirty"))
+    both = rows.unionByName(marks, allowMissingColumns=True).where(F.col("symbol").isNotNull())
+    dealt = both.withColumn("within", _start("ts", every)).repartition("symbol", "within")
+    values = [F.max_by(c, "arrival").alias(c) for c in rows.columns if c not in ("symbol", "ts", "arrival", "held", "dirty")]
+    return dealt.groupBy("symbol", "within", "ts").agg(*values, F.max("held").alias("held"), F.max("dirty").alias("dirty"))
+
+
+def _whole_windows(rows: DataFrame) -> DataFrame:
+    """One state for each symbol and `within`."""
+    return rows.groupBy("symbol", "within").agg(*_merges(), F.max("dirty").alias("dirty")).withColumnRenamed("within", "ts")

@@ -1,10 +1,11 @@
 """Rollups under correction against raw candles; pages of an index against sorted rows."""
 
 import random
+import re
 from datetime import timedelta
 
 import pytest
-from helpers import at, rows
+from helpers import at, plan, rows
 from pyspark.sql import functions as F
 
 from tapewright.operators import pages, points, rollups
@@ -70,6 +71,35 @@ def test_rollups_of_packed_logs(spark, work):
     assert store.rollups("rollup_1d").count() == 1
 
 
+def test_a_refresh_moves_candles_and_changes_once(spark, work, monkeypatch):
+    """Last writes, dirty windows and the states of two widths are all taken where one exchange put the rows."""
+    store, moved = MarketStore(spark, work), {}
+    append = store.append
+
+    def watched(table, built, *args):
+        if table.startswith("rollup"):
+            text = re.sub(r"#\d+L?", "", plan(built))
+            moved[table] = {re.sub(r", \d+\)$", "", found) for found in re.findall(r"Exchange hashpartitioning\([^)]*\)", text)}
+            assert "Join" not in text
+        append(table, built, *args)
+
+    monkeypatch.setattr(store, "append", watched)
+    deliver(spark, store, 0, [("A", 10, 5.0), ("B", 900, 6.0)])
+    assert moved == {name: {"Exchange hashpartitioning(symbol, within"} for name, _ in rollups.LEVELS}
+    check(store)
+
+
+def test_changes_without_a_candle_leave_their_windows_as_they_are(spark, work):
+    store = MarketStore(spark, work)
+    deliver(spark, store, 0, [("A", 10, 5.0), ("A", 50, 4.0), ("A", 70, 6.0), ("B", 900, 6.0), (None, 10, 3.0)])
+    before = {name: rows(store.rollups(name).drop("arrival")) for name, _ in rollups.LEVELS}
+    gone = [("A", START), ("A", START + timedelta(seconds=59)), ("A", START + timedelta(seconds=300)), ("Z", START), (None, START)]
+    rollups.refresh(store, spark.createDataFrame(gone, "symbol string, ts timestamp"), 1)
+    assert {name: rows(store.rollups(name).drop("arrival")) for name, _ in rollups.LEVELS} == before
+    assert store.log("rollup_1m").where("batch_id = 1").count() == 1 and store.log("rollup_15m").where("batch_id = 1").count() == 1
+    assert all(r.symbol in ("A", "B") for r in store.rollups("rollup_1m").collect())
+
+
 ORDER = ("score DESC NULLS LAST", "name")
 
 
