@@ -83,7 +83,7 @@ def rolled_up(spark, folder) -> MarketStore:
             price.alias("low"), price.alias("close"), F.lit(1.0).alias("volume"), arrival(batch, F.col("event_id")).alias("arrival"),
         )
         store.append("candles", rows, batch, utc_day("ts"))
-        rollups.refresh(store, rows.select("symbol", "ts"), batch)
+        rollups.refresh(store, None, batch)
     return store
 
 

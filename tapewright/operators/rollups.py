@@ -2,7 +2,7 @@
 
 A state holds what merges: number, sums, extremes, and the first and last price with their times. A wider state is merged from narrower ones, so an
 answer over a long span reads few rows. A corrected candle cannot be taken out of an extreme; the windows it lies in are
-dirty, and only those are built again, the narrowest from the candles and each wider one from the states below it.
+dirty, and only those are written again, the narrowest from the candles and the wider ones from the narrowest of the same days.
 """
 
 from __future__ import annotations
@@ -71,46 +71,51 @@ def window_means(rows: DataFrame, every: str) -> DataFrame:
     return resampled(rows, every).select("symbol", end.alias("window_end"), "volatility")
 
 
-def refresh(store: MarketStore, changed: DataFrame, batch_id: int) -> None:
+def refresh(store: MarketStore, changed: DataFrame | None, batch_id: int) -> None:
     """Bring the rollups up to the log of candles after a batch wrote (symbol, ts): new candles, late ones and corrections.
 
+    Without `changed`, what changed is what the log holds of that batch, and nothing but the log is read.
+
     Only days with a changed candle are read, and of those only dirty windows are written. A batch refreshed again replaces its own rows.
-    Candles and changes meet once, by the windows of the second width: last writes are taken there, and the states of both widths built. A hot symbol
-    has as many of those windows as its days hold. What the widest is built from, at most a day of such windows to a row, meets once more.
+    The candles move once, by the windows of the second width: last writes are taken there, and the states of both widths built. A hot symbol
+    has as many of those windows as its days hold. The widest states are merged from the narrowest, which are at hand for whole days.
     """
-    days = [r.day for r in changed.select(F.to_date("ts").alias("day")).distinct().collect()]  # as many as the batch has days
+    if changed is None:
+        days = store.batch_days("candles", batch_id)
+    else:
+        days = [r.day for r in changed.select(F.to_date("ts").alias("day")).distinct().collect()]  # as many as the batch has days
     if not days:
         return
 
-    def read(table: str) -> DataFrame:
-        # Every window lies within one day, so its rows are in the days that are read.
-        return store.log(table, min(days), max(days)).where(F.col("day").isin(days)).drop("day", "writer", "batch_id")
-
     def append(table: str, built: DataFrame) -> None:
         rows = built.where(F.col("dirty") & (F.col("n") > 0)).withColumn("arrival", arrival(batch_id, F.lit(0).cast("bigint")))
         store.append(table, rows, batch_id, utc_day("ts"))
 
     (first, narrow), (second, wide), (third, widest) = LEVELS
-    last = _last_by_window(read("candles"), changed, wide)
+    # Every window lies within one day, so its candles are in the days that are read.
+    candles = store.log("candles", min(days), max(days)).where(F.col("day").isin(days))
+    own = (F.col("writer") == "main") & (F.col("batch_id") == batch_id) if changed is None else F.lit(False)
+    candles = candles.withColumns({"held": F.lit(True), "dirty": own}).drop("day", "writer", "batch_id")
+    last = _last_by_window(candles, changed, wide)
     # A change that the log has no candle of counts for nothing but its windows.
     single = _singles(last, "within", "dirty", "held").withColumns({c: F.when(F.col("held"), F.col(c)) for c in ("n", "open_ts", "close_ts")})
-    by_window = single.groupBy("symbol", "within", F.window("ts", narrow).alias("w")).agg(*_merges(), F.max("dirty").alias("dirty"))
-    built = by_window.select("symbol", "within", F.col("w.start").alias("ts"), *_STATE, "dirty").persist(StorageLevel.MEMORY_AND_DISK)
+    by_window = single.withColumn("ts", _start("ts", narrow)).groupBy("symbol", "within", "ts")
+    built = by_window.agg(*_merges(), F.max("dirty").alias("dirty")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         append(first, built)
         append(second, _whole_windows(built))
+        append(third, _whole_windows(built.withColumn("within", _start("ts", widest))))
     finally:
         built.unpersist()
-    append(third, _whole_windows(_last_by_window(read(second), changed.select("symbol", _start("ts", wide).alias("ts")), widest)))
 
 
-def _last_by_window(rows: DataFrame, changed: DataFrame, every: str) -> DataFrame:
+def _last_by_window(rows: DataFrame, changed: DataFrame | None, every: str) -> DataFrame:
     """The last write of each (symbol, ts) as `held`, and what changed as `dirty`, dealt by `within`, the start of their window."""
-    rows = rows.withColumns({"held": F.lit(True), "dirty": F.lit(False)})
-    marks = changed.select("symbol", "ts", F.lit(False).alias("held"), F.lit(True).alias("dirty"))
-    both = rows.unionByName(marks, allowMissingColumns=True).where(F.col("symbol").isNotNull())
-    dealt = both.withColumn("within", _start("ts", every)).repartition("symbol", "within")
     values = [F.max_by(c, "arrival").alias(c) for c in rows.columns if c not in ("symbol", "ts", "arrival", "held", "dirty")]
+    if changed is not None:
+        marks = changed.select("symbol", "ts", F.lit(False).alias("held"), F.lit(True).alias("dirty"))
+        rows = rows.unionByName(marks, allowMissingColumns=True)
+    dealt = rows.where(F.col("symbol").isNotNull()).withColumn("within", _start("ts", every)).repartition("symbol", "within")
     return dealt.groupBy("symbol", "within", "ts").agg(*values, F.max("held").alias("held"), F.max("dirty").alias("dirty"))
 
 

@@ -151,6 +151,19 @@ class MarketStore:
             rows = rows.unionByName(old)
         return rows
 
+    def batch_days(self, table: str, batch_id: int, writer: str = "main") -> list[date]:
+        """The days a batch of a log has rows of; rows without a day are of none."""
+        root, prefix = f"{self.root}/{table}", f"{LOGS[table].day.name}="
+        packed = self._packed(table)
+        days = {n.removeprefix(prefix) for n in self._names(root) if n.startswith(prefix) and NO_DAY not in n}
+        days = {d for d in days if self._exists(f"{root}/{prefix}{d}/writer={writer}/batch_id={batch_id}")}
+        covered = [date.fromisoformat(d) for d, p in packed.items() if p.covers(writer, batch_id) and d not in days]
+        found = {date.fromisoformat(d) for d in days}
+        if covered:
+            own = self.log(table, min(covered), max(covered)).where((F.col("writer") == writer) & (F.col("batch_id") == batch_id))
+            found |= {r.day for r in own.select(F.col(LOGS[table].day.name).alias("day")).distinct().collect()}
+        return sorted(found)
+
     # ---- packing -------------------------------------------------------------------------------
 
     def pack(self, table: str, least: int = PACK_FROM) -> list[str]:

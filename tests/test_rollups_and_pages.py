@@ -100,6 +100,50 @@ def test_changes_without_a_candle_leave_their_windows_as_they_are(spark, work):
     assert all(r.symbol in ("A", "B") for r in store.rollups("rollup_1m").collect())
 
 
+def test_a_refresh_of_a_batch_reads_nothing_but_its_days_of_the_log(spark, work, monkeypatch):
+    """What changed is the batch's own part of the log, and the candles are read once for all widths."""
+    store, read = MarketStore(spark, work), []
+    log = store.log
+    monkeypatch.setattr(store, "log", lambda table, *span: read.append((table, *span)) or log(table, *span))
+    day, following = START.date(), (START + timedelta(days=1)).date()
+    batches = [
+        [("A", 10, 5.0), ("A", 50, 4.0), ("A", 1000, 8.0), ("B", 900, 6.0), (None, 10, 3.0)],
+        [("B", 4000, 7.0), ("B", 4010, 9.0)],
+        [("A", 50, 1.0), ("C", 4000, 2.0)],
+    ]
+    spans = [(day, day), (following, following), (day, following)]
+    dirty = [[3, 3, 2], [1, 1, 1], [2, 2, 2]]
+    for batch, (data, span) in enumerate(zip(batches, spans)):
+        store.append("candles", candles(spark, batch, data), batch, utc_day("ts"))
+        for _ in range(2):
+            read.clear()
+            rollups.refresh(store, None, batch)
+            assert read == [("candles", *span)]
+        assert [store.log(name).where(F.col("batch_id") == batch).count() for name, _ in rollups.LEVELS] == dirty[batch]
+    assert all(r.symbol for r in store.rollups("rollup_1m").collect())
+    named = store.candles().where("symbol IS NOT NULL")
+    monkeypatch.setattr(store, "candles", lambda: named)
+    check(store)
+    rollups.refresh(store, None, 3)
+    assert store.log("rollup_1m").where("batch_id = 3").isEmpty()
+
+
+def test_days_of_a_batch_in_loose_and_packed_folders(spark, work):
+    store = MarketStore(spark, work)
+    assert store.batch_days("candles", 0) == []
+    day, following = START.date(), (START + timedelta(days=1)).date()
+    for batch, seconds in enumerate([(0, 4000), (10,), (20, 4010), (30, 4020)]):
+        deliver(spark, store, batch, [("A", s, 5.0 + batch) for s in seconds])
+    days = [[day, following], [day], [day, following], [day, following], []]
+    assert [store.batch_days("candles", b) for b in range(5)] == days
+    assert store.pack("candles", least=2)
+    store.drop_packed("candles", keep=1)
+    assert [store.batch_days("candles", b) for b in range(5)] == days
+    assert store.batch_days("candles", 0, "other") == []
+    rollups.refresh(store, None, 0)
+    check(store)
+
+
 ORDER = ("score DESC NULLS LAST", "name")
 
 
